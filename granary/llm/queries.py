@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, simhash
+from . import packing, quality_rules, simhash, token_files
 from .common import table
 
 
@@ -18,5 +18,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_line_frequency, op9_simhash)}
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, folder, manifest)
+
+
+def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenised(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return packing.checksums(packing.pack(pieces), pieces)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_line_frequency, op6_simple8b, op9_simhash, op10_cutting_stock)}
 ORACLES: dict[str, str] = {"op4_line_frequency": quality_rules.SQL}

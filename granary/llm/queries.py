@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, simhash, token_files
+from . import packing, qda, quality_rules, simhash, token_files, warc
 from .common import table
 
 
@@ -35,5 +35,14 @@ def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.checksums(packing.pack(pieces), pieces)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_line_frequency, op6_simple8b, op9_simhash, op10_cutting_stock)}
-ORACLES: dict[str, str] = {"op4_line_frequency": quality_rules.SQL}
+def op5_shrunk_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs, files = warc.write_arc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(spark, *warc.convert(arcs, files)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_line_frequency, op5_shrunk_qda, op6_simple8b, op8_arc_to_warc, op9_simhash, op10_cutting_stock)}
+ORACLES: dict[str, str] = {"op4_line_frequency": quality_rules.SQL, "op8_arc_to_warc": warc.SQL}

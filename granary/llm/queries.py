@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, qda, quality_rules, simhash, token_files, warc
+from . import decontaminate, line_runs, packing, qda, quality_rules, simhash, token_files, warc
 from .common import table
 
 
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines")
 
@@ -39,10 +43,14 @@ def op5_shrunk_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs, files = warc.write_arc(table(spark, sf_dir, "pages"))
     return warc.read_warc(spark, *warc.convert(arcs, files)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_line_frequency, op5_shrunk_qda, op6_simple8b, op8_arc_to_warc, op9_simhash, op10_cutting_stock)}
-ORACLES: dict[str, str] = {"op4_line_frequency": quality_rules.SQL, "op8_arc_to_warc": warc.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_spaced_seeds, op4_line_frequency, op5_shrunk_qda, op6_simple8b, op7_line_runs, op8_arc_to_warc, op9_simhash, op10_cutting_stock)}
+ORACLES: dict[str, str] = {"op4_line_frequency": quality_rules.SQL, "op7_line_runs": line_runs.SQL, "op8_arc_to_warc": warc.SQL}

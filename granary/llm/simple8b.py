@@ -46,6 +46,8 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     widest, selector = width[:, :BLOCK].copy(), np.full((n_blocks, BLOCK), ESCAPE, np.uint8)
     n = 1
     for s in range(14, 0, -1):  # more and more values a word
+        if s < 14 and widest.min(initial=255) > BITS[s]:
+            break
         while n < COUNTS[s]:
             np.maximum(widest, width[:, n : n + BLOCK], out=widest)
             n += 1
@@ -63,13 +65,14 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     block, place, s, step = (np.concatenate(x) for x in zip(*found, strict=True))
     packed, escapes = np.bincount(block, minlength=n_blocks), np.bincount(block[s == ESCAPE], minlength=n_blocks)
     first = np.concatenate([[0], np.cumsum(packed + escapes)])
-    words = np.zeros(first[-1], np.uint64)
+    words, line, slot = np.zeros(first[-1], np.uint64), grid.ravel(), block * grid.shape[1] + place
+    target = first[block] + step
     for k in np.unique(s):
         own = np.flatnonzero(s == k)
-        word = np.full(len(own), k, np.uint64)
+        word, here = np.full(len(own), k, np.uint64), slot[own]
         for j in range(int(COUNTS[k])) if k != ESCAPE else ():
-            word |= grid[block[own], place[own] + j] << np.uint64(4 + j * BITS[k])
-        words[first[block[own]] + step[own]] = word
+            word |= line[here + j] << np.uint64(4 + j * BITS[k])
+        words[target[own]] = word
         if k == ESCAPE:
             own = own[np.lexsort((place[own], block[own]))]
             rank = np.arange(len(own)) - np.searchsorted(block[own], block[own])
@@ -114,9 +117,10 @@ class Writer:
         self.counts: list[int] = []
         out.write(MAGIC)
 
-    def add(self, doc_id: int, tokens: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.counts.append(len(tokens))
+    def add(self, doc_ids: list[int], tokens: np.ndarray, counts: np.ndarray) -> None:
+        """Documents in order: their ids, their tokens end to end, and how many each has."""
+        self.ids += doc_ids
+        self.counts += counts.tolist()
         self.rest.append(tokens)
         self.held += len(tokens)
         if self.held >= self.hold:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from . import simple8b
 from .common import map_arrow, scratch_path, with_text, written
 from .tokens import Encoder
@@ -42,12 +43,12 @@ def _writer(folder: str, tokenizer: str, end: int):
         out = shard = None
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 200):
-                if shard is None:
-                    out = fs.open_output_stream(f"{base}/{part}")
-                    shard = simple8b.Writer(out)
-                for doc_id, raw in zip(ids[at : at + 200].to_pylist(), encoder.encode(text[at : at + 200].to_pylist()), strict=True):
-                    shard.add(doc_id, np.append(np.frombuffer(raw, "<u4"), np.uint32(end)))
+            if shard is None and batch.num_rows:
+                out = fs.open_output_stream(f"{base}/{part}")
+                shard = simple8b.Writer(out)
+            for c in K.chunks(text):
+                tokens, bounds = encoder.encode(c)
+                shard.add(ids[c.rows].to_pylist(), np.insert(tokens, bounds[1:], end), np.diff(bounds) + 1)
         if shard is not None:
             n = shard.close()
             out.close()

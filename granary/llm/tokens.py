@@ -1,44 +1,145 @@
-"""Token ids by the tokenizers library, with a bounded cache of pre-tokens.
+"""Token ids by the tokenizers library, with each distinct pre-token encoded once per worker.
 
 Byte-pair merges never cross pre-token borders, so the ids of a text are those of its pre-tokens in order.  Where a
-tokenizer file has one of the two pre-token rules that are known here, a text is split by the same rule, and the library
-encodes each distinct pre-token once.  Texts with characters outside ASCII and Latin-1 letters, where Python's and the
-library's character classes might differ, and all texts of other tokenizers go through the library whole.
+tokenizer file has one of the two pre-token rules that are known here, the borders of a chunk of texts are found in numpy,
+a pre-token is known by the 64-bit hash of its bytes, and the library encodes those that are new.  Texts with other
+characters than ASCII and accented Latin-1 letters, and all texts of other tokenizers, go through the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 
-#: Pre-tokens that a worker remembers; when there are more it starts anew.
-CACHE = 400_000
+from . import kernel as K
 
-_L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(r"[\t\n\r -~ªµºÀ-ÖØ-öø-ÿ]*")
-# The pre-token rules of the two public tokenizer files, over the characters of _PLAIN.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
-_BYTES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+#: Distinct pre-tokens that a worker remembers; when there are more it starts anew.  Slots of the table that finds them.
+KNOWN, SLOTS = 1_000_000, 1 << 21
+#: Pre-tokens that the library is given at once.
+STEP = 5_000
 
+SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[K.SPACE] = SPACE
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = LETTER
+_CLASS[48:58] = DIGIT
+#: Lower case of ASCII and, as second bytes after 0xC3, of accented Latin-1 letters.
+_LOWER = K.LOWER.copy()
+_LOWER[[x for x in range(0x80, 0x9F) if x != 0x97]] += 0x20
+# The contractions of both pre-token rules, in their order.
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
-def _rule(spec: dict) -> tuple[re.Pattern | None, bool]:
-    """The pre-token rule of a tokenizer file, and whether it lower-cases; None: unknown."""
+
+def _rule(spec: dict) -> str | None:
+    """Which pre-token rule a tokenizer file has: 'words' (lower case, no white space), 'bytes' (a space goes with what follows), or None."""
     normalizer, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
     if normalizer is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
-        return _BYTES, False
+        return "bytes"
     steps = [x.get("type") for x in (normalizer or {}).get("normalizers", [])]
     split = (pre.get("pretokenizers") or [{}])[0]
     known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     if steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": known} and split.get("invert") and split.get("behavior") == "Removed":
-        return _WORDS, True
-    return None, False
+        return "words"
+    return None
+
+
+def plain_documents(c: K.Chunk) -> np.ndarray:
+    """Which documents have only ASCII (no control characters but white space) and accented Latin-1 letters."""
+    d = c.data
+    odd = ((d >= 0xC0) & (d != 0xC3)) | ((d < 0x20) & ~K.SPACE[d]) | (d == 0x7F)
+    sign = np.flatnonzero(d == 0xC3)
+    odd[sign[np.isin(d[sign + 1], (0x97, 0xB7))]] = True  # the signs of multiplication and division
+    return K.sums_of(odd, c.offsets) == 0
+
+
+def borders(c: K.Chunk, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens of plain documents, in bytes."""
+    d, n = (_LOWER[c.data] if rule == "words" else c.data), len(c.data)
+    kind = _CLASS[d]
+    begin = np.zeros(n, bool)  # documents
+    begin[c.offsets[:-1][np.diff(c.offsets) > 0]] = True
+    flag = begin.copy()
+    flag[1:] |= kind[1:] != kind[:-1]
+    fresh = flag.copy()
+    if rule == "words":
+        flag |= kind == DIGIT
+    else:
+        after = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~begin[1:]) + 1
+        flag[after - 1] = True
+        flag[after[d[after - 1] == 0x20]] = False
+    quote = np.flatnonzero((d == 0x27) & flag & fresh)
+    if len(quote):
+        later = np.append(np.flatnonzero(begin), n)
+        end = later[np.searchsorted(later, quote, "right")]
+        taken = np.zeros(len(quote), bool)
+        for letters in CONTRACTIONS:
+            fits = ~taken & (quote + 1 + len(letters) <= end)
+            for k, x in enumerate(letters):
+                fits[fits] = d[quote[fits] + 1 + k] == x
+            taken |= fits
+            at = quote[fits] + 1
+            flag[at] = False
+            behind = at + len(letters)
+            behind = behind[(behind < end[fits]) & (kind[np.minimum(behind, n - 1)] != SPACE)]
+            flag[behind] = True
+    start = np.flatnonzero(flag)
+    end = np.append(start[1:], n) if len(start) else start
+    if rule == "words":
+        solid = kind[start] != SPACE
+        return start[solid], end[solid]
+    return start, end
+
+
+class Table:
+    """64-bit hashes to runs of ids; open addressing, all in arrays."""
+
+    def __init__(self, dtype: str):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.at = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids, self.n, self.used = np.zeros(1 << 18, self.dtype), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash (never 0), or -1."""
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        key = self.key[slot]
+        out = np.where(key == h, self.at[slot], -1)
+        rest = np.flatnonzero((key != h) & (key != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (SLOTS - 1)
+            key = self.key[slot[rest]]
+            hit = key == h[rest]
+            out[rest[hit]] = self.at[slot[rest[hit]]]
+            rest = rest[~hit & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct new hashes and their ids end to end."""
+        n, used = self.n + len(h), self.used + len(ids)
+        if n > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * used)
+        self.ids[self.used : used] = ids
+        self.first[self.n : n], self.size[self.n : n] = self.used + np.cumsum(sizes) - sizes, sizes
+        slot, rest = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(h))
+        while len(rest):
+            free = rest[self.key[slot[rest]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.key[slot[put]], self.at[slot[put]] = h[put], self.n + put
+            rest = rest[self.key[slot[rest]] != h[rest]]
+            slot[rest] = (slot[rest] + 1) & (SLOTS - 1)
+        self.n, self.used = n, used
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes of `dtype`; one encoder a process and file."""
+    """Ids of whole texts; one encoder a process, file and dtype."""
 
     _known: dict[tuple[str, str], Encoder] = {}
 
@@ -46,33 +147,60 @@ class Encoder:
         if (path, dtype) not in cls._known:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import ByteLevel
 
-            self = cls._known[path, dtype] = super().__new__(cls)
-            self.tokenizer, self.dtype, self.cache = Tokenizer.from_file(path), dtype, {}
+            self = super().__new__(cls)
+            self.tokenizer, self.dtype, self.table = Tokenizer.from_file(path), dtype, None
             self.tokenizer.encode_special_tokens = True
             with open(path, encoding="utf-8") as f:
-                self.rule, self.lower = _rule(json.load(f))
+                self.rule = _rule(json.load(f))
+            if self.rule:
+                # pre-tokens are folded and split already; what is left of these steps is the mapping of bytes
+                self.parts, self.table = Tokenizer.from_file(path), Table(dtype)
+                self.parts.encode_special_tokens = True
+                self.parts.normalizer, self.parts.pre_tokenizer = None, ByteLevel(add_prefix_space=False, use_regex=False)
+            cls._known[path, dtype] = self
         return cls._known[path, dtype]
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, x in enumerate(texts) if self.rule and _PLAIN.fullmatch(x)]
-        split = [self.rule.findall(texts[i].lower() if self.lower else texts[i]) for i in plain]
-        missing: set[str] = set()
-        for parts in split:
-            missing.update(parts)
-        fresh = list(missing - self.cache.keys())
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache.clear()
-            fresh = list(missing)
-        self.cache.update(zip(fresh, self._library(fresh), strict=True))
-        get = self.cache.__getitem__
-        for i, parts in zip(plain, split, strict=True):
-            out[i] = b"".join(map(get, parts))
-        whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        return out
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        for at in range(0, len(words), STEP):
+            some = words[at : at + STEP]
+            e = self.parts.encode(some, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            self.table.add(h[at : at + STEP], np.array(e.ids, self.dtype), sizes)
+
+    def encode(self, c: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunk's documents end to end, where each begins, n + 1)."""
+        n = len(c.offsets) - 1
+        plain = plain_documents(c) if self.rule else np.zeros(n, bool)
+        bounds, ids = np.zeros(n + 1, np.int64), np.zeros(0, self.dtype)
+        if plain.any():
+            start, end = borders(c, self.rule)
+            doc = np.searchsorted(c.offsets, start, "right") - 1
+            if not plain.all():
+                own = plain[doc]
+                start, end, doc = start[own], end[own], doc[own]
+            h = c.hashes(start, end, _LOWER if self.rule == "words" else K.PLAIN) | np.uint64(1)
+            entry = self.table.find(h)
+            new = np.flatnonzero(entry < 0)
+            if len(new):
+                if self.table.n + len(new) > KNOWN:
+                    self.table.clear()
+                    new = np.arange(len(h))
+                fresh, one = np.unique(h[new], return_index=True)
+                at = new[one]
+                raw = (_LOWER[c.data] if self.rule == "words" else c.data).tobytes()
+                self._learn(fresh, [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+                entry[new] = self.table.find(h[new])
+            sizes = self.table.size[entry]
+            ahead = np.cumsum(sizes) - sizes
+            ids = self.table.ids[np.repeat(self.table.first[entry] - ahead, sizes) + np.arange(int(sizes.sum()))]
+            bounds[1:] = np.cumsum(np.bincount(doc, sizes, minlength=n).astype(np.int64))
+        if plain.all():
+            return ids, bounds
+        raw = c.data.tobytes()
+        each = [ids[bounds[i] : bounds[i + 1]] if plain[i] else self.whole(raw[c.offsets[i] : c.offsets[i + 1]].decode()) for i in range(n)]
+        return np.concatenate([np.zeros(0, self.dtype), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .common import map_arrow, with_text, written
 from .tokens import Encoder
 
@@ -210,17 +211,20 @@ def layout(histogram: np.ndarray, size: int = SIZE, tolerance: int = TOLERANCE)
 def _pieces(tokenizer: str, size: int, end: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer, dtype)
-        last = np.array([end], dtype).tobytes()
-        width = len(last)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows: list[tuple] = []
-                for key, doc_id, raw in zip(batch.column(0)[at : at + 200].to_pylist(), batch.column(1)[at : at + 200].to_pylist(), encoder.encode(batch.column(2)[at : at + 200].to_pylist()), strict=True):
-                    raw += last
-                    n = len(raw) // width
-                    rows += ((key, doc_id, s, min(size, n - s), n, raw[s * width : (s + size) * width]) for s in range(0, n, size))
-                c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:5]), pa.array(c[5], pa.binary())], names=["g_row", "doc_id", "start", "length", "doc_tokens", "ids"])
+            for c in K.chunks(batch.column(2)):
+                tokens, bounds = encoder.encode(c)
+                tokens, bounds = np.insert(tokens, bounds[1:], end), bounds + np.arange(len(bounds))
+                n = np.diff(bounds)
+                parts = -(-n // size)
+                row = np.repeat(np.arange(len(n)), parts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * size
+                length = np.minimum(size, n[row] - start)
+                width = tokens.itemsize
+                at = np.append(bounds[row] + start, bounds[-1]) * width  # pieces stand end to end
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(tokens.tobytes())])
+                take = pa.array(row + c.rows.start)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(length), pa.array(n[row]), ids], names=["g_row", "doc_id", "start", "length", "doc_tokens", "ids"])
 
     return run
 

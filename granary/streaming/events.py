@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from granary.sources.versioned import VersionedTable
 
-EVENT = T.StructType.fromDDL("event_id string, event_type string, customer_id int, product_id int, store_id int, amount double, event_time string")
+EVENT = "event_id string, event_type string, customer_id int, product_id int, store_id int, amount double, event_time string"
 ENVELOPE = "partition int, offset long, value string"
 DELAY, WINDOW = "10 minutes", "5 minutes"
 

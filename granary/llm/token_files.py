@@ -4,7 +4,7 @@ Documents are dealt to shards by ranges of doc_id, so a shard is sorted and shar
 hundred thousand ids at once.  A shard is written under a name of its attempt and moved into place when whole: a task that
 is run again after a lost executor replaces it by the same bytes.  The manifest has a row a shard.
 
-Null texts are empty and have the end id alone.  Rows with equal doc_id are ordered by text, and each is a document.
+Null texts are empty and have the end id alone; a null doc_id comes first.  Rows with equal doc_id are ordered by text, and each is a document.
 An empty table makes no shards and reads back as no rows.
 """
 
@@ -24,6 +24,8 @@ from .common import map_arrow, scratch_path, with_text, written
 from .tokens import Encoder
 
 END = 2
+#: Stands for a null doc_id in shard files.
+NO_ID = -(1 << 63)
 
 
 def _file_system(path: str):
@@ -48,7 +50,7 @@ def _writer(folder: str, tokenizer: str, end: int):
                 shard = simple8b.Writer(out)
             for c in K.chunks(text):
                 tokens, bounds = encoder.encode(c)
-                shard.add(ids[c.rows].to_pylist(), np.insert(tokens, bounds[1:], end), np.diff(bounds) + 1)
+                shard.add(ids[c.rows].fill_null(NO_ID).to_pylist(), np.insert(tokens, bounds[1:], end), np.diff(bounds) + 1)
         if shard is not None:
             n = shard.close()
             out.close()
@@ -79,7 +81,7 @@ def _reader(folder: str):
                         crc = n = 0
                         for part in parts:
                             crc, n = zlib.crc32(part.astype("<u4"), crc), n + len(part)
-                        rows.append((doc_id, start + at, n, crc))
+                        rows.append((None if doc_id == NO_ID else doc_id, start + at, n, crc))
                         if len(rows) == 4096:
                             yield _rows(rows)
                             rows = []

@@ -56,9 +56,9 @@ def next_customer_dimension(dimension: DataFrame, snapshot: DataFrame, tracked:
     takes two numbers.  Run again with the same snapshot it changes nothing.
     """
     changes = changed_customers(snapshot, dimension, tracked)
-    top = dimension.agg(F.coalesce(F.max("customer_sk"), F.lit(0)).alias("_top"))
+    top = dimension.agg(F.coalesce(F.max("customer_sk"), F.lit(0))).scalar()
     feed = merge_feed(changes).withColumn("_insert", F.col("merge_key").isNull().cast("int"))
-    keyed = O.numbered(feed, "customer_id", "_insert", name="_n", start=0).crossJoin(F.broadcast(top)).withColumn("customer_sk", F.col("_n") + F.col("_top") + 1)
+    keyed = O.numbered(feed, "customer_id", "_insert", name="_n").withColumn("customer_sk", F.col("_n") + top)
     fresh = keyed.filter("not is_existing or merge_key is null").select(
         "customer_sk", "customer_id", "first_name", "last_name", "email_hash", "phone_masked", "city", "state", "signup_date", F.col("new_hash").alias("row_hash"),
         F.when(F.col("is_existing"), F.col("updated_at")).otherwise(F.lit(BEGINNING)).cast("timestamp").alias("effective_from"), F.lit(OPEN_END).cast("timestamp").alias("effective_to"), F.lit(True).alias("is_current"),

@@ -88,5 +88,24 @@ def with_text(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def file_system(path: str):
+    """(file system, path in it) of a folder, for tasks that write or seek in files of their own."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path)
+
+
+def put_in_place(fs, part: str, target: str) -> None:
+    """Gives a whole file its name.  Where another attempt of the task has done so, its bytes are the same, and this one's go."""
+    from pyarrow.fs import FileType
+
+    try:
+        fs.move(part, target)
+    except OSError:
+        if fs.get_file_info(target).type == FileType.NotFound:
+            raise
+        fs.delete_file(part)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

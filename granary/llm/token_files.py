@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from . import simple8b
-from .common import map_arrow, scratch_path, with_text, written
+from .common import file_system, map_arrow, put_in_place, scratch_path, with_text, written
 from .tokens import Encoder
 
 END = 2
@@ -28,18 +28,12 @@ END = 2
 NO_ID = -(1 << 63)
 
 
-def _file_system(path: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(path)
-
-
 def _writer(folder: str, tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, base = _file_system(folder)
+        fs, base = file_system(folder)
         encoder = Encoder(tokenizer)
         name, part = f"shard-{task.partitionId():06d}.s8b", f".part-{task.partitionId():06d}-{task.taskAttemptId()}"
         out = shard = None
@@ -54,7 +48,7 @@ def _writer(folder: str, tokenizer: str, end: int):
         if shard is not None:
             n = shard.close()
             out.close()
-            fs.move(f"{base}/{part}", f"{base}/{name}")
+            put_in_place(fs, f"{base}/{part}", f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int64()), "file": [name], "documents": pa.array([len(shard.ids)], pa.int64()), "tokens": pa.array([n], pa.int64())})
 
     return run
@@ -72,7 +66,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
 
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _file_system(folder)
+        fs, base = file_system(folder)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{base}/{name}") as f:

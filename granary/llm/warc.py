@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch_path, written
+from .common import file_system, map_arrow, put_in_place, scratch_path, written
 
 REVISIT_BYTES, DATE = 1000, "20240101000000"
 #: The fields of an ARC record's header line.
@@ -39,12 +39,6 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def _file_system(path: str):
-    from pyarrow.fs import FileSystem
-
-    return FileSystem.from_uri(path)
-
-
 def _member(data: bytes, level: int) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -207,13 +201,13 @@ class _Shard:
     def __init__(self, folder: str, name: str):
         from pyspark import TaskContext
 
-        self.fs, base = _file_system(folder)
+        self.fs, base = file_system(folder)
         self.part, self.name = f"{base}/.{name}-{TaskContext.get().taskAttemptId()}", f"{base}/{name}"
         self.out = self.fs.open_output_stream(self.part)
 
     def close(self) -> None:
         self.out.close()
-        self.fs.move(self.part, self.name)
+        put_in_place(self.fs, self.part, self.name)
 
 
 def _arc_writer(folder: str):
@@ -253,7 +247,7 @@ def _each_file(folder: str, rows, schema: pa.Schema, step: int = 4096):
     """A map function that runs `rows(fs, base, row)` for each input row and yields what it makes, in bounded batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _file_system(folder)
+        fs, base = file_system(folder)
         held: list[tuple] = []
 
         def batch_of() -> pa.RecordBatch:

@@ -167,7 +167,7 @@ def spans(docs: DataFrame) -> DataFrame:
     prefix = MIN_WORDS - SPREAD + 1
     keyed = _keyed(docs)
     suffixes = written(map_arrow(keyed.select(*KEY, "text"), _suffixes, "g_prefix bigint, g_doc bigint, g_text bigint, g_at int"), "suffixes")
-    twice = suffixes.groupBy("g_prefix").agg(F.count("*").alias("g_n")).filter("g_n > 1").select("g_prefix")
+    twice = written(suffixes.groupBy("g_prefix").agg(F.count("*").alias("g_n")).filter("g_n > 1").select("g_prefix"), "repeated-prefixes")  # apart, so that the join below can be split
     kept = written(suffixes.join(twice, "g_prefix", "left_semi"), "repeated-suffixes")
     ordered = kept.repartitionByRange("g_prefix", *KEY, "g_at").sortWithinPartitions("g_prefix", *KEY, "g_at")
     matches = written(_matches(_pairs(ordered), prefix).withColumn("g_match", F.monotonically_increasing_id()), "matches")

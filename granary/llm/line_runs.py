@@ -32,8 +32,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(named: DataFrame) -> DataFrame:
-    """The suffixes whose name is not alone."""
-    twice = named.groupBy("name").agg(F.count("*").alias("g_n")).filter("g_n > 1").select("name")
+    """The suffixes whose name is not alone.  The names are counted apart, so that a hot one can be split in the join."""
+    twice = written(named.groupBy("name").agg(F.count("*").alias("g_n")).filter("g_n > 1").select("name"), "repeated-names")
     return named.join(twice, "name", "left_semi")
 
 
@@ -53,7 +53,7 @@ def copies(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         depth *= 2
     if depth < min_run:
         level = written(_repeated(_joined(level, min_run - depth)), "line-names")
-    first = level.groupBy("name").agg(F.min(F.struct(*KEY, "at")).alias("g_first"))
+    first = written(level.groupBy("name").agg(F.min(F.struct(*KEY, "at")).alias("g_first")), "first-suffixes")
     later = level.join(first, "name").filter(~F.struct(*KEY, "at").eqNullSafe(F.col("g_first")))
     gone = later.select(*KEY, F.explode(F.sequence("at", F.col("at") + (min_run - 1))).alias("at")).distinct()
     same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in KEY] + [F.col("s.at") == F.col("t.at")]

@@ -27,8 +27,9 @@ from .common import map_arrow, with_text, written
 from .tokens import Encoder
 
 SIZE, END, TOLERANCE = 1024, 0, 8
-#: The linear program stops this near to its bound, or after so many rounds of so many columns; less work there only means more cuts.
-GAP, ROUNDS, COLUMNS = 0.001, 200, 64
+#: The linear program stops this near to its bound, or after so many rounds of so many columns, or
+#: when STALL rounds have gained less than a tenth of that; less work there only means more cuts.
+GAP, ROUNDS, COLUMNS, STALL = 0.001, 200, 64, 8
 
 
 # ---- the linear program -------------------------------------------------------------------------------------------
@@ -103,7 +104,11 @@ def patterns(histogram: np.ndarray, size: int = SIZE, gap: float = GAP, rounds:
     x = np.maximum(inverse @ demand, 0.0)
     dual = inverse.sum(axis=0)
     material = float(lengths @ demand) / size
+    was: list[float] = []
     for _ in range(rounds):
+        was.append(x.sum())
+        if len(was) > STALL and was[-STALL - 1] - was[-1] < gap / 10 * was[-1]:
+            break
         prices = np.zeros(size + 1)
         prices[lengths] = dual
         best, item = knapsack(prices, size)

@@ -43,5 +43,19 @@ def mermaid(edges: list[Edge]) -> str:
     return "\n".join(["flowchart LR", *(f"    {node(a)}[{a}] --> {node(b)}[{b}]" for a, b, _ in edges)])
 
 
+def nodes(spark: SparkSession, edges: list[Edge], tables: dict[str, tuple[DataFrame, int | None]]) -> DataFrame:
+    """A row per node of the edges: name, layer, n_rows and version; null for what is no table of this lake."""
+    names = sorted({n for a, b, _ in edges for n in (a, b)})
+    rows = [(n, n.split(".")[0], tables[n][0].count() if n in tables else None, tables[n][1] if n in tables else None) for n in names]
+    return spark.createDataFrame(rows, "name string, layer string, n_rows long, version long")
+
+
+def graph(edges: list[Edge], node_rows: list) -> str:
+    """Nodes and edges as JSON."""
+    import json
+
+    return json.dumps({"nodes": [r.asDict() for r in node_rows], "edges": [{"from": a, "to": b, "via": v} for a, b, v in edges]}, indent=2)
+
+
 def edges_frame(spark: SparkSession, edges: list[Edge]) -> DataFrame:
     return spark.createDataFrame(edges, "source string, target string, via string")

@@ -101,6 +101,27 @@ def same_period_last_year(fact: DataFrame, dates: DataFrame) -> DataFrame:
     return by.join(old, F.col("year") == F.col("_next"), "left").select("year", "revenue", "last_year", percent_of(F.col("revenue") - F.col("last_year"), F.col("last_year")).alias("yoy_pct"))
 
 
+#: What leaves the lake: columns by table; of customers nothing that tells who they are.
+EXPORTS = {
+    "fact_sales": ["order_item_id", "order_id", "date_key", "customer_sk", "product_key", "store_key", "order_status", "payment_method", "quantity", "unit_price", "discount_pct", "gross_amount", "discount_amount", "net_amount"],
+    "dim_customer": ["customer_sk", "customer_id", "city", "state", "signup_date", "effective_from", "effective_to", "is_current"],
+    "dim_product": ["product_key", "product_name", "category", "brand", "current_unit_price", "price_band"],
+    "dim_store": ["store_key", "store_name", "city", "region", "opened_date"],
+    "dim_date": ["date_key", "full_date", "year", "quarter", "month", "month_name", "year_month", "day_of_week", "day_name", "is_weekend", "fiscal_year"],
+}
+
+
+def export_star(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table of EXPORTS as CSV; validity of customer versions as dates."""
+    from granary.sources.files import export
+
+    for name, columns in EXPORTS.items():
+        df = tables[name]
+        if name == "dim_customer":
+            df = df.withColumns({c: F.to_date(c) for c in ("effective_from", "effective_to")})
+        export(df, f"{path}/{name}", columns)
+
+
 def secured(view: DataFrame, regions: list[str]) -> DataFrame:
     """Row-level security: the rows of a role's regions."""
     return view.filter(F.col("region").isin(*regions))

@@ -13,7 +13,7 @@ from granary.operators import cleaning, frames, lineage, modelling, quality, rec
 from granary.plans import analytics as A
 from granary.plans.oracles import LOST, PCT, PHONE, TITLE, TS, sql
 from granary.plans.star import AS_OF, Star
-from granary.sources import files, jdbc
+from granary.sources import catalog, files, jdbc, retail
 from granary.sources.versioned import SchemaMismatch, VersionedTable
 from granary.streaming import events as S
 
@@ -566,3 +566,96 @@ def stream_restart(s: Star) -> DataFrame:
     for _ in range(2):
         S.to_table(S.parsed(S.replay(s.spark, topic)), table, checkpoint, "events").awaitTermination()
     return table.read().groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(_CLOSED, "amount")
+def stream_window_update(s: Star) -> DataFrame:
+    """Every change of every window as a stream in update mode emits it; of each window the last change is the batch result."""
+    table, number = VersionedTable(s.spark, scratch(s.spark, "updates")), "batch"
+
+    def sink(batch: DataFrame, k: int) -> None:
+        table.append(batch.withColumn(number, F.lit(k)), once=f"updates:{k}")
+
+    stream = S.windows(S.parsed(S.replay(s.spark, _envelopes(s))))
+    stream.writeStream.outputMode("update").option("checkpointLocation", scratch(s.spark, "checkpoint")).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    last = F.max_by(F.struct("n_events", "amount"), number).alias("x")
+    return table.read().groupBy("window_start", "window_end", "event_type").agg(last).select("window_start", "window_end", "event_type", "x.n_events", "x.amount")
+
+
+# ---- the lake as a whole -------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('customers', 35), ('products', 10), ('stores', 0), ('orders', 250), ('order_items', 400)) t(table_name, n_changed)")
+def cdc_change_batch(s: Star) -> DataFrame:
+    """How many rows a change batch has, by table."""
+    out = None
+    for t in ("customers", "products", "stores", "orders", "order_items"):
+        one = retail.change_batch(s.spark, s.sf_dir, t, AS_OF).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_changed"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query(sql("SELECT 'customers' AS table_name, count(DISTINCT customer_id) + 10 AS n_keys, 25 AS n_moved FROM r_customers"))
+def cdc_bronze_history(s: Star) -> DataFrame:
+    """All versions of customers in a table that a full load and a change batch were appended to: current keys, and those that moved."""
+    bronze = VersionedTable(s.spark, scratch(s.spark, "bronze"))
+    audit = lambda df, kind: jdbc.audited(df.drop("_ingested_at", "_source", "_batch_id"), "source.customers", kind, kind, F.lit(AS_OF).cast("timestamp"))
+    bronze.append(audit(s.raw("customers").filter("customer_id is not null"), "full"), partition_by=("ingest_date",), once="full")
+    bronze.append(audit(retail.change_batch(s.spark, s.sf_dir, "customers", AS_OF).filter("customer_id is not null"), "incremental"), partition_by=("ingest_date",), once="change")
+    current = frames.latest(bronze.read(), "customer_id")
+    return current.agg(F.lit("customers").alias("table_name"), F.count("*").alias("n_keys"), F.count_if(F.col("city") == "Moved City").cast("int").alias("n_moved"))
+
+
+@query("SELECT 'supplier' AS table_name, count(*) AS n_rows FROM supplier UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'part', count(*) FROM part")
+def migration_counts(s: Star) -> DataFrame:
+    """Rows of source tables after they went to versioned tables and back; a failed checksum would drop a table from the result."""
+    out = None
+    for t in ("supplier", "nation", "part"):
+        copy = VersionedTable(s.spark, scratch(s.spark, t))
+        copy.append(s.table(t))
+        one = reconcile.same_rows(s.table(t), copy.read(), t).filter("ok").select("table_name", F.col("made_rows").alias("n_rows"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("SELECT * FROM (VALUES ('lake_x.nations', 'n_name', 'string', 'EXTERNAL', 'parquet'), ('lake_x.nations', 'n_nationkey', 'int', 'EXTERNAL', 'parquet'), ('lake_x.ratings', 'rating', 'double', 'EXTERNAL', 'csv'), ('lake_x.ratings', 'supplier_id', 'int', 'EXTERNAL', 'csv')) t(table_name, column_name, type, table_type, provider)")
+def catalog_tables(s: Star) -> DataFrame:
+    """External tables over Parquet and over CSV with a header, as the catalogue describes them; their files outlive them."""
+    path = scratch(s.spark, "external")
+    s.table("nation").select("n_nationkey", "n_name").write.parquet(f"{path}/nations")
+    files.export(s.table("supplier").select(F.col("s_suppkey").cast("int").alias("supplier_id"), F.col("s_acctbal").alias("rating")), f"{path}/ratings")
+    catalog.databases(s.spark, "lake_x")
+    catalog.external(s.spark, "lake_x.nations", f"{path}/nations")
+    catalog.external(s.spark, "lake_x.ratings", f"{path}/ratings", "csv", "supplier_id int, rating double", header="true")
+    out = catalog.tables(s.spark, "lake_x")
+    top = s.spark.sql("SELECT supplier_id FROM lake_x.ratings ORDER BY rating DESC, supplier_id LIMIT 3").collect()
+    catalog.unregister(s.spark, "lake_x.nations")
+    assert len(top) == 3 and s.spark.read.parquet(f"{path}/nations").count() > 0
+    return out
+
+
+@query("SELECT * FROM (VALUES ('fact_sales', 14), ('dim_customer', 8), ('dim_product', 6), ('dim_store', 5), ('dim_date', 11)) t(table_name, n_columns)")
+def export_allow_lists(s: Star) -> DataFrame:
+    """The exported files' headers, counted; no name, address or number of a person is among them."""
+    path = scratch(s.spark, "exports")
+    A.export_star({"fact_sales": s.fact, "dim_customer": s.customer_dimension, "dim_product": s.product_dimension, "dim_store": s.store_dimension, "dim_date": s.dates}, path)
+    rows = []
+    for name in A.EXPORTS:
+        columns = s.spark.read.csv(f"{path}/{name}", header=True).columns
+        assert not {"first_name", "last_name", "email_hash", "phone_masked"} & set(columns)
+        rows.append((name, len(columns)))
+    return s.spark.createDataFrame(rows, "table_name string, n_columns int")
+
+
+@query("SELECT * FROM (VALUES ('gold.sales', 'gold', NULL, NULL), ('gold.top_sales', 'gold', NULL, NULL), ('gold.customers', 'gold', NULL, NULL), ('silver.customers', 'silver', NULL, NULL), ('silver.facts', 'silver', NULL, NULL), ('silver.stores', 'silver', 25, 3)) t(name, layer, n_rows, version)")
+def lineage_nodes(s: Star) -> DataFrame:
+    t = _versions(s)
+    edges = [e for k in files.statements(GOLD_SCRIPT) for e in lineage.script_edges("gold.sql", k)]
+    return lineage.nodes(s.spark, edges, {"silver.stores": (t.read(), t.versions()[-1])})
+
+
+@query("SELECT count(DISTINCT c_nationkey) + 1 AS n_distinct FROM customer")
+def distinct_with_null(s: Star) -> DataFrame:
+    """Distinct values where null counts once, unlike in count(DISTINCT)."""
+    k = F.col("c_nationkey")
+    return s.table("customer").select(k).unionAll(s.table("customer").select(F.lit(None).cast("int"))).distinct().agg(F.count("*").alias("n_distinct"))

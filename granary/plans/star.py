@@ -17,7 +17,7 @@ BANDS = {"Budget": 920, "Mid": 970}
 
 
 class Star:
-    """Each attribute is planned once; facts stay lazy, and dimensions are saved when first asked for."""
+    """Each attribute is planned once; order lines and facts stay lazy, orders and dimensions, which several plans read, are saved when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -30,7 +30,7 @@ class Star:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
-        """A dimension, or what one is made of, as a table: many plans read it, and it is small beside the facts."""
+        """A table that several plans read, in the shared folder."""
         top = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.conf.get("spark.sql.warehouse.dir")
         path = f"{top.rstrip('/')}/granary-{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
@@ -56,7 +56,8 @@ class Star:
 
     @cached_property
     def orders(self):
-        return cleaning.orders(self.raw("orders"), self.customers[0], self.stores[0], self.as_of, self.earliest)
+        good, bad = cleaning.orders(self.raw("orders"), self.customers[0], self.stores[0], self.as_of, self.earliest)
+        return self.saved(good, "orders"), bad
 
     @cached_property
     def items(self):

@@ -89,6 +89,10 @@ class VersionedTable:
         frames = [self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in p)).select(*schema.names) for p in parts]
         return functools.reduce(DataFrame.unionAll, frames)
 
+    def state(self) -> dict:
+        """What the newest append left besides rows."""
+        return self.manifest().get("state", {}) if self.exists() else {}
+
     def history(self) -> DataFrame:
         """version, timestamp, operation, n_rows, newest first."""
         rows = [(m["version"], m["operation"], m["rows"], m["timestamp"]) for m in map(self.manifest, reversed(self.versions()))]
@@ -132,16 +136,15 @@ class VersionedTable:
         """All rows anew, with the rows' schema."""
         return self.replace(df, "WRITE overwrite")
 
-    def append(self, df: DataFrame, merge_schema: bool = False, partition_by: tuple[str, ...] = (), once: str | None = None) -> int | None:
-        """Adds rows.  Unknown columns are refused, or added with `merge_schema`.  `once`: a name (say query and batch) that is appended once only."""
-        if not self.exists():
-            return self.replace(df, "WRITE append", partition_by)
-        m = self.manifest()
+    def append(self, df: DataFrame, merge_schema: bool = False, partition_by: tuple[str, ...] = (), once: str | None = None, state: dict | None = None) -> int | None:
+        """Adds rows.  Unknown columns are refused, or added with `merge_schema`.  `once`: a name (say query and batch) that is appended once only.
+        `state` is kept with the version, so that what a reader goes on from is committed with the rows or not at all."""
+        m = self.manifest() if self.exists() else {"version": -1, "schema": T.StructType([]).jsonValue(), "folders": [], "rows": 0}
         if once and once in m.get("once", []):
             return None
-        schema = self._united(T.StructType.fromJson(m["schema"]), df.schema, merge_schema)
+        schema = self._united(T.StructType.fromJson(m["schema"]), df.schema, merge_schema) if m["version"] >= 0 else df.schema
         folder, n = self._write(df, partition_by)
-        return self._commit(m["version"] + 1, "WRITE append", schema, [*m["folders"], folder], m["rows"] + n, once=[*m.get("once", []), *([once] if once else [])])
+        return self._commit(m["version"] + 1, "WRITE append", schema, [*m["folders"], folder], m["rows"] + n, once=[*m.get("once", []), *([once] if once else [])], state={**m.get("state", {}), **(state or {})})
 
     def merge(self, source: DataFrame, on: Column, update: dict[str, Column], insert: dict[str, Column]) -> int:
         """Rows of the table (alias t) that match a source row (alias s) are updated, source rows that match none are inserted.

@@ -479,12 +479,12 @@ def time_travel_read(s: Star) -> DataFrame:
     return _versions(s).read(1)
 
 
-@query("SELECT * FROM (VALUES (0, 'CREATE TABLE', 0, 0), (1, 'WRITE append', 10, 5), (2, 'WRITE append', 20, 10), (3, 'MERGE', 25, 13)) t(version, operation, n_rows, n_matching)")
+@query("SELECT CAST(version AS BIGINT) AS version, operation, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_matching AS BIGINT) AS n_matching FROM (VALUES (0, 'CREATE TABLE', 0, 0), (1, 'WRITE append', 10, 5), (2, 'WRITE append', 20, 10), (3, 'MERGE', 25, 13)) t(version, operation, n_rows, n_matching)")
 def time_travel_counts(s: Star) -> DataFrame:
     return _versions(s).as_of_counts("n_nationkey % 2 = 0")
 
 
-@query("SELECT * FROM (VALUES (3, 'MERGE', 25), (2, 'WRITE append', 20), (1, 'WRITE append', 10), (0, 'CREATE TABLE', 0)) t(version, operation, n_rows)")
+@query("SELECT CAST(version AS BIGINT) AS version, operation, CAST(n_rows AS BIGINT) AS n_rows FROM (VALUES (3, 'MERGE', 25), (2, 'WRITE append', 20), (1, 'WRITE append', 10), (0, 'CREATE TABLE', 0)) t(version, operation, n_rows)")
 def table_history(s: Star) -> DataFrame:
     return _versions(s).history().drop("timestamp")
 
@@ -585,7 +585,7 @@ def stream_window_update(s: Star) -> DataFrame:
 # ---- the lake as a whole -------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('customers', 35), ('products', 10), ('stores', 0), ('orders', 250), ('order_items', 400)) t(table_name, n_changed)")
+@query("SELECT table_name, CAST(n_changed AS BIGINT) AS n_changed FROM (VALUES ('customers', 35), ('products', 10), ('stores', 0), ('orders', 250), ('order_items', 400)) t(table_name, n_changed)")
 def cdc_change_batch(s: Star) -> DataFrame:
     """How many rows a change batch has, by table."""
     out = None
@@ -647,7 +647,7 @@ def export_allow_lists(s: Star) -> DataFrame:
     return s.spark.createDataFrame(rows, "table_name string, n_columns int")
 
 
-@query("SELECT * FROM (VALUES ('gold.sales', 'gold', NULL, NULL), ('gold.top_sales', 'gold', NULL, NULL), ('gold.customers', 'gold', NULL, NULL), ('silver.customers', 'silver', NULL, NULL), ('silver.facts', 'silver', NULL, NULL), ('silver.stores', 'silver', 25, 3)) t(name, layer, n_rows, version)")
+@query("SELECT name, layer, CAST(n_rows AS BIGINT) AS n_rows, CAST(version AS BIGINT) AS version FROM (VALUES ('gold.sales', 'gold', NULL, NULL), ('gold.top_sales', 'gold', NULL, NULL), ('gold.customers', 'gold', NULL, NULL), ('silver.customers', 'silver', NULL, NULL), ('silver.facts', 'silver', NULL, NULL), ('silver.stores', 'silver', 25, 3)) t(name, layer, n_rows, version)")
 def lineage_nodes(s: Star) -> DataFrame:
     t = _versions(s)
     edges = [e for k in files.statements(GOLD_SCRIPT) for e in lineage.script_edges("gold.sql", k)]

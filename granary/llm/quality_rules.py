@@ -143,7 +143,7 @@ def apply_rules(docs: DataFrame, **parameters) -> DataFrame:
     Where one doc_id stands on several rows, the rows' verdicts are united: one is kept if any is.
     """
     verdict = quality_rules(docs, **parameters).filter("kept").groupBy(F.col("doc_id").alias("g_id")).agg(F.flatten(F.collect_set("removed_lines")).alias("g_gone"))
-    kept = docs.join(verdict, F.col("doc_id") == F.col("g_id")).select(*docs.columns, "g_gone").withColumn("text", F.coalesce("text", F.lit("")))
+    kept = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("g_id"))).select(*docs.columns, "g_gone").withColumn("text", F.coalesce("text", F.lit("")))
     out = map_arrow(kept, _stripped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

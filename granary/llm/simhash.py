@@ -118,7 +118,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = 5) -> DataFrame:
-    """The pipeline's stage: the document with the smallest doc_id of each component stays, once; columns as in `docs`."""
+    """The pipeline's stage: the document with the smallest doc_id of each component stays, once; columns as in `docs`.
+
+    Rows without a doc_id cannot be told apart by it and stay only through another row of their component.
+    """
     found = near_duplicates(docs, distance, size)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("g_id")).distinct()
     once = docs.join(kept, F.col("doc_id") == F.col("g_id"), "left_semi")

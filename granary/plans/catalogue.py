@@ -14,6 +14,7 @@ from granary.plans import analytics as A
 from granary.plans.oracles import LOST, PCT, PHONE, TITLE, TS, sql
 from granary.plans.star import AS_OF, Star
 from granary.sources import catalog, files, jdbc, retail
+from granary.sources.scratch import scratch
 from granary.sources.versioned import SchemaMismatch, VersionedTable
 from granary.streaming import events as S
 
@@ -37,12 +38,6 @@ def query(oracle: str | None = None, *money: str):
     return of
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names; below the warehouse, where it names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/granary-{name}-{uuid.uuid4().hex}"
-
-
 # ---- analytic queries ----------------------------------------------------------------------------------------------
 
 _SOLD = f"SELECT year_month, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue, count(DISTINCT order_id) AS n_orders FROM view_ WHERE {LOST} GROUP BY year_month"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import cleaning, modelling
 from granary.sources import retail
+from granary.sources.scratch import scratch
 
 AS_OF, EARLIEST = "2002-01-01 00:00:00", "1995-01-01 00:00:00"
 #: Prices of the driver's parts lie between 849 and 1100 or so.
@@ -31,8 +31,7 @@ class Star:
 
     def saved(self, df: DataFrame, name: str) -> DataFrame:
         """A table that several plans read, in the shared folder."""
-        top = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{top.rstrip('/')}/granary-{name}-{uuid.uuid4().hex}"
+        path = scratch(self.spark, name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

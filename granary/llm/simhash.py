@@ -16,6 +16,7 @@ doc_id and text are one document; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,30 +29,47 @@ from .common import map_arrow, with_text, written
 from .components import components
 
 DISTANCE, CROWD, SHINGLE = 3, 32, 3
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Words of a text that are held at once where it is very long.
+BLOCK = 1 << 16
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
+def _blocks(text: bytes) -> Iterator[list[bytes]]:
+    if len(text) <= 16 * BLOCK:
+        yield WORD.findall(text)
+        return
+    words = (m[0] for m in WORD.finditer(text))
+    while block := list(itertools.islice(words, BLOCK)):
+        yield block
+
+
+def fingerprint(text: str | bytes, size: int = SHINGLE) -> int:
     """Bit b is 1 if it is set in over half of the XXH64 hashes (seed 42) of the shingles, repeats included; no words: zero."""
     import xxhash
 
-    words = WORD.findall(text.translate(_LOWER))
-    if not words:
-        return 0
-    grams = [" ".join(words)] if len(words) <= size else [" ".join(g) for g in zip(*(words[k:] for k in range(size)), strict=False)]
-    digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, np.int64), len(grams)
-    for at in range(0, n, 8192):
-        h = np.array([digest(g, 42) for g in grams[at : at + 8192]], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    digest, total, n, words = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+
+    def count(grams: list[bytes]) -> None:
+        nonlocal total, n
+        for at in range(0, len(grams), 8192):
+            h = np.array([digest(g, 42) for g in grams[at : at + 8192]], dtype="<u8")
+            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(grams)
+
+    for block in _blocks((text.encode() if isinstance(text, str) else text).translate(_LOWER)):
+        words += block
+        count([b" ".join(g) for g in zip(*(words[k:] for k in range(size)), strict=False)])
+        words = words[max(len(words) - size + 1, 0) :]
+    if not n and words:
+        count([b" ".join(words)])
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.array([fingerprint(x.as_py(), size) for x in batch.column(1)], np.uint64).view(np.int64)
+            f = np.array([fingerprint(x, size) for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], names=["doc_id", "g_print"])
 
     return run

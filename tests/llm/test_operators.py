@@ -138,6 +138,19 @@ def test_near_prints_link_as_by_brute_force(spark, crowd):
     assert {d: min(g) for g in groups.values() for d in g} == want
 
 
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_fingerprint_by_its_definition(monkeypatch, block):
+    import xxhash
+
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    for size in (3, 5):
+        for text in ("", " ", "Aé", "a B\nc", "One two three two ONE two three É ñ " * 9, " ".join(words(70))):
+            w = WORD.findall(text.translate(LOWER))
+            grams = [" ".join(w[k : k + size]) for k in range(len(w) - size + 1)] or ([" ".join(w)] if w else [])
+            h = [xxhash.xxh64(g.encode(), 42).intdigest() for g in grams]
+            assert simhash.fingerprint(text, size) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_simhash_of_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

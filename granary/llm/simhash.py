@@ -12,6 +12,13 @@ the same as those of all links.
 
 Null texts are empty; texts without words have the fingerprint zero and are linked like any others.  Rows with an equal
 doc_id and text are one document; an empty table gives an empty result.
+
+The pipeline's stage (`keep_one`) links, besides, every two texts whose sets of shingles have a Jaccard similarity of ``SIMILAR``
+or more, which differ by far more than three bits.  Candidates share one of ``BANDS`` keys of ``ROWS`` least hashes each (a pair
+at the limit shares none with a chance of 3 in a million, more similar ones with less), and each is verified by its complete sets.
+Equal sets are one node.  The members of a key are first verified against one of them, another for each key; after that only
+members of different groups are, so that a group of near copies makes no pairs in the square of its size.  Texts that share a key
+and are less similar than the limit are all compared.
 """
 
 from __future__ import annotations
@@ -25,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .common import map_arrow, with_text, written
 from .components import components
 
 DISTANCE, CROWD, SHINGLE = 3, 32, 3
+SIMILAR, BANDS, ROWS = 0.8, 24, 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of a text that are held at once where it is very long.
@@ -135,12 +144,116 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     return prints.join(named, F.col("g_print") == F.col("g_of")).select("doc_id", F.lower(F.lpad(F.hex("g_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = 5) -> DataFrame:
+def shingles(c: K.Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each document's distinct shingles, sorted, and where each document's begin; fewer words than `size` are one shingle."""
+    start, end, bounds = c.words()
+    sums, n = K.prefix_sums(c.hashes(start, end, K.LOWER)), np.diff(bounds)
+    first = np.concatenate([[0], np.cumsum(np.where(n < size, n > 0, n - size + 1))])
+    doc = K.owner(first)
+    at = np.arange(len(doc)) - first[doc] + bounds[doc]
+    g = K.span_hash(sums, at, np.minimum(at + size, bounds[doc + 1]))
+    order = np.lexsort((g, doc))
+    g, doc = g[order], doc[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    return g[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
+
+
+def band_keys(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each set; `starts` has the sets' first hashes, none is empty."""
+    keys = np.empty((len(starts), BANDS), np.uint64)
+    salt, factor = K.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)), K.mixed(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) | np.uint64(1)
+    for b in range(BANDS):
+        key = np.full(len(starts), b + 1, np.uint64)
+        for k in range(b * ROWS, (b + 1) * ROWS):
+            key = K.mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((g ^ salt[k]) * factor[k], starts))
+        keys[:, b] = key
+    return keys
+
+
+def _described(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in K.chunks(batch.column(2)):
+                g, first = shingles(c, size)
+                has = np.diff(first) > 0
+                keys, sets = np.zeros((0, BANDS), np.uint64), np.zeros(len(has), np.uint64)
+                if has.any():
+                    keys = band_keys(g, first[:-1][has])
+                    sets[has] = K.mixed(np.add.reduceat(K.mixed(g), first[:-1][has]) + np.diff(first)[has].astype(np.uint64))
+                raw = c.data.tobytes()
+                prints = np.array([fingerprint(raw[a:b], size) for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True)], np.uint64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[c.rows], batch.column(1)[c.rows], pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64), mask=~has), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))],
+                    names=["g_doc", "g_text", "g_print", "g_set", "g_bands"],
+                )
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in K.chunks(batch.column(1)):
+                g, first = shingles(c, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))], names=["g_set", "g_shingles"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least that Jaccard similarity."""
+    for end in "ab":
+        own = sets.select(F.col("g_set").alias(f"g_of_{end}"), F.col("g_shingles").alias(f"g_{end}"))
+        pairs = pairs.join(own, F.col(end) == F.col(f"g_of_{end}"))
+    total, both = F.size("g_a") + F.size("g_b"), F.size(F.array_intersect("g_a", "g_b"))
+    # sets too unequal in size are left out before they are compared
+    may = F.least(F.size("g_a"), F.size("g_b")) >= F.lit(similar) * F.greatest(F.size("g_a"), F.size("g_b")) - 1e-9
+    return pairs.filter(F.when(may, both >= F.lit(similar) * (total - both) - 1e-9).otherwise(False)).select("a", "b")
+
+
+def similar_sets(described: DataFrame, keyed: DataFrame, similar: float, size: int) -> DataFrame:
+    """Links (a, b) of g_set whose components are those of all similar pairs; `keyed` has g_doc, g_text, text."""
+    sets = described.filter("g_set is not null").groupBy("g_set").agg(F.min(F.struct("g_doc", "g_text")).alias("g_row"), F.first("g_bands").alias("g_bands"))
+    keys = written(sets.select("g_set", "g_row", F.explode("g_bands").alias("g_key")), "band-keys")
+    hubs = keys.groupBy("g_key").agg(F.count("*").alias("g_n"), F.min(F.struct(F.xxhash64("g_set", "g_key"), "g_set"))["g_set"].alias("g_hub")).filter("g_n > 1").drop("g_n")
+    members = written(keys.join(written(hubs, "band-hubs"), "g_key"), "band-members")
+    asked = members.select("g_set", F.col("g_row.g_doc").alias("m_doc"), F.col("g_row.g_text").alias("m_text")).distinct()
+    own = keyed.join(asked, F.col("g_doc").eqNullSafe(F.col("m_doc")) & (F.col("g_text") == F.col("m_text"))).select("g_set", "text")
+    found = written(map_arrow(own, _sets(size), "g_set bigint, g_shingles array<bigint>").dropDuplicates(["g_set"]), "shingle-sets")
+    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    tried = written(members.filter("g_set != g_hub").select(*ordered("g_set", "g_hub")).distinct(), "hub-pairs")
+    links = written(_verified(tried, found, similar), "hub-links")
+    groups = components(links)
+    grouped = members.join(groups, F.col("g_set") == F.col("node"), "left").select("g_key", "g_set", F.coalesce("component", "g_set").alias("g_group"))
+    grouped = written(grouped, "band-groups")
+    several = written(grouped.groupBy("g_key").agg(F.min("g_group").alias("x"), F.max("g_group").alias("y")).filter("x < y").select("g_key"), "mixed-bands")
+    left = written(grouped.join(several, "g_key", "left_semi"), "mixed-members")
+    other = left.select(F.col("g_key").alias("h_key"), F.col("g_set").alias("h_set"), F.col("g_group").alias("h_group"))
+    pairs = left.join(other, (F.col("g_key") == F.col("h_key")) & (F.col("g_group") < F.col("h_group"))).select(*ordered("g_set", "h_set")).distinct()
+    return links.unionAll(_verified(written(pairs.join(tried, ["a", "b"], "left_anti"), "band-pairs"), found, similar))
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = 5, similar: float = SIMILAR) -> DataFrame:
     """The pipeline's stage: the document with the smallest doc_id of each component stays, once; columns as in `docs`.
 
+    Texts are linked by fingerprints within `distance` bits, and by shingle sets of Jaccard similarity `similar` or more.
     Rows without a doc_id cannot be told apart by it and stay only through another row of their component.
     """
-    found = near_duplicates(docs, distance, size)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("g_id")).distinct()
-    once = docs.join(kept, F.col("doc_id") == F.col("g_id"), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("g_doc"), F.xxhash64(text).alias("g_text"), text.alias("text"))
+    described = written(map_arrow(keyed, _described(size), "g_doc bigint, g_text bigint, g_print bigint, g_set bigint, g_bands array<bigint>"), "described")
+    prints = described.select("g_print").distinct()
+    close = print_components(written(prints, "print-classes"), distance).select(F.col("component").alias("a"), F.col("node").alias("b"))
+    # what links sets links the least prints of each, and a set's prints are linked to its least
+    owners = written(described.filter("g_set is not null").select("g_set", "g_print").distinct(), "set-prints")
+    least = written(owners.groupBy("g_set").agg(F.min("g_print").alias("g_least")), "set-least-prints")
+    alike = owners.join(least, "g_set").filter("g_print != g_least").select(F.col("g_least").alias("a"), F.col("g_print").alias("b"))
+    sets = similar_sets(described, keyed, similar, size)
+    for end in "ab":
+        sets = sets.join(least.select(F.col("g_set").alias(f"g_of_{end}"), F.col("g_least").alias(f"g_{end}")), F.col(end) == F.col(f"g_of_{end}"))
+    found = components(close.unionAll(alike).unionAll(sets.select(F.col("g_a").alias("a"), F.col("g_b").alias("b"))))
+    linked = described.join(found, F.col("g_print") == F.col("node"), "left").select("g_doc", F.coalesce("component", "g_print").alias("g_top"))
+    kept = linked.groupBy("g_top").agg(F.min("g_doc").alias("g_id")).select("g_id").distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("g_id"), "left_semi").dropDuplicates(["doc_id"])

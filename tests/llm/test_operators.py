@@ -163,6 +163,41 @@ def test_simhash_of_odd_rows(spark, odd):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {0, 2, 5, 11}
 
 
+def brute_similar(texts, similar=0.8, size=5):
+    """The least id of each component of texts whose shingle sets are similar, or whose fingerprints are near."""
+    sets = {}
+    for d, t in texts.items():
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[d] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+    top = brute_components({d: simhash.fingerprint(t or "", size) for d, t in texts.items()})
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and top[a] != top[b] and 10 * len(sets[a] & sets[b]) >= 10 * similar * len(sets[a] | sets[b]) - 1e-9 and sets[a]:
+                low, high = sorted((top[a], top[b]))
+                top = {d: low if c == high else c for d, c in top.items()}
+    return top
+
+
+def test_similar_shingle_sets_are_near_duplicates(spark):
+    rng = np.random.default_rng(7)
+    texts = {}
+    for k in range(12):
+        base = words(160, 50 + k)
+        texts[20 * k] = " ".join(base)
+        for j in range(1, 12):
+            own = list(base)
+            for at in rng.choice(160, j // 2 + 1, replace=False):
+                own[at] = f"new{k}x{j}x{at}"
+            texts[20 * k + j] = " ".join(own)
+    texts |= {1000: None, 1001: "", 1002: "a b", 1003: "A  b", 1004: " ".join(words(40, 3) + words(40, 3)), 1005: " ".join(words(40, 3) + words(40, 3) * 6)}
+    top = brute_similar(texts)
+    prints = brute_components({d: simhash.fingerprint(t or "", 5) for d, t in texts.items()})
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in simhash.keep_one(frame).collect()}
+    assert kept == {d for d, c in top.items() if c == d}
+    assert len(kept) < len({d for d, c in prints.items() if c == d})
+
+
 def test_repeated_passages(spark):
     a, b, c = words(300), words(300, 3), words(200, 4)
     texts = {1: a, 2: b[:100] + a[37:87] + b[100:], 3: b[:90] + a[40:79] + c, 4: a, 5: c[:60] + ["END"] + c[:60], 6: b[:20], 7: [], 8: [w.upper() for w in b[100:180]] + words(9, 9)}

@@ -10,6 +10,9 @@ Of an interval of depth ``MIN_RUN`` the first suffix, by (doc_id, place), stays,
 Overlapping copies unite to the maximal repeated runs, which are deleted.
 
 Counts are summed before the shuffle, and an interval is one row where suffixes are joined to it, so that AQE can split a hot one.
+The pipeline's stage (`drop_copies`) also takes one line of ``LONG_WORDS`` words or more for a run: later copies of it are deleted
+wherever they stand.  The query `op7_line_runs` does not, as its rows are held against SQL that knows runs of ``MIN_RUN`` lines only.
+
 Blank lines are no lines here, break no run, and stay.  Null texts are empty.  Rows with equal doc_id and text are one document and
 lose the same lines; a null doc_id comes first.  Lines that differ in white space differ.  An empty table gives none.
 """
@@ -21,14 +24,22 @@ from pyspark.sql import functions as F
 
 from .common import with_text, written
 
-MIN_RUN = 2
+MIN_RUN, LONG_WORDS = 2, 50
 KEY = ["g_doc", "g_text"]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(g_doc, g_text, at: index among lines that count, line: index among all, name)."""
-    all_lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), x.rlike(r"[^\x09-\x0D\x20]").alias("counts")))
-    return docs.select(*KEY, F.posexplode(F.filter(all_lines, lambda x: x["counts"])).alias("at", "x")).select(*KEY, "at", F.col("x.line").alias("line"), F.col("x.name").alias("name"))
+def _is_long(line, words: int | None):
+    """Whether a line has at least so many words; none has for None.  Short lines are told by their length."""
+    if words is None:
+        return F.lit(False)
+    counted = F.size(F.filter(F.split(line, r"[\x09-\x0D\x20]+"), lambda w: w != ""))
+    return F.when(F.length(line) >= 2 * words - 1, counted >= words).otherwise(False)
+
+
+def _lines(docs: DataFrame, long_words: int | None) -> DataFrame:
+    """(g_doc, g_text, at: index among lines that count, line: index among all, name, long)."""
+    all_lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("name"), x.rlike(r"[^\x09-\x0D\x20]").alias("counts"), _is_long(x, long_words).alias("long")))
+    return docs.select(*KEY, F.posexplode(F.filter(all_lines, lambda x: x["counts"])).alias("at", "x")).select(*KEY, "at", *(F.col(f"x.{c}").alias(c) for c in ("line", "name", "long")))
 
 
 def _repeated(named: DataFrame) -> DataFrame:
@@ -43,9 +54,15 @@ def _joined(named: DataFrame, step: int) -> DataFrame:
     return named.withColumn("g_next", F.max("name").over(ahead)).filter("g_next is not null").select(*KEY, "at", "line", F.xxhash64("name", "g_next").alias("name"))
 
 
-def copies(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """The lines to delete: (g_doc, g_text, line), each once; `docs` has g_doc, g_text, text."""
-    lines = _lines(docs).dropDuplicates([*KEY, "at"])
+def _later(level: DataFrame) -> DataFrame:
+    """The suffixes that are not the first of their name."""
+    first = written(level.groupBy("name").agg(F.min(F.struct(*KEY, "at")).alias("g_first")), "first-suffixes")
+    return level.join(first, "name").filter(~F.struct(*KEY, "at").eqNullSafe(F.col("g_first")))
+
+
+def copies(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
+    """The lines to delete: (g_doc, g_text, line), each once; `docs` has g_doc, g_text, text.  Lines of `long_words` words are runs by themselves."""
+    lines = _lines(docs, long_words).dropDuplicates([*KEY, "at"])
     level = written(_repeated(lines), "line-names")
     single, depth = level, 1
     while 2 * depth <= min_run:
@@ -53,9 +70,10 @@ def copies(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         depth *= 2
     if depth < min_run:
         level = written(_repeated(_joined(level, min_run - depth)), "line-names")
-    first = written(level.groupBy("name").agg(F.min(F.struct(*KEY, "at")).alias("g_first")), "first-suffixes")
-    later = level.join(first, "name").filter(~F.struct(*KEY, "at").eqNullSafe(F.col("g_first")))
-    gone = later.select(*KEY, F.explode(F.sequence("at", F.col("at") + (min_run - 1))).alias("at")).distinct()
+    gone = _later(level).select(*KEY, F.explode(F.sequence("at", F.col("at") + (min_run - 1))).alias("at"))
+    if long_words is not None:
+        gone = gone.unionAll(_later(single.filter("long")).select(*KEY, "at"))
+    gone = gone.distinct()
     same = [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in KEY] + [F.col("s.at") == F.col("t.at")]
     return single.alias("s").join(gone.alias("t"), same).select(*(F.col(f"s.{k}").alias(k) for k in KEY), F.col("s.line").alias("line"))
 
@@ -64,10 +82,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("g_doc", F.col("doc_id").cast("long")).withColumn("g_text", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def without_runs(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def without_runs(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """`docs` with text less the deleted lines, and g_lines, g_deleted: how many lines a text has, and how many were deleted."""
     keyed = _keyed(docs)
-    gone = copies(with_text(keyed, *KEY), min_run).groupBy(*(F.col(k).alias(f"m_{k}") for k in KEY)).agg(F.sort_array(F.collect_list("line")).alias("d"))
+    gone = copies(with_text(keyed, *KEY), min_run, long_words).groupBy(*(F.col(k).alias(f"m_{k}") for k in KEY)).agg(F.sort_array(F.collect_list("line")).alias("d"))
     # a byte for each line up to the last deleted one: 1 is deleted; bytes, unlike characters, are found at once
     zeros = lambda x, j: F.concat(F.repeat(F.lit("0"), x - F.when(j > 0, F.get("d", j - 1) + 1).otherwise(0)), F.lit("1"))
     masks = gone.select("m_g_doc", "m_g_text", F.size("d").alias("g_deleted"), F.array_join(F.transform("d", zeros), "").cast("binary").alias("g_mask"))
@@ -84,9 +102,9 @@ def line_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return without_runs(named, min_run).select("doc_id", F.col("g_lines").alias("n_lines"), F.col("g_deleted").alias("n_deleted"), "text")
 
 
-def drop_copies(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def drop_copies(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = LONG_WORDS) -> DataFrame:
     """The pipeline's stage: deleted lines leave the texts, and documents of which nothing is left go; columns as in `docs`."""
-    out = without_runs(docs, min_run).filter((F.col("g_deleted") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(*docs.columns)
+    out = without_runs(docs, min_run, long_words).filter((F.col("g_deleted") == 0) | F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(*docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

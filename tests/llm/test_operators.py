@@ -261,6 +261,15 @@ def test_line_runs(spark):
     assert "Python" not in line_runs.line_dedup(docs)._jdf.queryExecution().toString()
 
 
+def test_long_lines_are_runs_in_the_pipeline(spark):
+    long, short = " ".join(words(50, 8)), " ".join(words(49, 9))
+    texts = {1: f"a\n{long}\nb\n{short}", 2: f"c\n{long}\nd", 3: long, 4: f"e\n{short}\nf", 5: f"g\n{long}\n\n{long}", 6: f"{long} "}
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in texts.items()], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in line_runs.drop_copies(docs).collect()}
+    assert got == {1: texts[1], 2: "c\nd", 4: texts[4], 5: "g\n", 6: texts[6]}
+    assert "Python" not in line_runs.drop_copies(docs)._jdf.queryExecution().toString()
+
+
 def test_classifier_learns_and_keeps_folds_apart(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

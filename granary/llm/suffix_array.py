@@ -7,6 +7,9 @@ place over all tasks by ranges, which split a hot prefix, and each is compared w
 prefixes match; matches of two documents on one diagonal that touch unite, and are extended to the left and right word by word.
 The matched words of the suffix that stands later, by (doc_id, text hash, place), are a repeat.
 
+The neighbour may share fewer words beyond the prefix than a copy before it.  So where three suffixes or more share a prefix, the
+windows of MIN_WORDS words about each are hashed too, and every window that is not the first of its hash is a repeat as well.
+
 A passage of MIN_WORDS words or more that occurs twice, in two documents or in one, is always found: both occurrences retain the same
 suffix that has PREFIX of the passage's words before it ends.  Passages of PREFIX to MIN_WORDS - 1 words are found where a retained suffix happens to begin
 them.  Words are compared with A-Z in lower case, by 64-bit hashes.
@@ -162,16 +165,45 @@ def _extended(docs: DataFrame, matches: DataFrame) -> DataFrame:
     return matches.join(grown, F.col("g_match") == F.col("m_match")).withColumn("g_from", F.col("g_from") - F.col("g_more_left")).withColumn("g_to", F.col("g_to") + F.col("g_more_right"))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of every window of MIN_WORDS words that holds the prefix of one of a document's suffixes."""
+    for batch in batches:
+        asked = batch.column(3)
+        for c in K.chunks(batch.column(2)):
+            start, end, bounds = c.words()
+            sums = K.prefix_sums(c.hashes(start, end, K.LOWER))
+            for i in range(len(bounds) - 1):
+                row, n = c.rows.start + i, int(bounds[i + 1] - bounds[i])
+                at = np.unique(np.asarray(asked[row].as_py(), np.int64)[:, None] - np.arange(SPREAD))
+                at = at[(at >= 0) & (at <= n - MIN_WORDS)]
+                for part in np.array_split(at, len(at) // (1 << 16) + 1):
+                    h = K.span_hash(sums, bounds[i] + part, bounds[i] + part + MIN_WORDS).view(np.int64)
+                    own = pa.array(np.full(len(part), row))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(own), batch.column(1).take(own), pa.array(part.astype(np.int32))], names=["g_window", *KEY, "g_at"])
+
+
+def _later_windows(docs: DataFrame, kept: DataFrame, often: DataFrame) -> DataFrame:
+    """(g_doc, g_text, g_from, g_to, p_doc): windows that are not the first of their hash, and the document of the first."""
+    asked = kept.join(often, "g_prefix", "left_semi").groupBy(F.col("g_doc").alias("m_doc"), F.col("g_text").alias("m_text")).agg(F.collect_list("g_at").alias("asked"))
+    own = docs.join(asked, F.col("g_doc").eqNullSafe(F.col("m_doc")) & (F.col("g_text") == F.col("m_text"))).select(*KEY, "text", "asked")
+    made = written(map_arrow(own, _windows, "g_window bigint, g_doc bigint, g_text bigint, g_at int"), "windows")
+    place = F.struct(*KEY, "g_at")
+    first = written(made.groupBy("g_window").agg(F.count("*").alias("g_n"), F.min(place).alias("g_first")).filter("g_n > 1").drop("g_n"), "first-windows")
+    later = made.join(first, "g_window").filter(~place.eqNullSafe(F.col("g_first")))
+    return later.select(*KEY, F.col("g_at").alias("g_from"), (F.col("g_at") + MIN_WORDS).alias("g_to"), F.col("g_first.g_doc").alias("p_doc"))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(g_doc, g_text, g_from, g_to, sources): the repeats of each document in words, united where they touch, with what they repeat."""
     prefix = MIN_WORDS - SPREAD + 1
     keyed = _keyed(docs)
     suffixes = written(map_arrow(keyed.select(*KEY, "text"), _suffixes, "g_prefix bigint, g_doc bigint, g_text bigint, g_at int"), "suffixes")
-    twice = written(suffixes.groupBy("g_prefix").agg(F.count("*").alias("g_n")).filter("g_n > 1").select("g_prefix"), "repeated-prefixes")  # apart, so that the join below can be split
+    twice = written(suffixes.groupBy("g_prefix").agg(F.count("*").alias("g_n")).filter("g_n > 1"), "repeated-prefixes")  # apart, so that the join below can be split
     kept = written(suffixes.join(twice, "g_prefix", "left_semi"), "repeated-suffixes")
+    windows = _later_windows(keyed, kept, twice.filter("g_n > 2"))
     ordered = kept.repartitionByRange("g_prefix", *KEY, "g_at").sortWithinPartitions("g_prefix", *KEY, "g_at")
     matches = written(_matches(_pairs(ordered), prefix).withColumn("g_match", F.monotonically_increasing_id()), "matches")
-    grown = _extended(keyed, matches).withColumn("source", F.struct(F.col("p_doc").alias("doc_id"), (F.col("g_from") - F.col("g_shift")).alias("start_word")))
+    grown = _extended(keyed, matches).select(*KEY, "g_from", "g_to", "p_doc").unionByName(windows)
     order = Window.partitionBy(*KEY).orderBy("g_from", "g_to")
     fresh = F.coalesce((F.col("g_from") > F.max("g_to").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
     return grown.withColumn("g_new", fresh).withColumn("g_island", F.sum("g_new").over(order)).groupBy(*KEY, "g_island").agg(F.min("g_from").alias("g_from"), F.max("g_to").alias("g_to"), F.collect_set("p_doc").alias("sources")).drop("g_island")

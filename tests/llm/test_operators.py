@@ -212,6 +212,15 @@ def test_repeated_passages(spark):
     assert left[4] == "" and WORD.findall(left[2]) == b[:100] + b[100:] and left[1] == " \n".join(a)
 
 
+def test_a_nearer_copy_hides_no_edge_of_an_earlier_one(spark):
+    a = words(120)
+    b = ["x"] * 3 + a[:4] + ["EDIT"] + a[5:115] + ["EDIT"] + a[116:]
+    texts = {1: a, 2: b, 3: a, 4: ["y"] * 7 + a[:60]}
+    got = {r["doc_id"]: r for r in suffix_array.repeated_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")).collect()}
+    spans = {k: [tuple(s) for s in r["spans"]] for k, r in got.items()}
+    assert spans[3] == [(0, 120)] and spans[2] == [(8, 118)] and spans[4] == [(7, 67)] and 1 not in spans and 1 in got[3]["source_ids"]
+
+
 def test_passages_cover_all_repeats(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: {k for s in r["spans"] for k in range(s["start"], s["end"])} for r in suffix_array.repeated_passages(docs).collect()}

@@ -236,10 +236,11 @@ def similar_sets(described: DataFrame, keyed: DataFrame, similar: float, size: i
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = 5, similar: float = SIMILAR) -> DataFrame:
-    """The pipeline's stage: the document with the smallest doc_id of each component stays, once; columns as in `docs`.
+    """The pipeline's stage: of each component the first document, by doc_id and text, stays, once; columns as in `docs`.
 
     Texts are linked by fingerprints within `distance` bits, and by shingle sets of Jaccard similarity `similar` or more.
-    Rows without a doc_id cannot be told apart by it and stay only through another row of their component.
+    Ids decide nothing but which of a component stays, one with an id first: rows without a doc_id are judged like others, and
+    rows with one doc_id and texts that are not linked all stay.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("g_doc"), F.xxhash64(text).alias("g_text"), text.alias("text"))
@@ -254,6 +255,9 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, size: int = 5, similar:
     for end in "ab":
         sets = sets.join(least.select(F.col("g_set").alias(f"g_of_{end}"), F.col("g_least").alias(f"g_{end}")), F.col(end) == F.col(f"g_of_{end}"))
     found = components(close.unionAll(alike).unionAll(sets.select(F.col("g_a").alias("a"), F.col("g_b").alias("b"))))
-    linked = described.join(found, F.col("g_print") == F.col("node"), "left").select("g_doc", F.coalesce("component", "g_print").alias("g_top"))
-    kept = linked.groupBy("g_top").agg(F.min("g_doc").alias("g_id")).select("g_id").distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("g_id"), "left_semi").dropDuplicates(["doc_id"])
+    linked = described.join(found, F.col("g_print") == F.col("node"), "left").select("g_doc", "g_text", F.coalesce("component", "g_print").alias("g_top"))
+    row = F.struct(F.col("g_doc").isNull().alias("x"), F.col("g_doc").alias("g_id"), F.col("g_text").alias("g_of"))
+    kept = linked.groupBy("g_top").agg(F.min(row).alias("g_row")).select("g_row.g_id", "g_row.g_of")
+    named = docs.withColumn("g_stay", F.xxhash64(text))
+    once = named.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("g_id")) & (F.col("g_stay") == F.col("g_of")), "left_semi")
+    return once.dropDuplicates(["doc_id", "g_stay"]).drop("g_stay")

@@ -198,6 +198,15 @@ def test_similar_shingle_sets_are_near_duplicates(spark):
     assert len(kept) < len({d for d, c in prints.items() if c == d})
 
 
+def test_ids_decide_no_duplicates(spark):
+    a, b, c = (" ".join(words(80, k)) for k in (21, 22, 23))
+    data = [(None, a, 0), (None, b, 0), (None, b, 1), (1, c, 0), (7, c, 0), (7, " ".join(words(80, 24)), 0), (7, " ".join(words(80, 25)), 0), (9, a, 0), (None, None, 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, g_text int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(9, a), (None, b), (1, c), data[5][:2], data[6][:2], (None, None)])
+
+
 def test_repeated_passages(spark):
     a, b, c = words(300), words(300, 3), words(200, 4)
     texts = {1: a, 2: b[:100] + a[37:87] + b[100:], 3: b[:90] + a[40:79] + c, 4: a, 5: c[:60] + ["END"] + c[:60], 6: b[:20], 7: [], 8: [w.upper() for w in b[100:180]] + words(9, 9)}

@@ -8,6 +8,7 @@ its words, so substituted words don't hide a leak.
 
 The masks are lossless: for each window they are chosen so that, wherever the allowed number of substitutions falls, one mask
 meets none of them.  Items of fewer than ``LEAST`` words are no evidence and are left out, as null texts are.
+Items without an id are items like others; their results have a null item_id.
 
 The test items are a bounded query set: they go to the executors in blocks of ``BLOCK_WORDS`` words at most (or one longer item),
 each block against all documents.  Repeated rows each get their own result; items with equal ids count as one.
@@ -165,7 +166,7 @@ def _clean(items, text: int):
 def item_blocks(benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> list:
     """Broadcasts of Items, each of about `block_words` words; their number follows the size of the test set."""
     spark = benchmark.sparkSession
-    own = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    own = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     words = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(words / 5 / block_words))
     blocks = []

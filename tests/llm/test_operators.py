@@ -266,6 +266,16 @@ def test_leaks(spark, odd):
     assert decontaminate.contaminated(odd.filter("doc_id < 11"), bench).count() == 0
 
 
+def test_items_without_an_id_are_found(spark):
+    item, other = words(40, 71), words(40, 72)
+    docs = spark.createDataFrame([(1, " ".join(words(9) + item)), (2, " ".join(other)), (3, " ".join(words(50, 2)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(item)), (5, " ".join(other)), (None, None), (None, "a b")], "item_id long, text string")
+    for block in (20, 400_000):
+        got = {(r["doc_id"], r["item_id"], r["n_same"]) for r in decontaminate.contaminated(docs, bench, block_words=block).collect()}
+        assert got == {(1, None, 40), (2, 5, 40)}
+        assert {r["doc_id"] for r in decontaminate.clean(docs, bench, block_words=block).collect()} == {3}
+
+
 def test_line_runs(spark):
     texts = {1: "a\nb\nc", 2: "x\na\n\nb\ny", 3: "a\nc\nb", 4: "a\nb\nc", 5: "a\nb\na\nb", 6: None, 7: "", 8: "\n \n"}
     docs = spark.createDataFrame([(k, t, 1) for k, t in texts.items()] + [(4, "a\nb\nc", 1)], "doc_id long, text string, line int")

@@ -1,8 +1,11 @@
 """Vectorised text kernel: words, lines and their 64-bit hashes straight from Arrow's UTF-8 buffers.
 
-No Python string is made: a chunk of documents is one byte array, its words are index pairs, and a word's hash is a
-polynomial over its bytes, taken from a prefix sum.  A word is a run of bytes other than 0x20 and 0x09-0x0D; UTF-8
-continuation bytes never fall there, so this equals ``[^\\x20\\x09-\\x0D]+`` over characters.
+No Python string is made: a chunk of documents is one byte array, its words are index pairs.  A span of bytes is hashed eight
+bytes at a time, each going through a bijection that spreads every bit, so that no sum over bytes can cancel; long spans
+have their XXH64.  Windows of a fixed number of words are hashed by a polynomial over the hashes of their words, from prefix sums.
+
+A word is a run of bytes other than 0x20 and 0x09-0x0D; UTF-8 continuation bytes never fall there, so this equals
+``[^\\x20\\x09-\\x0D]+`` over characters.
 """
 
 from __future__ import annotations
@@ -12,10 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once; a longer document is worked on alone.
 CHUNK = 1 << 18
 
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -55,11 +62,70 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each span [start, end): the same for equal contents, wherever they stand."""
+    """The hash of each window [start, end) of hashes: the same for equal contents, wherever they stand.
+
+    For windows of some dozen words: sums over powers of two cancel for certain patterns of a thousand values and more.
+    """
     h = (sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start]
     return mixed(h ^ ((end - start).astype(np.uint64) << np.uint64(40)))
 
 
+_PART = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte, as a number; zeros follow the last."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place, or as many as are left."""
+    x = lanes[at]
+    short = np.flatnonzero(left < 8)
+    x[short] &= _PART[left[short]]
+    return x
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans [start, end): the same for equal bytes."""
+    n = end - start
+    long = np.flatnonzero(n > LONG)
+    size = n.copy()
+    size[long] = 0
+    lanes = _lanes(data)
+    h = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    h = mixed(h ^ _lane(lanes, start, size))
+    for at in range(8, LONG, 8):
+        live = np.flatnonzero(size > at)
+        if not len(live):
+            break
+        h[live] = mixed(h[live] ^ _lane(lanes, start[live] + at, size[live] - at))
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = np.fromiter((xxhash.xxh64_intdigest(raw[i:j]) for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long))
+    return h
+
+
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of `size` bytes that begin at a_start in `a` and at b_start in `b` have the same bytes."""
+    long = np.flatnonzero(size > LONG)
+    short = size.copy()
+    short[long] = 0
+    x, y = _lanes(a), _lanes(b)
+    same = _lane(x, a_start, short) == _lane(y, b_start, short)
+    for at in range(8, LONG, 8):
+        live = np.flatnonzero(short > at)
+        if not len(live):
+            break
+        left = short[live] - at
+        same[live] &= _lane(x, a_start[live] + at, left) == _lane(y, b_start[live] + at, left)
+    for k in long.tolist():
+        same[k] = np.array_equal(a[a_start[k] : a_start[k] + size[k]], b[b_start[k] : b_start[k] + size[k]])
+    return same
+
+
 @dataclass
 class Chunk:
     """Some documents: `data` holds their bytes, document i those from offsets[i] to offsets[i+1]."""
@@ -92,7 +158,7 @@ class Chunk:
 
     def hashes(self, start: np.ndarray, end: np.ndarray, fold: np.ndarray = PLAIN) -> np.ndarray:
         """64-bit hashes of byte spans, after `fold` has replaced bytes."""
-        return span_hash(prefix_sums(fold[self.data].astype(np.uint64) + np.uint64(1)), start, end)
+        return hashed(self.data if fold is PLAIN else fold[self.data], start, end)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[Chunk]:

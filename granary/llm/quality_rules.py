@@ -33,6 +33,11 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 MEASURES = "g_id bigint, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, g_text binary, g_lines array<bigint>, g_counts array<int>"
 
 
+def _normal(c: K.Chunk, start: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of each normalised line, from those of its words first .. last - 1."""
+    return K.hashed(c.hashes(start, end, K.NORMAL).view(np.uint8), 8 * first, 8 * last)
+
+
 def measures(c: K.Chunk) -> dict[str, np.ndarray]:
     """The base measures of a chunk's documents, and for each document its distinct normalised lines with their words."""
     start, end, bounds = c.words()
@@ -52,7 +57,7 @@ def measures(c: K.Chunk) -> dict[str, np.ndarray]:
     has_word = np.flatnonzero(last > first)
     _, later = K.repeated(c.hashes(line_start[has_word], line_end[has_word]) ^ K.mixed(line_doc[has_word].astype(np.uint64)))
     n = len(c.offsets) - 1
-    normal = K.span_hash(K.prefix_sums(c.hashes(start, end, K.NORMAL)), first[has_word], last[has_word])
+    normal = _normal(c, start, end, first[has_word], last[has_word])
     return {
         "n_words": n_words, "word_chars": K.sums_of(leads[end] - leads[start], bounds), "n_symbols": K.sums_of(SYMBOLS[c.data], c.offsets),
         "n_dup_lines": np.bincount(line_doc[has_word][later], minlength=n), "n_repeat_words": K.sums_of(in_repeat, bounds),
@@ -128,7 +133,7 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end, _ = c.words()
             line_start, line_end, line_bounds = c.lines()
             first, last = np.searchsorted(start, line_start), np.searchsorted(start, line_end)
-            line = K.span_hash(K.prefix_sums(c.hashes(start, end, K.NORMAL)), first, last).view(np.int64)
+            line = _normal(c, start, end, first, last).view(np.int64)
             for i in hit:
                 own = slice(*line_bounds[i - c.rows.start : i - c.rows.start + 2])
                 drop = np.isin(line[own], np.asarray(gone[i].as_py(), np.int64)) & (last[own] > first[own])

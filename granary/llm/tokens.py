@@ -2,8 +2,10 @@
 
 Byte-pair merges never cross pre-token borders, so the ids of a text are those of its pre-tokens in order.  Where a
 tokenizer file has one of the two pre-token rules that are known here, the borders of a chunk of texts are found in numpy,
-a pre-token is known by the 64-bit hash of its bytes, and the library encodes those that are new.  Texts with other
-characters than ASCII and accented Latin-1 letters, and all texts of other tokenizers, go through the library whole.
+a pre-token is found by the hash of its bytes and known by the bytes themselves, and the library encodes those that are new.
+Texts with other characters than ASCII and accented Latin-1 letters, texts that hold the string of an added token (such as
+``<|endoftext|>``, which the library gives an id of its own), texts with a pre-token whose hash another one has, and all texts of
+other tokenizers go through the library whole.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ _CLASS[48:58] = DIGIT
 #: Lower case of ASCII and, as second bytes after 0xC3, of accented Latin-1 letters.
 _LOWER = K.LOWER.copy()
 _LOWER[[x for x in range(0x80, 0x9F) if x != 0x97]] += 0x20
+_FOLD = _LOWER.tobytes()
 # The contractions of both pre-token rules, in their order.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
@@ -93,7 +96,7 @@ def borders(c: K.Chunk, rule: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """64-bit hashes to runs of ids; open addressing, all in arrays."""
+    """Pre-tokens, by their 64-bit hashes, to runs of ids; open addressing, all in arrays.  Their bytes are kept end to end in `data`."""
 
     def __init__(self, dtype: str):
         self.dtype = dtype
@@ -103,6 +106,8 @@ class Table:
         self.key, self.at = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids, self.n, self.used = np.zeros(1 << 18, self.dtype), 0, 0
+        self.data, self.begin, self.end = np.zeros(1 << 20, np.uint8), np.zeros(1 << 16, np.int64), 0
+        self.length = np.zeros(1 << 16, np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash (never 0), or -1."""
@@ -118,11 +123,24 @@ class Table:
             rest = rest[~hit & (key != 0)]
         return out
 
-    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Distinct new hashes and their ids end to end."""
+    def holds(self, entry: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each entry's pre-token has the bytes [start, end) of `data`."""
+        size = end - start
+        good = self.length[entry] == size
+        good[good] = K.equal_spans(self.data[: self.end], self.begin[entry[good]], data, start[good], size[good])
+        return good
+
+    def add(self, h: np.ndarray, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct new hashes, their pre-tokens, and their ids end to end."""
         n, used = self.n + len(h), self.used + len(ids)
         if n > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
+            self.first, self.size, self.begin, self.length = (np.resize(x, 2 * n) for x in (self.first, self.size, self.begin, self.length))
+        raw, lengths = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        if self.end + len(raw) > len(self.data):
+            self.data = np.resize(self.data, 2 * (self.end + len(raw)))
+        self.data[self.end : self.end + len(raw)] = raw
+        self.begin[self.n : n], self.length[self.n : n] = self.end + np.cumsum(lengths) - lengths, lengths
+        self.end += len(raw)
         if used > len(self.ids):
             self.ids = np.resize(self.ids, 2 * used)
         self.ids[self.used : used] = ids
@@ -151,13 +169,14 @@ class Encoder:
 
             self = super().__new__(cls)
             self.tokenizer, self.dtype, self.table = Tokenizer.from_file(path), dtype, None
-            self.tokenizer.encode_special_tokens = True
             with open(path, encoding="utf-8") as f:
-                self.rule = _rule(json.load(f))
+                spec = json.load(f)
+            self.rule = _rule(spec)
+            # strings that the library takes out of a text before any rule; upper and lower case are one, as some are looked for in normalised texts
+            self.added = [a["content"].encode().translate(_FOLD) for a in spec.get("added_tokens") or [] if a.get("content")]
             if self.rule:
                 # pre-tokens are folded and split already; what is left of these steps is the mapping of bytes
                 self.parts, self.table = Tokenizer.from_file(path), Table(dtype)
-                self.parts.encode_special_tokens = True
                 self.parts.normalizer, self.parts.pre_tokenizer = None, ByteLevel(add_prefix_space=False, use_regex=False)
             cls._known[path, dtype] = self
         return cls._known[path, dtype]
@@ -165,17 +184,29 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
         for at in range(0, len(words), STEP):
             some = words[at : at + STEP]
-            e = self.parts.encode(some, is_pretokenized=True, add_special_tokens=False)
+            e = self.parts.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
             sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
-            self.table.add(h[at : at + STEP], np.array(e.ids, self.dtype), sizes)
+            self.table.add(h[at : at + STEP], some, np.array(e.ids, self.dtype), sizes)
+
+    def _plain(self, c: K.Chunk) -> np.ndarray:
+        """Which documents have pre-tokens that are found here."""
+        if not self.rule:
+            return np.zeros(len(c.offsets) - 1, bool)
+        plain, raw = plain_documents(c), None
+        for token in self.added:
+            raw = raw or c.data.tobytes().translate(_FOLD)
+            at = raw.find(token)
+            while at >= 0:
+                plain[np.searchsorted(c.offsets, at, "right") - 1] = False
+                at = raw.find(token, at + 1)
+        return plain
 
     def encode(self, c: K.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the chunk's documents end to end, where each begins, n + 1)."""
-        n = len(c.offsets) - 1
-        plain = plain_documents(c) if self.rule else np.zeros(n, bool)
+        n, plain = len(c.offsets) - 1, self._plain(c)
         bounds, ids = np.zeros(n + 1, np.int64), np.zeros(0, self.dtype)
         if plain.any():
             start, end = borders(c, self.rule)
@@ -183,7 +214,8 @@ class Encoder:
             if not plain.all():
                 own = plain[doc]
                 start, end, doc = start[own], end[own], doc[own]
-            h = c.hashes(start, end, _LOWER if self.rule == "words" else K.PLAIN) | np.uint64(1)
+            folded = _LOWER[c.data] if self.rule == "words" else c.data
+            h = K.hashed(folded, start, end) | np.uint64(1)
             entry = self.table.find(h)
             new = np.flatnonzero(entry < 0)
             if len(new):
@@ -192,9 +224,13 @@ class Encoder:
                     new = np.arange(len(h))
                 fresh, one = np.unique(h[new], return_index=True)
                 at = new[one]
-                raw = (_LOWER[c.data] if self.rule == "words" else c.data).tobytes()
-                self._learn(fresh, [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+                raw = folded.tobytes()
+                self._learn(fresh, [raw[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)])
                 entry[new] = self.table.find(h[new])
+            if not (good := self.table.holds(entry, folded, start, end)).all():
+                plain[doc[~good]] = False
+                own = plain[doc]
+                entry, doc = entry[own], doc[own]
             sizes = self.table.size[entry]
             ahead = np.cumsum(sizes) - sizes
             ids = self.table.ids[np.repeat(self.table.first[entry] - ahead, sizes) + np.arange(int(sizes.sum()))]

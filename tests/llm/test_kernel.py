@@ -44,10 +44,9 @@ def test_words_and_lines(texts, limit):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_library(name):
     rnd = random.Random(7)
-    parts = ["a", "B", "é", "É", "'", "s", "re", "LL", " ", "  ", "\n", "\t", ".", ",", "23", "'s", "'ll", "ñ", "ß", "×", "I'Ve", "_", "—", "日本", " '", " ", "<|endoftext|>", "\x00", "word", "İ"]
+    parts = ["a", "B", "é", "É", "'", "s", "re", "LL", " ", "  ", "\n", "\t", ".", ",", "23", "'s", "'ll", "ñ", "ß", "×", "I'Ve", "_", "—", "日本", " '", " ", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "\x00", "word", "İ"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(3000)] + [None, "", " ", "\n\n", "x" * 5000]
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     e = Encoder(public_tokenizers.path(name))
     for c in K.chunks(pa.array(texts)):
         ids, bounds = e.encode(c)
@@ -55,6 +54,56 @@ def test_encoder_equals_the_library(name):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == t.encode(texts[c.rows.start + i] or "", add_special_tokens=False).ids
 
 
+def alike(n):
+    """Two words of n letters whose difference a sum over powers of one base modulo 2**64 does not see."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_patterned_words_have_hashes_and_ids_of_their_own(n):
+    from granary.llm import quality_rules
+
+    a, b = alike(n)
+    (c,) = K.chunks(pa.array([f"{a} {b}", f"x {b} {a}", f"{a}\n{b}", " ".join(a), " ".join(b)]), 1 << 20)
+    start, end, bounds = c.words()
+    h = c.hashes(start, end)
+    assert h[0] != h[1] and h[0] == h[4]
+    m = quality_rules.measures(c)
+    assert m["n_dup_lines"].tolist() == [0] * 5 and len(set(m["line"][-2:].tolist())) == 2
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        ids, at = Encoder(public_tokenizers.path(name)).encode(c)
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        raw = c.data.tobytes().decode()
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [t.encode(raw[i:j], add_special_tokens=False).ids for i, j in zip(c.offsets, c.offsets[1:])]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=90), max_size=12))
+def test_spans_are_equal_where_their_bytes_are(parts):
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    end = np.cumsum([len(p) for p in parts], dtype=np.int64) if parts else np.zeros(0, np.int64)
+    start = end - np.array([len(p) for p in parts], np.int64)
+    h = K.hashed(data, start, end)
+    for i, p in enumerate(parts):
+        for j, q in enumerate(parts):
+            assert (h[i] == h[j]) == (p == q)
+            if len(p) == len(q):
+                assert K.equal_spans(data, start[[i]], data, start[[j]], end[[i]] - start[[i]]).all() == (p == q)
+
+
+def test_a_hash_that_two_words_share_is_no_mistake(monkeypatch):
+    monkeypatch.setattr(K, "hashed", lambda data, start, end: (end - start).astype(np.uint64))
+    e = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    e.table.clear()
+    texts = ["one two six", "six one", "ten", "eleven twelve", "three"]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for c in K.chunks(pa.array(texts)):
+        ids, at = e.encode(c)
+        assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    e.table.clear()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60000), st.integers(0, 2**64 - 1)), max_size=700))
 def test_simple8b_round_trip(values):

@@ -320,7 +320,6 @@ def test_classifier_on_odd_rows(spark, odd):
 
 def encoded(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 

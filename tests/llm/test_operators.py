@@ -51,12 +51,7 @@ def test_oracles_on_odd_rows(spark, odd, name, table):
     con = duckdb.connect()
     con.register(table, frame)
     made = {"op4_line_frequency": lambda d: quality_rules.quality_rules(d).drop("removed_lines"), "op7_line_runs": line_runs.line_dedup}[name](odd)
-    a, b = rows(made.toPandas()), rows(con.sql(ORACLES[name]).df())
-    assert a[0] == b[0]
-    if name == "op4_line_frequency":
-        assert a[1] == b[1]
-    else:  # equal rows are one document here, and two in the SQL
-        assert len(a[1]) == odd.count()
+    assert rows(made.toPandas()) == rows(con.sql(ORACLES[name]).df())
 
 
 def test_empty_tables(spark, empty):
@@ -276,26 +271,71 @@ def test_items_without_an_id_are_found(spark):
         assert {r["doc_id"] for r in decontaminate.clean(docs, bench, block_words=block).collect()} == {3}
 
 
-def test_line_runs(spark):
-    texts = {1: "a\nb\nc", 2: "x\na\n\nb\ny", 3: "a\nc\nb", 4: "a\nb\nc", 5: "a\nb\na\nb", 6: None, 7: "", 8: "\n \n"}
-    docs = spark.createDataFrame([(k, t, 1) for k, t in texts.items()] + [(4, "a\nb\nc", 1)], "doc_id long, text string, line int")
-    got = collections.defaultdict(list)
-    for r in line_runs.line_dedup(docs).collect():
-        got[r["doc_id"]].append((r["text"], r["n_deleted"]))
-    assert got[1] == [("a\nb\nc", 0)] and got[2] == [("x\n\ny", 2)] and got[3] == [("a\nc\nb", 0)] and got[4] == [("", 3)] * 2 and got[5] == [("", 4)] and got[6] == [("", 0)]
-    three = {r["doc_id"]: r["n_deleted"] for r in line_runs.line_dedup(docs.dropDuplicates(["doc_id"]), min_run=3).collect()}
-    assert three == {1: 0, 2: 0, 3: 0, 4: 3, 5: 0, 6: 0, 7: 0, 8: 0}
-    assert {r["doc_id"] for r in line_runs.drop_copies(docs).collect()} == {1, 2, 3, 6, 7, 8}
-    assert "Python" not in line_runs.line_dedup(docs)._jdf.queryExecution().toString()
-
-
-def test_long_lines_are_runs_in_the_pipeline(spark):
+def brute_line_runs(docs, min_run=2, long_words=50):
+    """What is left of (id, text) pairs: every run of every length is looked at; ids are distinct."""
+    seqs = []
+    for d, t in sorted(docs):
+        seqs.append([(i, x) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)])
+    now = collections.defaultdict(list)
+    for k, s in enumerate(seqs):
+        for i, (_, x) in enumerate(s):
+            now[x].append((k, i))
+    line = {at: n for n, v in enumerate(now.values()) for at in v}
+    gone, held, n = set(), set(), 1
+    now = [v for v in now.values() if len(v) > 1]
+    while now:
+        longer = collections.defaultdict(list)
+        for c, v in enumerate(now):
+            if n >= min_run or len(WORD.findall(seqs[v[0][0]][v[0][1]][1])) >= long_words:
+                held |= {(v[0][0], v[0][1] + j) for j in range(n)}
+                gone |= {(k, i + j) for k, i in v[1:] for j in range(n)}
+            for k, i in v:
+                if (k, i + n) in line:
+                    longer[c, line[k, i + n]].append((k, i))
+        now, n = [v for v in longer.values() if len(v) > 1], n + 1
+    out = {}
+    for k, (d, t) in enumerate(sorted(docs)):
+        drop = {seqs[k][i][0] for i in range(len(seqs[k])) if (k, i) in gone - held}
+        out[d] = "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in drop)
+    return out
+
+
+@pytest.mark.parametrize("min_run", [2, 3])
+def test_line_runs_by_brute_force(spark, min_run):
+    """Small worlds whose lines are their own: ties, overlaps, periods, nested and chained runs, blank lines, long lines."""
+    rnd, long = np.random.default_rng(11), " ".join(words(50, 8))
+    worlds = [["p x q", "p x y", "x y"], ["a a a a"], ["h1 h2 z", "h2 h3 w", "h1 h2 h3"], ["x y", "y z", "x y z", "x y z"], ["x y a", "x y b", "x y b"], ["a b c b c b c b c b d", "b c b"], ["L", "a L b", "c L L d", "L a"]]
+    worlds += [[" ".join(rnd.choice(list("abcdefgh"[: 2 + k % 5]), rnd.integers(1, 14))) for _ in range(rnd.integers(2, 10))] for k in range(25)]
+    docs = []
+    for k, texts in enumerate(worlds):
+        for j, t in enumerate(texts):
+            lines = [f"{long} {k}" if x == "L" else f"{k}{x}" for x in t.split()]
+            docs.append((100 * k + j, "\n".join(y for n, x in enumerate(lines) for y in ([x, " \t"] if k > 6 and (n + j) % 7 == 3 else [x]))))
+    docs += [(9000, None), (9001, ""), (9002, "\n \n")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    made = line_runs.line_dedup(frame, min_run)
+    got = {r["doc_id"]: r for r in made.collect()}
+    want = brute_line_runs(docs, min_run)
+    assert {d: r["text"] for d, r in got.items()} == want
+    assert all(r["n_lines"] == len((t or "").split("\n")) and r["n_deleted"] == r["n_lines"] - (len(want[d].split("\n")) if want[d] or r["n_deleted"] < r["n_lines"] else 0) for d, t in docs for r in [got[d]])
+    assert "Python" not in made._jdf.queryExecution().toString()
+    if min_run == 2:
+        assert [want[d] for d in (0, 1, 2)] == ["0p\n0x\n0q", "0x\n0y", ""] and want[100] == "1a\n1a\n1a" and want[202] == "" and want[302] == "3x\n3y\n3z"
+        import duckdb
+
+        con = duckdb.connect()
+        con.register("documents", frame.toPandas())
+        assert {r[0]: r[3] for r in con.sql(line_runs.SQL).fetchall()} == want
+
+
+def test_line_stage_keeps_what_has_lines(spark):
     long, short = " ".join(words(50, 8)), " ".join(words(49, 9))
-    texts = {1: f"a\n{long}\nb\n{short}", 2: f"c\n{long}\nd", 3: long, 4: f"e\n{short}\nf", 5: f"g\n{long}\n\n{long}", 6: f"{long} "}
-    docs = spark.createDataFrame([(k, t, len(t)) for k, t in texts.items()], "doc_id long, text string, n_chars long")
-    got = {r["doc_id"]: r["text"] for r in line_runs.drop_copies(docs).collect()}
-    assert got == {1: texts[1], 2: "c\nd", 4: texts[4], 5: "g\n", 6: texts[6]}
-    assert "Python" not in line_runs.drop_copies(docs)._jdf.queryExecution().toString()
+    texts = {1: f"a\n{long}\nb\n{short}", 2: f"c\n{long}\nd", 3: long, 4: f"e\n{short}\nf", 5: f"g\n{long}\n\n{long}", 6: f"{long} ", 7: None, 8: "", 9: "x\ny", 10: "x\ny"}
+    docs = spark.createDataFrame([*((k, t, t and len(t), 1) for k, t in texts.items()), (10, "x\ny", 3, 1), (None, "x\ny", 3, 1)], "doc_id long, text string, n_chars long, line int")
+    kept = line_runs.drop_copies(docs)
+    assert kept.columns == docs.columns and "Python" not in kept._jdf.queryExecution().toString()
+    got = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert got == {1: texts[1], 2: "c\nd", 4: texts[4], 5: "g\n", 6: texts[6], 7: None, 8: "", None: "x\ny"}
 
 
 def test_classifier_learns_and_keeps_folds_apart(spark):

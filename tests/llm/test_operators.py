@@ -331,7 +331,7 @@ def test_line_runs_by_brute_force(spark, min_run):
 def test_line_stage_keeps_what_has_lines(spark):
     long, short = " ".join(words(50, 8)), " ".join(words(49, 9))
     texts = {1: f"a\n{long}\nb\n{short}", 2: f"c\n{long}\nd", 3: long, 4: f"e\n{short}\nf", 5: f"g\n{long}\n\n{long}", 6: f"{long} ", 7: None, 8: "", 9: "x\ny", 10: "x\ny"}
-    docs = spark.createDataFrame([*((k, t, t and len(t), 1) for k, t in texts.items()), (10, "x\ny", 3, 1), (None, "x\ny", 3, 1)], "doc_id long, text string, n_chars long, line int")
+    docs = spark.createDataFrame([*((k, t, None if t is None else len(t), 1) for k, t in texts.items()), (10, "x\ny", 3, 1), (None, "x\ny", 3, 1)], "doc_id long, text string, n_chars long, line int")
     kept = line_runs.drop_copies(docs)
     assert kept.columns == docs.columns and "Python" not in kept._jdf.queryExecution().toString()
     got = {r["doc_id"]: r["text"] for r in kept.collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from granary.functions import columns as C
 from granary.operators import cleaning, frames, lineage, modelling, quality, reconcile
 from granary.plans import analytics as A
 from granary.plans.oracles import LOST, PCT, PHONE, TITLE, TS, sql
-from granary.plans.star import AS_OF, Star
+from granary.plans.star import AS_OF, EARLIEST, Star
 from granary.sources import catalog, files, jdbc, retail
 from granary.sources.scratch import scratch
 from granary.sources.versioned import SchemaMismatch, VersionedTable
@@ -140,7 +141,7 @@ def parse_legacy_dates(s: Star) -> DataFrame:
     return s.raw("orders").select("order_id", "order_date", C.legacy_timestamp(F.col("order_date")).alias("order_ts"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_retailprice < 920 THEN 'Budget' WHEN p_retailprice < 970 THEN 'Mid' ELSE 'Premium' END AS price_band, sha256(coalesce(p_name, '<null>') || '|' || coalesce(p_brand, '<null>')) AS row_hash FROM part")
+@query("SELECT p_partkey, CASE WHEN p_retailprice < 920 THEN 'Budget' WHEN p_retailprice < 970 THEN 'Mid' ELSE 'Premium' END AS price_band, sha256(coalesce(length(p_name) || ':' || p_name, '-') || coalesce(length(p_brand) || ':' || p_brand, '-')) AS row_hash FROM part")
 def bands_and_digests(s: Star) -> DataFrame:
     return s.table("part").select("p_partkey", C.band(F.col("p_retailprice"), {"Budget": 920, "Mid": 970}, "Premium").alias("price_band"), C.row_digest("p_name", "p_brand").alias("row_hash"))
 
@@ -172,49 +173,58 @@ def current_versions_max_over(s: Star) -> DataFrame:
 
 @query(sql("SELECT order_item_id, order_id, quantity, reason AS _reject_reason FROM j_items WHERE reason <> ''"))
 def quarantine_split(s: Star) -> DataFrame:
-    return s.items[1].select("order_item_id", "order_id", "quantity", frames.REASON)
+    return s.rejected("order_items").select("order_item_id", "order_id", "quantity", frames.REASON)
 
 
 @query(sql("SELECT t AS table_name, reason AS _reject_reason, count(*) AS n_rows FROM (SELECT 'orders' AS t, reason FROM j_orders WHERE reason <> '' UNION ALL SELECT 'order_items', reason FROM j_items WHERE reason <> '') GROUP BY ALL"))
 def quarantine_histogram(s: Star) -> DataFrame:
-    named = [cleaning.reasons(bad).select(F.lit(t).alias("table_name"), frames.REASON, "n_rows") for t, bad in (("orders", s.orders[1]), ("order_items", s.items[1]))]
+    named = [cleaning.reasons(bad).select(F.lit(t).alias("table_name"), frames.REASON, "n_rows") for t, bad in (("orders", s.rejected("orders")), ("order_items", s.rejected("order_items")))]
     return named[0].unionAll(named[1])
 
 
 @query(sql("SELECT customer_id, first_name, last_name, email_hash, phone_masked, city, state, signup_date, updated_at FROM customers"))
 def clean_customers(s: Star) -> DataFrame:
-    return s.customers[0].drop(*cleaning.AUDIT)
+    return s.good("customers").drop(*cleaning.AUDIT)
 
 
 @query(sql("SELECT * FROM products"), "unit_price")
 def clean_products(s: Star) -> DataFrame:
-    return s.products[0].drop(*cleaning.AUDIT)
+    return s.good("products").drop(*cleaning.AUDIT)
 
 
 @query(sql("SELECT * FROM stores"))
 def clean_stores(s: Star) -> DataFrame:
-    return s.stores[0].drop(*cleaning.AUDIT)
+    return s.good("stores").drop(*cleaning.AUDIT)
 
 
 @query(sql("SELECT * FROM orders_"))
 def clean_orders(s: Star) -> DataFrame:
-    return s.orders[0].drop(*cleaning.AUDIT)
+    return s.good("orders").drop(*cleaning.AUDIT)
 
 
 @query(sql("SELECT * FROM items"), "unit_price", "discount_pct")
 def clean_order_items(s: Star) -> DataFrame:
-    return s.items[0].drop(*cleaning.AUDIT)
+    return s.good("order_items").drop(*cleaning.AUDIT)
 
 
 def _account(raw: str, key: str, good: str, bad: str) -> str:
     return f"SELECT (SELECT count(*) FROM {raw}) AS raw_rows, (SELECT count(DISTINCT {key}) + count(*) FILTER (WHERE {key} IS NULL) FROM {raw}) AS distinct_keys, (SELECT count(*) FROM {good}) AS valid_rows, (SELECT count(*) FROM {bad}) AS quarantined_rows"
 
 
-@query(sql("SELECT *, raw_rows - distinct_keys AS versions_removed FROM (SELECT 'customers' AS table_name, * FROM (" + _account("r_customers", "customer_id", "customers", "l_customers WHERE customer_id IS NULL") + ") UNION ALL SELECT 'orders', * FROM (" + _account("r_orders", "order_id", "orders_", "j_orders WHERE reason <> ''") + ") UNION ALL SELECT 'order_items', * FROM (" + _account("r_items", "order_item_id", "items", "j_items WHERE reason <> ''") + "))"))
+_ACCOUNTS = {
+    "stores": _account("r_stores", "store_id", "stores", "l_stores WHERE store_id IS NULL"),
+    "products": _account("r_products", "product_id", "products", "l_products WHERE unit_price < 0 OR product_id IS NULL"),
+    "customers": _account("r_customers", "customer_id", "customers", "l_customers WHERE customer_id IS NULL"),
+    "orders": _account("r_orders", "order_id", "orders_", "j_orders WHERE reason <> ''"),
+    "order_items": _account("r_items", "order_item_id", "items", "j_items WHERE reason <> ''"),
+}
+_ACCOUNTED = " UNION ALL ".join(f"SELECT '{t}' AS table_name, * FROM ({q})" for t, q in _ACCOUNTS.items())
+
+
+@query(sql(f"SELECT *, raw_rows - distinct_keys AS versions_removed FROM ({_ACCOUNTED})"))
 def row_accounting(s: Star) -> DataFrame:
-    rows = (("customers", "customer_id", s.customers), ("orders", "order_id", s.orders), ("order_items", "order_item_id", s.items))
-    each = [cleaning.accounting(s.raw(t), k, *both).select(F.lit(t).alias("table_name"), "*") for t, k, both in rows]
-    return each[0].unionAll(each[1]).unionAll(each[2])
+    each = [cleaning.accounting(s.raw(t), d.key, s.good(t), s.rejected(t)).select(F.lit(t).alias("table_name"), "*") for t, d in cleaning.TABLES.items()]
+    return reduce(DataFrame.unionAll, each)
 
 
 # ---- the model -----------------------------------------------------------------------------------------------------
@@ -260,12 +270,12 @@ def scd2_summary(s: Star) -> DataFrame:
 
 @query(sql("SELECT CASE WHEN ins = 0 THEN customer_id END AS merge_key, customer_id, city, known AS is_existing FROM fed"))
 def union_all_double_feed(s: Star) -> DataFrame:
-    return modelling.merge_feed(modelling.changed_customers(s.customers[0], s.first_dimension)).select("merge_key", "customer_id", "city", "is_existing")
+    return modelling.merge_feed(modelling.changed_customers(s.good("customers"), s.first_dimension)).select("merge_key", "customer_id", "city", "is_existing")
 
 
 @query(sql("SELECT order_id, o.customer_id, order_ts, customer_sk FROM orders_ o LEFT JOIN dim_customer d ON o.customer_id = d.customer_id AND order_ts >= effective_from AND order_ts < effective_to"))
 def pit_join(s: Star) -> DataFrame:
-    return frames.valid_at(s.orders[0].select("order_id", "customer_id", "order_ts"), s.customer_dimension, "customer_id", "order_ts", {"customer_sk": "customer_sk"})
+    return frames.valid_at(s.good("orders").select("order_id", "customer_id", "order_ts"), s.customer_dimension, "customer_id", "order_ts", {"customer_sk": "customer_sk"})
 
 
 @query(sql("SELECT * FROM fact"), "unit_price", "discount_pct", "gross_amount", "discount_amount", "net_amount")
@@ -334,51 +344,118 @@ def approx_distinct_users(s: Star) -> DataFrame:
 # ---- quality, reconciliation, lineage ------------------------------------------------------------------------------
 
 
-def _complete(c: str, t: str) -> str:
-    return f"SELECT 'completeness' AS dimension, '{t}' AS table_name, '{c} not null' AS check_name, CAST(round(count({c}) / CAST(count(*) AS DOUBLE), 4) AS VARCHAR) AS measured, '>= 0.98' AS expected, count({c}) / CAST(count(*) AS DOUBLE) >= 0.98 AS ok FROM {t}"
-
-
-@query(sql(_complete("email_hash", "customers") + " UNION ALL " + _complete("phone_masked", "customers") + " UNION ALL " + _complete("order_ts", "orders_")))
+def _row(dimension: str, table: str, name: str, measured: str, expected: str, ok: str, source: str) -> str:
+    return (
+        f"SELECT '{dimension}' AS dimension, '{table}' AS table_name, '{name}' AS check_name, "
+        f"CAST({measured} AS VARCHAR) AS measured, '{expected}' AS expected, {ok} AS ok FROM {source}"
+    )
+
+
+def _check_sql(c: quality.Check) -> str:
+    """What a check measures, as SQL of the oracle's tables."""
+    if c.dimension == "completeness":
+        share = f"count({c.what}) / CAST(count(*) AS DOUBLE)"
+        return _row(c.dimension, c.table, c.name, f"round({share}, 4)", c.expected, f"{share} >= {c.least}", c.table)
+    if c.dimension == "uniqueness":
+        n, source = f"count(*) - count(DISTINCT {c.what})", f"{c.table} WHERE {c.where}"
+    elif c.dimension == "validity":
+        n, source = f"count(*) FILTER (WHERE NOT ({c.duckdb or c.what}))", c.table
+    else:
+        n, source = f"count(*) FILTER (WHERE p.{c.key} IS NULL)", f"{c.table} c LEFT JOIN (SELECT DISTINCT {c.key} FROM {c.parent}) p ON c.{c.what} = p.{c.key}"
+    return _row(c.dimension, c.table, c.name, n, c.expected, f"{n} = 0", source)
+
+
+_CITY_FORM = "city = " + TITLE.format("city")
+#: The checks of the lake, and three over raw tables, which do not hold there.
+CHECKS = [
+    quality.complete("customers", "email_hash"),
+    quality.complete("customers", "phone_masked"),
+    quality.complete("orders_", "order_ts", 1.0),
+    quality.complete("fact", "customer_sk", 1.0),
+    quality.unique("customers", "customer_id"),
+    quality.unique("orders_", "order_id"),
+    quality.unique("fact", "order_item_id"),
+    quality.unique("dim_customer", "customer_sk"),
+    quality.unique("dim_customer", "customer_id", "is_current"),
+    quality.valid("fact", "quantity > 0"),
+    quality.valid("fact", "net_amount >= 0 and net_amount <= gross_amount", "0 <= net <= gross"),
+    quality.valid("orders_", f"order_ts between timestamp '{EARLIEST}' and timestamp '{AS_OF}'", "order_ts in range"),
+    quality.valid("customers", "email_hash is null or email_hash rlike '^[0-9a-f]{64}$'", "email is a digest", "regexp_matches(email_hash, '^[0-9a-f]{64}$')"),
+    quality.valid("customers", "phone_masked is null or phone_masked rlike '^XXXXXX[0-9]{4}$'", "phone is masked", "regexp_matches(phone_masked, '^XXXXXX[0-9]{4}$')"),
+    quality.valid("stores", "region in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')", "region is known"),
+    quality.valid("stores", "city = initcap(lower(trim(city)))", "city in title case", _CITY_FORM),
+    quality.valid("dim_customer", "effective_from < effective_to", "window is valid"),
+    quality.refers("fact", "date_key", "dim_date", "date_key"),
+    quality.refers("fact", "customer_sk", "dim_customer", "customer_sk"),
+    quality.refers("fact", "product_key", "dim_product", "product_key"),
+    quality.refers("fact", "store_key", "dim_store", "store_key"),
+]
+RAW_CHECKS = [
+    quality.unique("r_items", "order_item_id"),
+    quality.valid("r_items", "quantity > 0"),
+    quality.refers("r_orders", "customer_id", "customers", "customer_id"),
+]
+
+
+def _checked(s: Star, dimension: str) -> DataFrame:
+    tables = {**s.tables, "r_items": s.raw("order_items"), "r_orders": s.raw("orders")}
+    return quality.run(tables, [c for c in CHECKS + RAW_CHECKS if c.dimension == dimension])
+
+
+def _checks_sql(dimension: str) -> str:
+    return sql(" UNION ALL ".join(_check_sql(c) for c in CHECKS + RAW_CHECKS if c.dimension == dimension))
+
+
+@query(_checks_sql("completeness"))
 def completeness(s: Star) -> DataFrame:
-    c = s.customers[0]
-    return quality.completeness(c, "customers", "email_hash").unionAll(quality.completeness(c, "customers", "phone_masked")).unionAll(quality.completeness(s.orders[0], "orders_", "order_ts"))
-
-
-def _count(dimension: str, table: str, name: str, n: str, source: str) -> str:
-    return f"SELECT '{dimension}' AS dimension, '{table}' AS table_name, '{name}' AS check_name, CAST({n} AS VARCHAR) AS measured, '0' AS expected, {n} = 0 AS ok FROM {source}"
+    return _checked(s, "completeness")
 
 
-@query(sql(" UNION ALL ".join([_count("uniqueness", "customers", "customer_id unique", "count(*) - count(DISTINCT customer_id)", "customers"), _count("uniqueness", "dim_customer", "customer_sk unique", "count(*) - count(DISTINCT customer_sk)", "dim_customer"), _count("uniqueness", "dim_customer", "customer_id unique (is_current)", "count(*) - count(DISTINCT customer_id)", "dim_customer WHERE is_current"), _count("uniqueness", "raw_items", "order_item_id unique", "count(*) - count(DISTINCT order_item_id)", "r_items")])))
+@query(_checks_sql("uniqueness"))
 def uniqueness(s: Star) -> DataFrame:
-    d = s.customer_dimension
-    parts = [quality.uniqueness(s.customers[0], "customers", "customer_id"), quality.uniqueness(d, "dim_customer", "customer_sk"), quality.uniqueness(d, "dim_customer", "customer_id", "is_current"), quality.uniqueness(s.raw("order_items"), "raw_items", "order_item_id")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    return _checked(s, "uniqueness")
 
 
-@query(sql(" UNION ALL ".join([_count("validity", "fact", "quantity > 0", "count(*) FILTER (WHERE NOT quantity > 0)", "fact"), _count("validity", "fact", "0 <= net <= gross", "count(*) FILTER (WHERE NOT (net_amount >= 0 AND net_amount <= gross_amount))", "fact"), _count("validity", "customers", "email is a digest", "count(*) FILTER (WHERE NOT regexp_matches(email_hash, '^[0-9a-f]{64}$'))", "customers"), _count("validity", "raw_items", "quantity > 0", "count(*) FILTER (WHERE NOT quantity > 0)", "r_items"), _count("validity", "dim_customer", "window is valid", "count(*) FILTER (WHERE NOT effective_from < effective_to)", "dim_customer"), _count("validity", "stores", "region is known", "count(*) FILTER (WHERE NOT region IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))", "stores")])))
+@query(_checks_sql("validity"))
 def validity(s: Star) -> DataFrame:
-    checks = [(s.fact, "fact", "quantity > 0", "quantity > 0"), (s.fact, "fact", "net_amount >= 0 and net_amount <= gross_amount", "0 <= net <= gross"), (s.customers[0], "customers", "email_hash is null or email_hash rlike '^[0-9a-f]{64}$'", "email is a digest"), (s.raw("order_items"), "raw_items", "quantity > 0", "quantity > 0"), (s.customer_dimension, "dim_customer", "effective_from < effective_to", "window is valid"), (s.stores[0], "stores", "region in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')", "region is known")]
-    out = None
-    for c in checks:
-        one = quality.validity(*c)
-        out = one if out is None else out.unionAll(one)
-    return out
+    return _checked(s, "validity")
 
 
-@query(sql(" UNION ALL ".join([_count("integrity", "fact", "date_key -> date_key", "count(*)", "fact f LEFT JOIN dim_date d ON f.date_key = d.date_key WHERE d.date_key IS NULL"), _count("integrity", "fact", "customer_sk -> customer_sk", "count(*)", "fact f LEFT JOIN dim_customer d ON f.customer_sk = d.customer_sk WHERE d.customer_sk IS NULL"), _count("integrity", "raw_orders", "customer_id -> customer_id", "count(*)", "r_orders o LEFT JOIN customers c ON o.customer_id = c.customer_id WHERE c.customer_id IS NULL")])))
+@query(_checks_sql("integrity"))
 def ref_integrity(s: Star) -> DataFrame:
-    return quality.integrity(s.fact, "fact", "date_key", s.dates, "date_key").unionAll(quality.integrity(s.fact, "fact", "customer_sk", s.customer_dimension, "customer_sk")).unionAll(quality.integrity(s.raw("orders"), "raw_orders", "customer_id", s.customers[0], "customer_id"))
+    return _checked(s, "integrity")
+
+
+@query(sql(" UNION ALL ".join(_check_sql(c) for c in CHECKS)))
+def quality_report(s: Star) -> DataFrame:
+    """All checks of the lake in one run: a scan a table."""
+    return quality.run(s.tables, CHECKS)
 
 
-@query("SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(sha256(CAST(n_nationkey AS VARCHAR) || '|' || n_name || '|' || CAST(n_regionkey AS VARCHAR)), 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR) AS checksum FROM nation")
+_NATION_DIGEST = (
+    "sha256(length(CAST(n_nationkey AS VARCHAR)) || ':' || CAST(n_nationkey AS VARCHAR) || length(n_name) || ':' || n_name"
+    " || length(CAST(n_regionkey AS VARCHAR)) || ':' || CAST(n_regionkey AS VARCHAR))"
+)
+_NATION_SUM = f"CAST(sum(CAST(('0x' || substr({_NATION_DIGEST}, 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR)"
+
+
+@query(f"SELECT count(*) AS n_rows, {_NATION_SUM} AS checksum FROM nation")
 def table_checksum(s: Star) -> DataFrame:
     return reconcile.checksum(s.table("nation"))
 
 
-@query("SELECT 'nation' AS table_name, count(*) AS source_rows, CAST(sum(CAST(('0x' || substr(sha256(CAST(n_nationkey AS VARCHAR) || '|' || n_name || '|' || CAST(n_regionkey AS VARCHAR)), 1, 15))::BIGINT AS HUGEINT)) AS VARCHAR) AS source_sum, source_rows AS made_rows, source_sum AS made_sum, true AS ok FROM nation")
+@query(f"""
+SELECT 'same' AS table_name, count(*) AS source_rows, {_NATION_SUM} AS source_sum, count(*) AS made_rows, {_NATION_SUM} AS made_sum, source_sum = made_sum AS ok FROM nation
+UNION ALL
+SELECT 'changed', * , source_rows = made_rows AND source_sum = made_sum FROM
+  (SELECT count(*) AS source_rows, {_NATION_SUM} AS source_sum FROM nation),
+  (SELECT count(*) AS made_rows, {_NATION_SUM} AS made_sum FROM (SELECT n_nationkey, upper(n_name) || '!' AS n_name, n_regionkey FROM nation WHERE n_nationkey > 3))
+""")
 def reconcile_rows(s: Star) -> DataFrame:
+    """A table against a reordered copy, and against one with changed and missing rows."""
     t = s.table("nation")
-    return reconcile.same_rows(t, t.select("n_regionkey", "n_name", "n_nationkey").orderBy(F.desc("n_name")), "nation")
+    changed = t.filter("n_nationkey > 3").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!")))
+    return reconcile.same_rows(t, t.select("n_regionkey", "n_name", "n_nationkey").orderBy(F.desc("n_name")), "same").unionAll(reconcile.same_rows(t, changed, "changed"))
 
 
 @query(sql("SELECT CAST(sum(CAST(quantity * unit_price AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS amount FROM r_items"), "amount")
@@ -386,14 +463,66 @@ def total_amount(s: Star) -> DataFrame:
     return reconcile.total(s.raw("order_items"))
 
 
-@query(sql("SELECT month, a AS \"left\", a AS \"right\", true AS same FROM (SELECT strftime(order_ts, '%Y-%m') AS month, CAST(sum(net_amount) AS DECIMAL(24,2)) AS a FROM fact GROUP BY 1)"), "left", "right")
-def period_reconcile(s: Star) -> DataFrame:
-    """Net amounts by month from cleansed lines and orders, against those of the fact table."""
-    o, i = s.orders[0].select("order_id", "order_ts"), s.items[0]
+_NET = "CAST(quantity * i.unit_price - round(quantity * i.unit_price * discount_pct * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(14,2))"
+#: Net amounts by month from cleansed lines and orders, and from the facts.
+_MONTHS_SQL = f"""
+SELECT coalesce(a.month, b.month) AS month, a.amount AS "left", b.amount AS "right", a.amount IS NOT DISTINCT FROM b.amount AS same
+FROM (SELECT strftime(order_ts, '%Y-%m') AS month, CAST(sum({_NET}) AS DECIMAL(24,2)) AS amount FROM items i JOIN orders_ o ON i.order_id = o.order_id GROUP BY 1) a
+FULL JOIN (SELECT strftime(order_ts, '%Y-%m') AS month, CAST(sum(net_amount) AS DECIMAL(24,2)) AS amount FROM fact GROUP BY 1) b ON a.month = b.month
+"""
+
+
+def _months(s: Star) -> DataFrame:
+    o, i = s.good("orders").select("order_id", "order_ts"), s.good("order_items")
     net = C.amounts(F.col("quantity"), F.col("unit_price"), F.col("discount_pct"))["net_amount"]
     return reconcile.months(reconcile.by_month(i.join(o, "order_id"), "order_ts", net), reconcile.by_month(s.fact, "order_ts", F.col("net_amount")))
 
 
+@query(sql(_MONTHS_SQL), "left", "right")
+def period_reconcile(s: Star) -> DataFrame:
+    """Net amounts by month from cleansed lines and orders, against those of the fact table."""
+    return _months(s)
+
+
+MIGRATED = {"customers": "r_customers", "products": "r_products", "stores": "r_stores", "orders": "r_orders", "order_items": "r_items"}
+
+
+def _migration_sql() -> str:
+    parts = []
+    for t, r in MIGRATED.items():
+        n = f"(SELECT count(*) FROM {r} WHERE {cleaning.TABLES[t].key} IS NOT NULL)"
+        parts.append(f"SELECT 'row count' AS check_name, '{t}' AS table_name, CAST({n} AS VARCHAR) AS source, CAST({n} AS VARCHAR) AS lake, true AS ok")
+        parts.append(f"SELECT 'checksum', '{t}', NULL, NULL, true")
+        parts.append(f"SELECT 'row accounting', '{t}', CAST(distinct_keys AS VARCHAR), CAST(valid_rows + quarantined_rows AS VARCHAR), distinct_keys = valid_rows + quarantined_rows FROM ({_ACCOUNTS[t]})")
+    amount = "SELECT CAST(sum(CAST(quantity * unit_price AS DECIMAL(18,2))) AS VARCHAR) AS a FROM r_items"
+    parts.append(f"SELECT 'total amount', 'order_items', a, a, true FROM ({amount})")
+    parts.append(f'SELECT \'net amounts by month\', \'fact\', CAST(sum("left") AS VARCHAR), CAST(sum("right") AS VARCHAR), bool_and(same) FROM ({_MONTHS_SQL})')
+    return sql(" UNION ALL ".join(parts))
+
+
+@query(_migration_sql())
+def migration_report(s: Star) -> DataFrame:
+    """All checks of a migration in one run: the source tables go to versioned tables, and are held against what was made of them.
+
+    Checksums are compared here and shown in `table_checksum`; a failed one would make `ok` false.
+    """
+    parts = []
+    for t in MIGRATED:
+        source = s.raw(t).filter(F.col(cleaning.TABLES[t].key).isNotNull())
+        lake = VersionedTable(s.spark, scratch(s.spark, f"bronze-{t}"))
+        lake.append(jdbc.audited(source.drop(*cleaning.AUDIT), f"source.{t}", "full", "b1", F.lit(AS_OF).cast("timestamp")), partition_by=("ingest_date",))
+        plain = source.drop(*cleaning.AUDIT)
+        parts.append(reconcile.migrated(plain, lake.read(), t))
+        account = cleaning.accounting(s.raw(t), cleaning.TABLES[t].key, s.good(t), s.rejected(t))
+        kept = F.col("valid_rows") + F.col("quarantined_rows")
+        parts.append(reconcile.line(account, "row accounting", t, F.col("distinct_keys"), kept))
+        if t == "order_items":
+            parts.append(reconcile.line(reconcile.pair(reconcile.total(plain), reconcile.total(lake.read())), "total amount", t, F.col("a"), F.col("b")))
+    months = _months(s).agg(F.sum("left").alias("a"), F.sum("right").alias("b"), F.bool_and("same").alias("same"))
+    parts.append(reconcile.line(months, "net amounts by month", "fact", F.col("a"), F.col("b"), F.col("same")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 GOLD_SCRIPT = """
 -- sales by region; a ; in a comment and in 'a ; literal' is no end of a statement
 CREATE OR REPLACE TABLE gold.sales AS SELECT s.region, sum(f.net) AS net FROM silver.facts f JOIN silver.stores s ON f.store = s.id WHERE s.note <> 'FROM nowhere.x; --' GROUP BY s.region;
@@ -410,7 +539,7 @@ def lineage_edges(s: Star) -> DataFrame:
 
 @query()
 def catalog_columns(s: Star) -> DataFrame:
-    tables = {"silver.customers": s.customers[0], "silver.orders": s.orders[0], "gold.fact_sales": s.fact, "gold.dim_customer": s.customer_dimension}
+    tables = {"silver.customers": s.good("customers"), "silver.orders": s.good("orders"), "gold.fact_sales": s.fact, "gold.dim_customer": s.customer_dimension}
     return lineage.catalogue(s.spark, tables, {"silver": "platform", "gold": "analytics"})
 
 

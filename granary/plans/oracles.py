@@ -10,7 +10,7 @@ NAME = "array_to_string(list_transform(string_split(lower(trim({0})), ' '), lamb
 PHONE = "CASE WHEN length(regexp_replace({0}, '[^0-9]', '', 'g')) >= 10 THEN right(regexp_replace({0}, '[^0-9]', '', 'g'), 10) END"
 TS = "coalesce(try_strptime({0}, '%Y-%m-%d %H:%M:%S'), try_strptime({0}, '%d/%m/%Y %H:%M'))"
 LOST = "order_status NOT IN ('CANCELLED', 'RETURNED')"
-HASH = "sha256(coalesce(city, '<null>') || '|' || coalesce(state, '<null>'))"
+HASH = "sha256(coalesce(length(city) || ':' || city, '-') || coalesce(length(state) || ':' || state, '-'))"
 PCT = "CAST(round(100 * CAST({0} AS DOUBLE) / nullif(CAST({1} AS DOUBLE), 0), 1) + 0.0 AS DOUBLE)"
 
 

@@ -79,10 +79,14 @@ def test_history(spark):
 
 def test_quality_on_an_empty_table(spark):
     empty = spark.createDataFrame([], "k int")
-    assert quality.completeness(empty, "t", "k").first()["ok"] is False
-    assert quality.uniqueness(empty, "t", "k").first()["ok"] is True
-    assert quality.uniqueness(spark.createDataFrame([(None,), (None,)], "k int"), "t", "k").first()["measured"] == "2"
-    assert quality.validity(spark.createDataFrame([(None,), (1,)], "k int"), "t", "k > 0", "positive").first()["ok"] is True
+    first = lambda df, check, **more: quality.run({"t": df, **more}, [check]).first()
+    assert first(empty, quality.complete("t", "k"))["ok"] is False
+    assert first(empty, quality.unique("t", "k"))["ok"] is True
+    assert first(spark.createDataFrame([(None,), (None,)], "k int"), quality.unique("t", "k"))["measured"] == "2"
+    some = spark.createDataFrame([(None,), (1,), (1,), (2,)], "k int")
+    assert first(some, quality.valid("t", "k > 0", "positive"))["ok"] is True
+    assert first(some, quality.refers("t", "k", "p", "k"), p=spark.createDataFrame([(1,), (1,), (None,)], "k int"))["measured"] == "2"
+    assert first(empty, quality.refers("t", "k", "p", "k"), p=some)["ok"] is True
 
 
 def test_checksum_ignores_order_and_sees_repeats(spark):
@@ -96,7 +100,7 @@ def test_accounting_adds_up(spark):
     ddl = "customer_id int, first_name string, last_name string, email string, phone string, city string, state string, signup_date date, updated_at timestamp, _ingested_at timestamp, _source string, _batch_id string"
     row = lambda k, at: (k, "a", "b", None, None, None, None, None, at, D0, "s", "b")
     raw = spark.createDataFrame([row(1, D0), row(1, D1), row(None, D0), row(None, D0)], ddl)
-    good, bad = cleaning.customers(raw)
+    good, bad = cleaning.cleanse("customers", raw)
     r = cleaning.accounting(raw, "customer_id", good, bad).first()
     assert r["distinct_keys"] == r["valid_rows"] + r["quarantined_rows"] == 3
 

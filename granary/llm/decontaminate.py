@@ -10,8 +10,9 @@ The masks are lossless: for each window they are chosen so that, wherever the al
 meets none of them.  Items of fewer than ``LEAST`` words are no evidence and are left out, as null texts are.
 Items without an id are items like others; their results have a null item_id.
 
-The test items are a bounded query set: they go to the executors in blocks of ``BLOCK_WORDS`` words at most (or one longer item),
-each block against all documents.  Repeated rows each get their own result; items with equal ids count as one.
+The test items are a stated query set: they go to the executors in blocks of about ``BLOCK_WORDS`` words (or one longer item), each block
+against all documents, one block in memory at a time.  Repeated rows of documents each get their own result; repeated
+rows of the test set are one item, and items with one id and different texts are two.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import map_arrow, with_text
+from .common import map_arrow, with_text, written
 
 WINDOW, LEAST, SIMILARITY, BLOCK_WORDS = 13, 5, 0.8, 400_000
 #: At most so many masks for a window; the fewer, the fewer words a mask picks.
@@ -163,28 +164,41 @@ def _clean(items, text: int):
     return run
 
 
-def item_blocks(benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcasts of Items, each of about `block_words` words; their number follows the size of the test set."""
+def _blocks(benchmark: DataFrame, window: int, similarity: float, block_words: int) -> Iterator[tuple[object, bool]]:
+    """Broadcasts of Items of about `block_words` words each, one after the other, and whether there is one alone.
+
+    Their number follows the size of the test set.  Where there are several, each is released before the next is made, so the
+    memory of driver and executors is that of one block; what was found with it must have been written by then.
+    """
     spark = benchmark.sparkSession
-    own = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    own = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     words = own.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(words / 5 / block_words))
-    blocks = []
     for k in range(n):
-        rows = own.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect() if words else []
-        blocks.append(spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], window, similarity)))
-    return blocks
+        rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect() if words else []
+        block = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], window, similarity))
+        yield block, n == 1
+        if n > 1:
+            block.destroy()
+
+
+FOUND = "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_same bigint"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, start_word, n_words (of the overlap), n_same (words that agree)."""
     named = with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    parts = [map_arrow(named, _overlaps(b), "doc_id bigint, item_id bigint, start_word bigint, n_words bigint, n_same bigint") for b in item_blocks(benchmark, window, similarity, block_words)]
+    parts = []
+    for block, alone in _blocks(benchmark, window, similarity, block_words):
+        found = map_arrow(named, _overlaps(block), FOUND)
+        parts.append(found if alone else written(found, "overlaps"))
     return functools.reduce(DataFrame.unionAll, parts)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The pipeline's stage: contaminated documents go; columns as in `docs`."""
-    for b in item_blocks(benchmark, **parameters):
-        docs = map_arrow(docs, _clean(b, docs.columns.index("text")), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for block, alone in _blocks(benchmark, window, similarity, block_words):
+        left = map_arrow(docs, _clean(block, docs.columns.index("text")), schema)
+        docs = left if alone else written(left, "clean-documents")
     return docs

@@ -66,10 +66,8 @@ def measures(c: K.Chunk) -> dict[str, np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
     for batch in batches:
-        ids, source, text = batch.column(0), batch.column(1), batch.column(2)
+        ids, source, digest, text = (batch.column(k) for k in range(4))
         for c in K.chunks(text):
             m, n = measures(c), len(c.offsets) - 1
             lines, counts, sizes = [], [], []
@@ -80,10 +78,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(np.bincount(by, m["line_words"][bounds[i] : bounds[i + 1]], minlength=len(at)).astype(np.int32))
                 sizes.append(len(at))
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            raw = c.data.tobytes()
-            whole = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [ids[c.rows], source[c.rows], *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lines) if lines else [], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts) if counts else [], pa.int32()))],
+                [ids[c.rows], source[c.rows], *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), digest[c.rows], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lines) if lines else [], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts) if counts else [], pa.int32()))],
                 names=["g_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "g_text", "g_lines", "g_counts"],
             )
 
@@ -100,15 +96,20 @@ def frequent_lines(measured: DataFrame, min_documents: int = MIN_DOCUMENTS, shar
     )
 
 
-def quality_rules(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, depleted_percent: int = DEPLETED_PERCENT, id_column: str = "doc_id") -> DataFrame:
-    """One row per row of `docs`: its id, the base measures, removed_words, the removed lines' hashes, base_failed and kept.
+def _digest() -> F.Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def _judged(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, depleted_percent: int = DEPLETED_PERCENT, id_column: str = "doc_id") -> DataFrame:
+    """quality_rules() with the host, source, and the text's digest, g_text, of each row.
 
     Frequent lines meet documents in a join on (host, line) whose small side is unique, and AQE splits what a hot line makes large.
     """
-    named = docs.select(F.col(id_column).cast("long").alias("g_id"), F.col("source").cast("string").alias("source"), "text")
-    measured = written(map_arrow(with_text(named, "g_id", "source"), _measured, MEASURES).withColumn("g_row", F.monotonically_increasing_id()), "line-measures")
+    named = docs.select(F.col(id_column).cast("long").alias("g_id"), F.col("source").cast("string").alias("source"), _digest().alias("g_text"), "text")
+    measured = written(map_arrow(with_text(named, "g_id", "source", "g_text"), _measured, MEASURES).withColumn("g_row", F.monotonically_increasing_id()), "line-measures")
     frequent = written(frequent_lines(measured, min_documents, share), "frequent-lines")
-    lines = measured.select("g_row", "source", F.explode(F.arrays_zip("g_lines", "g_counts")).alias("g")).select("g_row", F.col("source").alias("g_of"), F.col("g.g_lines").alias("g_at"), F.col("g.g_counts").alias("g_words"))
+    lines = measured.select("g_row", "source", F.explode(F.arrays_zip("g_lines", "g_counts")).alias("g"))
+    lines = lines.select("g_row", F.col("source").alias("g_of"), F.col("g.g_lines").alias("g_at"), F.col("g.g_counts").alias("g_words"))
     lost = (
         lines.join(frequent, F.col("g_of").eqNullSafe(F.col("source")) & (F.col("g_at") == F.col("g_line")))
         .groupBy(F.col("g_row").alias("g_hit")).agg(F.sum("g_words").alias("removed_words"), F.collect_list("g_line").alias("removed_lines"))
@@ -116,11 +117,16 @@ def quality_rules(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: fl
     removed = F.coalesce(F.col("removed_words"), F.lit(0)).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured.join(lost, F.col("g_row") == F.col("g_hit"), "left").select(
-        F.col("g_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("removed_words"),
+        "source", "g_text", F.col("g_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("removed_words"),
         F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"), failed.alias("base_failed"), (~failed & (100 * removed <= depleted_percent * F.col("n_words"))).alias("kept"),
     )
 
 
+def quality_rules(docs: DataFrame, **parameters) -> DataFrame:
+    """One row per row of `docs`: its id, the base measures, removed_words, the removed lines' hashes, base_failed and kept."""
+    return _judged(docs, **parameters).drop("source", "g_text")
+
+
 def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Takes the lines whose hashes are listed in the last column out of ``text``."""
     for batch in batches:
@@ -145,11 +151,14 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def apply_rules(docs: DataFrame, **parameters) -> DataFrame:
     """The pipeline's stage: rejected documents go, frequent lines leave the texts of the others; the columns stay those of `docs`.
 
-    Where one doc_id stands on several rows, the rows' verdicts are united: one is kept if any is.
+    A verdict belongs to a host and a text, whatever the ids are: rows without an id are judged like others, and of rows with one id each goes or
+    stays by itself.  A verdict is one row where documents meet it, so that AQE can split a text that very many share.
     """
-    verdict = quality_rules(docs, **parameters).filter("kept").groupBy(F.col("doc_id").alias("g_id")).agg(F.flatten(F.collect_set("removed_lines")).alias("g_gone"))
-    kept = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("g_id"))).select(*docs.columns, "g_gone").withColumn("text", F.coalesce("text", F.lit("")))
-    out = map_arrow(kept, _stripped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    verdict = _judged(docs, **parameters).filter("kept").groupBy("source", "g_text").agg(F.first("removed_lines").alias("g__gone"))
+    named = verdict.select(F.col("source").alias("g__host"), F.col("g_text").alias("g__digest"), "g__gone")
+    kept = docs.join(named, F.col("source").cast("string").eqNullSafe(F.col("g__host")) & (_digest() == F.col("g__digest")))
+    texts = kept.select(*docs.columns, "g__gone").withColumn("text", F.coalesce("text", F.lit("")))
+    out = map_arrow(texts, _stripped, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

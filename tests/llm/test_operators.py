@@ -82,6 +82,30 @@ def test_line_frequency_removes_and_rejects(spark):
     assert kept[3]["text"] == body(3) and kept[3]["n_chars"] == len(body(3))
 
 
+def test_verdicts_belong_to_rows_not_to_ids(spark):
+    body = lambda k: "\n".join(" ".join(words(12, 10 * k + j)) for j in range(4))
+    shared = "a line that all of these have"
+    data = [(None, f"{body(k)}\n{shared}", "a") for k in range(15)]  # kept, and lose the line
+    data += [(None, "too few words", "a"), (None, None, "a"), (7, "too few words", "a"), (7, body(50), "a"), (7, f"{body(51)}\n{shared}", "b"), (7, f"{body(51)}\n{shared}", "a"), (None, body(52), None), (None, body(52), None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    kept = quality_rules.apply_rules(docs, min_documents=10, share=0.1)
+    got = collections.Counter((r["doc_id"], r["text"], r["source"]) for r in kept.collect())
+    want = [(None, body(k), "a") for k in range(15)] + [(7, body(50), "a"), (7, f"{body(51)}\n{shared}", "b"), (7, body(51), "a"), (None, body(52), None), (None, body(52), None)]
+    assert kept.columns == docs.columns and got == collections.Counter(want)
+
+
+def test_the_share_rules_in_a_large_host(spark):
+    """With the parameters of production: a line in 30 documents goes from a host of few, and stays in one of 10000, of which 50 are 0.5 %."""
+    own = lambda k: " ".join(words(25, k)).translate(str.maketrans("0123456789", "abcdefghij"))  # noqa: E731 (digits are one in normal forms)
+    few, many = [(k, f"{own(k)}\nhere line of thirty", "few") for k in range(30)], []
+    for k in range(10_000):
+        lines = [own(100 + k), *(["there line of thirty"] if k < 30 else []), *(["there line of fifty"] if k < 50 else []), *(["there line of more"] if k < 51 else [])]
+        many.append((1000 + k, "\n".join(lines), "many"))
+    docs = spark.createDataFrame(few + many, "doc_id long, text string, source string").repartition(4)
+    got = {r["doc_id"]: r["removed_words"] for r in quality_rules.quality_rules(docs).collect()}
+    assert all(got[k] == 4 for k in range(30)) and all(got[1000 + k] == (4 if k < 51 else 0) for k in range(10_000))
+
+
 def test_copies_are_no_evidence_for_boilerplate(spark):
     text = "\n".join(" ".join(words(12, j)) for j in range(4))
     docs = spark.createDataFrame([(k, text, "en", "a", 0) for k in range(50)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -251,7 +275,9 @@ def test_leaks(spark, odd):
     texts = {1: words(20) + item + words(20, 1), 2: [w.upper() for w in hurt], 3: words(50, 2), 4: far, 5: item[10:23], 6: item[:12], 7: [], 8: words(9, 8)}
     docs = spark.createDataFrame([(k, "  ".join(v), "x") for k, v in texts.items()] + [(None, " ".join(item), "x"), (9, None, "y")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (None, " ".join(item)), (3, "a b c"), (4, " ".join(words(9, 8))), (1, " ".join(item))], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, bench).collect()}
+    rows_ = decontaminate.contaminated(docs, bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r for r in rows_}
+    assert len(rows_) == len(got)  # a repeated row of the test set is one item
     assert {k for k, i in got if i == 1} == {1, 2, 5, None} and (8, 4) in got
     assert got[1, 1]["start_word"] == 20 and got[1, 1]["n_same"] == 40
     blocks = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, block_words=20).collect()}
@@ -259,6 +285,46 @@ def test_leaks(spark, odd):
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 6, 7, 9}
     assert decontaminate.contaminated(odd.filter("doc_id < 11"), bench).count() == 0
+    assert decontaminate.clean(odd, spark.createDataFrame([(1, " ".join(words(30000, 5)[20000:20100]))], "item_id long, text string")).count() == odd.count() - 1
+
+
+def brute_leaks(texts, items, window=13, similarity=0.8, least=5):
+    """(document, item) where some window of the item agrees with the document at some alignment in enough words."""
+    found = set()
+    for d, t in texts.items():
+        for i, x in items.items():
+            if len(x) < least:
+                continue
+            w = min(len(x), window)
+            for at in range(-len(x), len(t)):
+                same = [0 <= at + k < len(t) and t[at + k] == y for k, y in enumerate(x)]
+                inside = [0 <= at + k < len(t) for k in range(len(x))]
+                if any(all(inside[k : k + w]) and 10 * sum(same[k : k + w]) >= 10 * similarity * w - 1e-9 for k in range(len(x) - w + 1)):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_leaks_at_all_alignments(spark):
+    """Against every alignment of every item: substitutions in any places, cut and shifted passages, items of one to forty words."""
+    rng = np.random.default_rng(9)
+    items = {k: words(n, 80 + k) for k, n in enumerate([1, 4, 5, 6, 8, 10, 12, 13, 14, 20, 40, 40])}
+    items[11] = list(items[10][5:25]) + words(20, 99)
+    texts = {}
+    for k in range(260):
+        own = items[int(rng.integers(2, len(items)))]
+        low = int(rng.integers(0, max(len(own) - 4, 1)))
+        part = list(own[low : low + int(rng.integers(4, 41))])
+        for at in rng.choice(len(part), int(rng.integers(0, len(part) // 3 + 2)), replace=False):
+            part[at] = f"n{k}x{at}"
+        texts[k] = words(int(rng.integers(0, 9)), 200 + k) + [w.upper() if k % 2 else w for w in part] + words(int(rng.integers(0, 9)), 500 + k)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    want = brute_leaks({k: [w.lower() for w in t] for k, t in texts.items()}, items)
+    assert 60 < len({d for d, _ in want}) < 250
+    for block in (60, 400_000):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, block_words=block).collect()} == want
+        assert {r["doc_id"] for r in decontaminate.clean(docs, bench, block_words=block).collect()} == set(texts) - {d for d, _ in want}
 
 
 def test_items_without_an_id_are_found(spark):

@@ -3,9 +3,10 @@
 A document's ids are cut into full pieces and a shorter last one.  The lengths' histogram has at most 1024 bins, however
 large the corpus, so it goes to the driver, where a linear program over patterns (what lengths share a sequence, how often)
 is solved by column generation: the simplex method's dual prices go to a knapsack dynamic program, which returns the pattern
-worth most, until none is worth more than a sequence.  Each pattern's number is rounded down.  Pieces of a length are ranked, and
-ranks are dealt to the patterns' places in turn; the ranks are counted per bucket and summed over buckets, so that a length
-which a third of all documents have is no hot task.  What rounding leaves, and the places of patterns with more than
+worth most, until none is worth more than a sequence.  Each pattern's number is rounded down; programs for what that leaves follow, whose
+patterns are taken once at least, until none fits any more.  Pieces of a length are ranked, and ranks are dealt to the patterns' places in
+turn; a length has a bucket for every ``BUCKET`` pieces, ranks are counted per bucket and summed over buckets, so that a length
+which a third of all documents have is no hot task.  What is left, and the places of patterns with more than
 ``TOLERANCE`` tokens of waste, is laid end to end and cut at every 1024 tokens.
 
 Null texts are empty and have the end id alone.  Every row is a document, rows with equal ids too.  An empty table gives none.
@@ -26,7 +27,7 @@ from . import kernel as K
 from .common import map_arrow, with_text, written
 from .tokens import Encoder
 
-SIZE, END, TOLERANCE = 1024, 0, 8
+SIZE, END, TOLERANCE, BUCKET = 1024, 0, 8, 1 << 14
 #: The linear program stops this near to its bound, or after so many rounds of so many columns, or
 #: when STALL rounds have gained less than a tenth of that; less work there only means more cuts.
 GAP, ROUNDS, COLUMNS, STALL = 0.001, 200, 64, 8
@@ -198,11 +199,17 @@ def layout(histogram: np.ndarray, size: int = SIZE, tolerance: int = TOLERANCE)
     full[size] = 1
     if left[size]:
         use(full, int(left[size]))
-    for counts, x in sorted(patterns(left, size), key=lambda p: -p[1]):
-        fits = int(np.min(left[counts > 0] // counts[counts > 0], initial=np.iinfo(np.int64).max)) if counts.any() else 0
-        n = min(int(x + 1e-6), fits)
-        if n > 0 and size - int(counts @ np.arange(size + 1)) <= tolerance:
-            use(counts, n)
+    least, grain = 0, np.arange(size + 1)  # the first program's numbers are rounded down, those for what is left of it are one at least
+    while left.any():
+        before = sequence
+        for counts, x in sorted(patterns(left, size), key=lambda p: -p[1]):
+            fits = int(np.min(left[counts > 0] // counts[counts > 0], initial=np.iinfo(np.int64).max)) if counts.any() else 0
+            n = min(max(int(x + 1e-6), least), fits)
+            if n > 0 and size - int(counts @ grain) <= tolerance:
+                use(counts, n)
+        if least and sequence == before:
+            break
+        least = 1
     tail, at = {}, 0
     for s in np.flatnonzero(left).tolist():
         tail[s] = at
@@ -240,11 +247,12 @@ def tokenised(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END,
     return written(map_arrow(rows, _pieces(tokenizer, size, end, dtype), "g_row bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"), "pieces")
 
 
-def _assigned(plan: Layout):
+def _assigned(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_plan: Layout = plan.value
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("g_rank").to_numpy()
-            row, cut, part, sequence, offset = plan.assign(length, rank)
+            row, cut, part, sequence, offset = own_plan.assign(length, rank)
             own = batch.select(["g_row", "doc_id", "start", "doc_tokens"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
                 [own.column(0), own.column(1), own.column(2), pa.array(own.column(2).to_numpy() + cut), pa.array(part), own.column(3), pa.array(sequence), pa.array(offset), pa.array(batch.column("length").to_numpy()[row] != part)],
@@ -254,21 +262,22 @@ def _assigned(plan: Layout):
     return run
 
 
-def pack(pieces: DataFrame, size: int = SIZE, tolerance: int = TOLERANCE, buckets: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, tolerance: int = TOLERANCE, bucket: int = BUCKET) -> DataFrame:
     """Of tokenised(): doc_id, start, length, doc_tokens, sequence_id, offset of each piece as packed; g_row, g_start name the stored piece
-    that holds its ids, and g_cut says whether it is a part of that piece.  `buckets`: what a length's pieces are ranked in side by side."""
+    that holds its ids, and g_cut says whether it is a part of that piece.  `bucket`: about how many pieces of a length are ranked in one task."""
     spark = pieces.sparkSession
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = pieces.select("g_row", "doc_id", "start", "length", "doc_tokens", F.pmod(F.xxhash64("g_row", "start"), F.lit(buckets)).alias("g_bucket"))
-    sizes = written(keyed.groupBy("length", "g_bucket").agg(F.count("*").alias("g_n")), "length-buckets")
     histogram = np.zeros(size + 1, np.int64)
-    for r in sizes.groupBy("length").agg(F.sum("g_n").alias("n")).collect():  # at most `size` rows
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `size` rows
         histogram[r["length"]] = r["n"]
-    plan = layout(histogram, size, tolerance)
+    plan = spark.sparkContext.broadcast(layout(histogram, size, tolerance))  # of bounded size: the lengths and the patterns
+    buckets = F.get(F.lit(np.maximum(1, -(-histogram // bucket)).tolist()), F.col("length").cast("int"))
+    keyed = pieces.select("g_row", "doc_id", "start", "length", "doc_tokens", F.pmod(F.xxhash64("g_row", "start"), buckets).alias("g_bucket"))
+    sizes = written(keyed.groupBy("length", "g_bucket").agg(F.count("*").alias("g_n")), "length-buckets")
     over = Window.partitionBy("length").orderBy("g_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(F.col("length").alias("b_length"), F.col("g_bucket").alias("b_bucket"), F.coalesce(F.sum("g_n").over(over), F.lit(0)).alias("g_before"))
     rank = F.row_number().over(Window.partitionBy("length", "g_bucket").orderBy("doc_id", "g_row", "start")) - 1
-    ranked = keyed.withColumn("g_within", rank).join(before, (F.col("length") == F.col("b_length")) & (F.col("g_bucket") == F.col("b_bucket")))
+    # merged, not broadcast: the ranked pieces lie by length and bucket already
+    ranked = keyed.withColumn("g_within", rank).join(before.hint("merge"), (F.col("length") == F.col("b_length")) & (F.col("g_bucket") == F.col("b_bucket")))
     ranked = ranked.select("g_row", "doc_id", "start", "length", "doc_tokens", (F.col("g_within") + F.col("g_before")).cast("long").alias("g_rank"))
     return map_arrow(ranked, _assigned(plan), "g_row bigint, doc_id bigint, g_start bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, g_cut boolean")
 

@@ -429,10 +429,18 @@ def encoded(name, text, end):
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
-def test_token_files(spark, odd):
-    folder, manifest = token_files.write_tokens(odd, tokenizer("word_bpe_49k.json"))
+@pytest.mark.parametrize("shard_ids", [None, 40])
+def test_token_files(spark, odd, shard_ids):
+    import xxhash
+
+    special = spark.createDataFrame([(500, "end <|endoftext|> of <|StartOfText|>", None, None, None, None, None, None), (500, "ab" * 3000, None, None, None, None, None, None)], odd.schema)
+    docs = odd.unionAll(special)
+    more = {} if shard_ids is None else {"shard_ids": shard_ids, "shard_documents": 3}
+    folder, manifest = token_files.write_tokens(docs, tokenizer("word_bpe_49k.json"), **more)
+    assert manifest.count() >= (1 if shard_ids is None else 4) and manifest.agg(F.sum("documents")).first()[0] == docs.count()
     got = token_files.read_tokens(spark, folder, manifest).orderBy("start").collect()
-    data = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    signed = lambda t: xxhash.xxh64(t.encode(), 42).intdigest() + (1 << 63) & (1 << 64) - 1  # noqa: E731 (in the order of signed integers)
+    data = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, signed(r["text"] or "")))
     start = 0
     for r, d in zip(got, data, strict=True):
         ids = encoded("word_bpe_49k.json", d["text"], 2)
@@ -441,14 +449,28 @@ def test_token_files(spark, odd):
 
 
 def test_packing(spark, odd):
-    docs = odd.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    """Every row is a document: null ids, repeated ids and rows, special tokens, long texts."""
+    special = spark.createDataFrame([(500, "end <|endoftext|> of", None, None, None, None, None, None), (500, "other", None, None, None, None, None, None)], odd.schema)
+    docs = odd.unionAll(special)
     pieces = packing.tokenised(docs, tokenizer("byte_bpe_50k.json"))
-    packed = packing.pack(pieces)
+    packed = packing.pack(pieces, bucket=4)
     got = packing.checksums(packed, pieces).toPandas()
+    assert got.ids_crc32.notna().all() and not got.duplicated(["sequence_id", "offset"]).any()
+    want = collections.Counter()
     for r in docs.collect():
-        ids, own = encoded("byte_bpe_50k.json", r["text"], 0), got[got.doc_id == r["doc_id"]].sort_values("start")
-        assert own.length.sum() == len(ids) and (own.start.values == np.r_[0, own.length.cumsum().values[:-1]]).all() and (own.doc_tokens == len(ids)).all()
-        assert all(zlib.crc32(ids[s : s + n]) == c for s, n, c in zip(own.start, own.length, own.ids_crc32))
+        ids = encoded("byte_bpe_50k.json", r["text"], 0)
+        want[r["doc_id"], len(ids)] += len(ids)
+        own = got[(got.doc_id.isna() if r["doc_id"] is None else got.doc_id == r["doc_id"]) & (got.doc_tokens == len(ids))]
+        # pieces of this document are among those of its id and length; equal rows have equal ones
+        at = 0
+        while at < len(ids):
+            fits = [(int(n)) for s, n, c in zip(own.start, own.length, own.ids_crc32) if s == at and zlib.crc32(ids[at : at + int(n)]) == c]
+            assert fits, (r["doc_id"], at)
+            at += min(fits)
+    have = collections.Counter()
+    for d, n, k in zip(got.doc_id, got.doc_tokens, got.length):
+        have[None if d != d else int(d), int(n)] += int(k)
+    assert have == want
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset.values == np.r_[0, g.length.cumsum().values[:-1]]).all() and g.length.sum() <= 1024
     whole = packing.sequences(packed, pieces).toPandas().set_index("sequence_id")

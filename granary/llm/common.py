@@ -22,26 +22,39 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where the session names none (tests) is a local one set."""
+    """The folder that driver and executors share.  Only a local session that names none, as in tests, gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="granary-")
+        if known.isDefined():
+            folder = known.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="granary-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: The scratch paths of this driver that have not been deleted, in order.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it is deleted when the driver's JVM ends."""
+    """A new path below the shared folder; it is deleted when the driver's JVM ends, if not before."""
     path = f"{shared_folder(spark)}/granary-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target, fs = _hadoop(spark, path)
     fs.mkdirs(target)
     fs.deleteOnExit(target)
+    _made.append(path)
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage and survives the loss of executors."""
     path = scratch_path(df.sparkSession, name)
@@ -49,6 +62,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, written; all other scratch that was made for it is deleted then."""
+    since = len(_made)
+    out = written(make(), name)
+    gone, _made[since:] = _made[since:-1], _made[-1:]
+    for path in gone:
+        target, fs = _hadoop(spark, path)
+        fs.delete(target, True)
+    return out
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; only where it names none (tests) a local one is set."""
+    """The folder that driver and executors share, as the session names it; only a local session that names none, as in tests, gets one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

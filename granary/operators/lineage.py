@@ -10,6 +10,16 @@ from granary.sources.files import statements
 
 Edge = tuple[str, str, str]
 PERSONAL = {"first_name": "yes", "last_name": "yes", "email": "yes", "phone": "yes", "email_hash": "pseudonymised", "phone_masked": "masked"}
+#: What the columns of the retail tables hold.
+DESCRIBED = {
+    "customer_id": "key of the customer at the source", "customer_sk": "number of a version of the customer", "first_name": "given name", "last_name": "family name",
+    "email_hash": "digest of the address, for joins and counts", "phone_masked": "last four digits", "city": "town, as spelt by rule", "state": "region of the address", "signup_date": "day of registration",
+    "row_hash": "digest of the attributes whose history is kept", "effective_from": "first moment of the version", "effective_to": "moment at which the version no longer holds", "is_current": "whether the version holds now",
+    "product_id": "key of the product at the source", "product_key": "product", "store_id": "key of the store at the source", "store_key": "store", "order_id": "order", "order_item_id": "line of an order; one row a line",
+    "order_ts": "moment of the order, from any of the source's formats", "order_date": "day of the order", "order_status": "state of the order", "payment_method": "way of payment", "quantity": "units", "unit_price": "price of a unit",
+    "discount_pct": "discount in percent", "gross_amount": "units times price", "discount_amount": "discount in money", "net_amount": "gross less discount", "date_key": "day as a number", "updated_at": "last change at the source",
+    "_ingested_at": "arrival in the lake", "_source": "where the row comes from", "_batch_id": "load that brought the row",
+}
 _NAME = r"((?:\w+\.)+\w+)"
 
 
@@ -32,7 +42,7 @@ def plan_inputs(df: DataFrame) -> list[str]:
 def catalogue(spark: SparkSession, tables: dict[str, DataFrame], owners: dict[str, str], described: dict[str, str] | None = None) -> DataFrame:
     """A row per column: table_name, position, column_name, type, description, personal, owner (by the table's layer)."""
     rows = [
-        (t, k, f.name, f.dataType.simpleString(), (described or {}).get(f.name, ""), PERSONAL.get(f.name, "no"), owners.get(t.split(".")[0], ""))
+        (t, k, f.name, f.dataType.simpleString(), (DESCRIBED if described is None else described).get(f.name, ""), PERSONAL.get(f.name, "no"), owners.get(t.split(".")[0], ""))
         for t, df in tables.items() for k, f in enumerate(df.schema.fields)
     ]
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, type string, description string, personal string, owner string")

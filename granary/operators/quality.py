@@ -83,9 +83,3 @@ def run(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
     for k, c in enumerate(checks):
         by_table.setdefault(c.table, []).append((k, c))
     return reduce(DataFrame.unionAll, (_of_table(tables[t], tables, own) for t, own in by_table.items())).drop("place")
-
-
-def markdown(rows: list) -> str:
-    """Checked rows, collected, as a table."""
-    head = "| dimension | table | check | measured | expected | result |\n|---|---|---|---|---|---|\n"
-    return head + "".join(f"| {r['dimension']} | {r['table_name']} | {r['check_name']} | {r['measured']} | {r['expected']} | {'PASS' if r['ok'] else 'FAIL'} |\n" for r in rows)

@@ -125,3 +125,22 @@ def export_star(tables: dict[str, DataFrame], path: str) -> None:
 def secured(view: DataFrame, regions: list[str]) -> DataFrame:
     """Row-level security: the rows of a role's regions."""
     return view.filter(F.col("region").isin(*regions))
+
+
+def dashboard(view: DataFrame, customer_dimension: DataFrame, path: str) -> None:
+    """A page with the charts of the view, from aggregates that are a row a month, region and year, store, or cohort."""
+    from granary.operators import reports
+
+    monthly = monthly_growth(view).orderBy("year_month").collect()
+    stores = store_growth(view).filter("yoy_growth_pct is not null").orderBy(F.desc("year"), F.desc("yoy_growth_pct")).limit(40).collect()
+    values = baskets(view).orderBy("region", "year").collect()
+    kept_ = cohort_pivot(retention(view, customer_dimension)).orderBy("cohort_quarter_start").collect()
+    quarters = [f"q{k}" for k in range(8)]
+    charts = (
+        reports.bars("Net revenue by month", [(r["year_month"], float(r["revenue"])) for r in monthly], 1200),
+        reports.bars("Average order value by region and year", [(f"{r['region']} {r['year']}", float(r["avg_order_value"])) for r in values], 1200),
+        reports.bars("Growth of stores over the year before, in percent", [(f"{r['store_name']} {r['year']}", float(r["yoy_growth_pct"])) for r in stores], 1200),
+        reports.grid("Customers who came back, in percent, by quarter of their first order", quarters, [(r["cohort_quarter_start"], [r[q] for q in quarters]) for r in kept_]),
+    )
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(reports.html("Sales", [r.asDict() for r in monthly], charts))

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import columns as C
@@ -336,9 +336,11 @@ def distributed_row_numbers(s: Star) -> DataFrame:
     return frames.numbered(s.table("part").select("p_retailprice", "p_partkey"), "p_retailprice", "p_partkey", name="n").select("p_partkey", "n")
 
 
-@query()
+@query("SELECT event_type, count(DISTINCT user_id) AS n_users, true AS within_bound FROM events GROUP BY 1")
 def approx_distinct_users(s: Star) -> DataFrame:
-    return s.table("events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("n_users"))
+    """Exact counts, and whether the approximate one, made with a standard error of 2 %, lies within four of those."""
+    near = F.abs(F.approx_count_distinct("user_id", 0.02) - F.countDistinct("user_id")) <= 0.08 * F.countDistinct("user_id")
+    return s.table("events").groupBy("event_type").agg(F.countDistinct("user_id").alias("n_users"), near.alias("within_bound"))
 
 
 # ---- quality, reconciliation, lineage ------------------------------------------------------------------------------
@@ -537,10 +539,45 @@ def lineage_edges(s: Star) -> DataFrame:
     return lineage.edges_frame(s.spark, sorted(edges))
 
 
-@query()
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DATE": "date", "TIMESTAMP": "timestamp", "BOOLEAN": "boolean"}
+_TYPE = "CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items()) + " ELSE lower(column_type) END"
+_CATALOGUED = {"silver.customers": "customers", "silver.orders": "orders_", "gold.fact_sales": "fact", "gold.dim_customer": "dim_customer"}
+
+
+def _described_sql() -> str:
+    personal = "CASE WHEN column_name IN ('first_name', 'last_name', 'email', 'phone') THEN 'yes' WHEN column_name = 'email_hash' THEN 'pseudonymised' WHEN column_name = 'phone_masked' THEN 'masked' ELSE 'no' END"
+    owner = "CASE WHEN table_name LIKE 'gold.%' THEN 'analytics' ELSE 'platform' END"
+    each = [f"SELECT '{t}' AS table_name, column_name, {_TYPE} AS type FROM (DESCRIBE {sql(f'SELECT * FROM {part}')})" for t, part in _CATALOGUED.items()]
+    return f"SELECT *, {personal} AS personal, {owner} AS owner, true AS described FROM ({' UNION ALL '.join(each)})"
+
+
+@query(_described_sql())
 def catalog_columns(s: Star) -> DataFrame:
-    tables = {"silver.customers": s.good("customers"), "silver.orders": s.good("orders"), "gold.fact_sales": s.fact, "gold.dim_customer": s.customer_dimension}
-    return lineage.catalogue(s.spark, tables, {"silver": "platform", "gold": "analytics"})
+    """Columns with types, marks of personal data and owners, and whether each has a description; audit columns left out."""
+    tables = {name: s.tables[part] for name, part in _CATALOGUED.items()}
+    found = lineage.catalogue(s.spark, tables, {"silver": "platform", "gold": "analytics"})
+    return found.filter(~F.col("column_name").isin(*cleaning.AUDIT)).select("table_name", "column_name", "type", "personal", "owner", (F.length("description") > 0).alias("described"))
+
+
+@query("SELECT * FROM (VALUES (1, 'refused'), (2, 'merged')) t(step, outcome) UNION ALL SELECT 3, CAST(count(*) AS VARCHAR) || ' rows, ' || CAST(count(*) FILTER (WHERE event_id % 2 = 1) AS VARCHAR) || ' with transport' FROM events")
+def supplier_json_ingest(s: Star) -> DataFrame:
+    """JSON lines of a second month with more columns: refused by the table of the first month, then taken as its schema grows."""
+    path, table = scratch(s.spark, "landing"), VersionedTable(s.spark, scratch(s.spark, "deliveries"))
+    e = s.table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("delivered_on"))
+    e.filter("event_id % 2 = 0").write.json(f"{path}/1")
+    e.filter("event_id % 2 = 1").select("*", F.struct(F.lit("road").alias("mode")).alias("transport"), F.array(F.lit("b")).alias("batch_codes")).write.json(f"{path}/2")
+    first, second = (files.json_lines(s.spark, f"{path}/{k}") for k in (1, 2))
+    table.append(first)
+    outcome = [f"more columns: {files.drift(first, second)}"]
+    try:
+        table.append(second)
+    except SchemaMismatch:
+        outcome = ["refused"]
+    table.append(second, merge_schema=True)
+    outcome.append("merged" if set(table.schema().names) == set(second.columns) else "lost columns")
+    counted = table.read().agg(F.concat(F.count("*").cast("string"), F.lit(" rows, "), F.count("transport.mode").cast("string"), F.lit(" with transport")).alias("outcome"))
+    steps = s.spark.createDataFrame([(k + 1, o) for k, o in enumerate(outcome)], "step int, outcome string")
+    return steps.unionAll(counted.select(F.lit(3).alias("step"), "outcome"))
 
 
 # ---- sources, sinks, versioned tables ------------------------------------------------------------------------------
@@ -645,15 +682,21 @@ def jdbc_incremental(s: Star) -> DataFrame:
 # ---- streams -------------------------------------------------------------------------------------------------------
 
 
-def _envelopes(s: Star, parts: int = 5) -> str:
-    """The events as a replayable topic: JSON lines in order of time, a file a part."""
-    path = scratch(s.spark, "topic")
-    e = s.table("events").withColumn("part", F.ntile(parts).over(Window.orderBy("event_id")))
-    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("user_id").cast("int").alias("customer_id"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("amount"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("event_time")))
-    made = e.select("part", F.pmod("event_id", F.lit(3)).cast("int").alias("partition"), F.floor(F.col("event_id") / 3).alias("offset"), body.alias("value")).persist()
-    for k in range(1, parts + 1):
-        made.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").json(path)
-    made.unpersist()
+def _envelopes(s: Star, parts: range = range(5), path: str | None = None, of: int = 5) -> str:
+    """The events as a replayable topic: JSON lines in order of time, a file a part; `parts` are those written now."""
+    path = path or scratch(s.spark, "topic")
+    e = s.table("events")
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    k = F.col("event_id")
+    fields = {
+        "event_id": k.cast("string"), "event_type": F.col("event_type"), "customer_id": F.col("user_id").cast("int"),
+        "amount": F.when(F.col("event_type") == "purchase", F.col("value")), "event_time": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+    }
+    body = F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
+    part = F.floor((k - low) * of / (high - low + 1)).cast("int")
+    made = e.withColumn("part", part).select("part", F.pmod("event_id", F.lit(3)).cast("int").alias("partition"), F.floor(k / 3).alias("offset"), body.alias("value"))
+    for p in parts:  # files come one after the other, as a topic grows
+        made.filter(F.col("part") == p).drop("part").coalesce(1).write.mode("append").json(path)
     return path
 
 
@@ -682,14 +725,35 @@ def stream_raw_audit(s: Star) -> DataFrame:
     return S.audit(s.spark.read.schema(schema).parquet(path))
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, CAST(count(DISTINCT event_id) AS BIGINT) AS n_events FROM events GROUP BY 1")
 def stream_restart(s: Star) -> DataFrame:
-    """A stream that stops after its first run and goes on from its checkpoint when more files have come: each event once."""
-    topic, checkpoint = _envelopes(s), scratch(s.spark, "checkpoint")
+    """A stream that stops after three files and goes on from its checkpoint when two more have come; then from an offset log that was lost: each event once."""
+    topic, checkpoint = _envelopes(s, range(3)), scratch(s.spark, "checkpoint")
     table = VersionedTable(s.spark, scratch(s.spark, "events"))
-    for _ in range(2):
-        S.to_table(S.parsed(S.replay(s.spark, topic)), table, checkpoint, "events").awaitTermination()
-    return table.read().groupBy("event_type").agg(F.count("*").alias("n"))
+    run = lambda folder: S.to_table(S.parsed(S.replay(s.spark, topic)), table, folder, "events").awaitTermination()
+    run(checkpoint)
+    before = table.manifest()["rows"]
+    _envelopes(s, range(3, 5), topic)
+    run(checkpoint)
+    if not 0 < before < table.manifest()["rows"]:
+        raise AssertionError("the second run brought nothing new")
+    run(scratch(s.spark, "new-checkpoint"))  # the same files from the first batch on, which the table knows
+    return table.read().groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_events"))
+
+
+@query("SELECT 'raw' AS sink, count(*) AS n_events FROM events UNION ALL SELECT 'windows', CAST(sum(n_events) AS BIGINT) FROM (" + _CLOSED + ") WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
+def stream_three_sinks(s: Star) -> DataFrame:
+    """Three queries side by side over one definition of a source: raw files, closed windows in a table, changed windows on the console."""
+    topic, raw = _envelopes(s), scratch(s.spark, "raw")
+    table = VersionedTable(s.spark, scratch(s.spark, "windows"))
+    events = S.parsed(S.replay(s.spark, topic))
+    S.run_all([
+        S.to_files(events, raw, scratch(s.spark, "checkpoint")),
+        S.to_table(S.windows(events), table, scratch(s.spark, "checkpoint"), "windows"),
+        S.to_console(S.windows(events), None, 1),
+    ])
+    files_ = s.spark.read.schema("event_id string").parquet(raw).agg(F.lit("raw").alias("sink"), F.count("*").alias("n_events"))
+    return files_.unionAll(table.read().agg(F.lit("windows").alias("sink"), F.sum("n_events").alias("n_events")))
 
 
 @query(_CLOSED, "amount")

@@ -1,13 +1,15 @@
-"""Versioned tables: Parquet folders and a log of manifests, on any file system that Spark writes to.
+"""Versioned tables: Parquet folders and a log of what each version changed, on any file system that Spark writes to.
 
-A version is a manifest `_log/<20 digits>.json` (operation, time, schema, folders, rows), written whole under a name of its own and renamed
-into place, which fails if another writer was first.  A reader takes the newest manifest, or the one it asks for, and reads its folders with
-its schema, so columns that came later are null in older files.  Old folders are kept, so every version can be read.
+A version is a file `_log/<20 digits>.json` that says what it adds and drops, written whole under a name of its own and renamed into place,
+which fails if another writer was first.  Its size does not grow with the table.  Every ``CHECKPOINT`` versions the whole state is written beside it,
+so a reader reads one checkpoint and the few versions after it.  Folders are partitions of one root: a version is read by one scan for
+each way in which its folders are partitioned.  Columns that came later are null in older files.  Old folders are kept, so every version can be read.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import time
 import uuid
@@ -16,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG = "_log"
+LOG, DATA, CHECKPOINT = "_log", "data", 20
+#: Names a folder of rows, and is its partition column.
+FOLDER = "g_append"
 
 
 class SchemaMismatch(ValueError):
@@ -49,29 +53,57 @@ class VersionedTable:
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def manifest(self, version: int | None = None) -> dict:
-        have = self.versions()
-        version = (have[-1] if have else -1) if version is None else version
-        if version not in have:
-            raise LookupError(f"{self.path} has no version {version}")
-        stream = self._fs.open(self._of(f"{self.path}/{LOG}/{version:020d}.json"))
+    def _json(self, name: str) -> dict | None:
+        path = self._of(f"{self.path}/{LOG}/{name}")
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _commit(self, version: int, operation: str, schema: T.StructType, folders: list[str], rows: int, **more) -> int:
-        body = {"version": version, "operation": operation, "timestamp": time.time(), "schema": schema.jsonValue(), "folders": folders, "partitioned": [f for f in folders if f.startswith("data-by-")], "rows": rows, **more}
-        target, own = self._of(f"{self.path}/{LOG}/{version:020d}.json"), self._of(f"{self.path}/{LOG}/.{uuid.uuid4().hex}")
+    def _put(self, name: str, body: dict) -> bool:
+        """Writes a file of the log whole; false if it is there."""
+        target, own = self._of(f"{self.path}/{LOG}/{name}"), self._of(f"{self.path}/{LOG}/.{uuid.uuid4().hex}")
         self._fs.mkdirs(self._log)
         if self._fs.exists(target):
-            raise CommitConflict(f"version {version} of {self.path} is there already")
+            return False
         out = self._fs.create(own, False)
         out.write(bytearray(json.dumps(body).encode()))
         out.close()
-        if not self._fs.rename(own, target):
-            self._fs.delete(own, False)
+        if self._fs.rename(own, target):
+            return True
+        self._fs.delete(own, False)
+        return False
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The state at a version: version, operation, timestamp, schema, folders (name, by, rows), rows, once, state."""
+        have = self.versions()
+        version = (have[-1] if have else -1) if version is None else version
+        if version not in have:
+            raise LookupError(f"{self.path} has no version {version}")
+        now, after = None, version - version % CHECKPOINT
+        if after:
+            now = self._json(f"{after:020d}.checkpoint")
+        now, after = (now, after + 1) if now else ({"folders": [], "once": {}, "state": {}}, 0)
+        for v in range(after, version + 1):
+            now = self._after(now, self._json(f"{v:020d}.json"))
+        return now
+
+    @staticmethod
+    def _after(now: dict, step: dict) -> dict:
+        gone = None if step["drop"] == "all" else set(step["drop"])
+        folders = [*([] if gone is None else [f for f in now["folders"] if f["name"] not in gone]), *step["add"]]
+        rows = sum(f["rows"] for f in folders)
+        return {**{k: step[k] for k in ("version", "operation", "timestamp", "schema")}, "folders": folders, "rows": rows, "once": {**now["once"], **step["once"]}, "state": {**now["state"], **step["state"]}}
+
+    def _commit(self, version: int, operation: str, schema: T.StructType, add: list[dict], drop: list[str] | str = (), once: dict | None = None, state: dict | None = None) -> int:
+        step = {"version": version, "operation": operation, "timestamp": time.time(), "schema": schema.jsonValue(), "add": add, "drop": drop if drop == "all" else list(drop), "once": once or {}, "state": state or {}}
+        if not self._put(f"{version:020d}.json", step):
             raise CommitConflict(f"version {version} of {self.path} is there already")
+        if version and version % CHECKPOINT == 0:
+            self._put(f"{version:020d}.checkpoint", self.manifest(version))
         return version
 
     # -- reading --
@@ -79,15 +111,20 @@ class VersionedTable:
     def schema(self, version: int | None = None) -> T.StructType:
         return T.StructType.fromJson(self.manifest(version)["schema"])
 
+    def _frame(self, folders: list[dict], schema: T.StructType) -> DataFrame:
+        """The rows of some folders, and the folder of each."""
+        if not folders:
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(FOLDER, T.StringType())]))
+        whole = T.StructType([*schema.fields, T.StructField(FOLDER, T.StringType())])
+        frames = []
+        for _, own in itertools.groupby(sorted(folders, key=lambda f: f["by"]), key=lambda f: f["by"]):
+            paths = [f"{self.path}/{DATA}/{FOLDER}={f['name']}" for f in own]
+            frames.append(self.spark.read.option("basePath", f"{self.path}/{DATA}").schema(whole).parquet(*paths).select(*schema.names, FOLDER))
+        return functools.reduce(DataFrame.unionAll, frames)
+
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
-        schema = T.StructType.fromJson(m["schema"])
-        if not m["folders"]:
-            return self.spark.createDataFrame([], schema)
-        plain = [f for f in m["folders"] if f not in m.get("partitioned", [])]
-        parts = [plain] * bool(plain) + [[f] for f in m.get("partitioned", [])]  # a partitioned folder is a root of its own
-        frames = [self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in p)).select(*schema.names) for p in parts]
-        return functools.reduce(DataFrame.unionAll, frames)
+        return self._frame(m["folders"], T.StructType.fromJson(m["schema"])).drop(FOLDER)
 
     def state(self) -> dict:
         """What the newest append left besides rows."""
@@ -100,10 +137,12 @@ class VersionedTable:
 
     # -- writing --
 
-    def _write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> tuple[str, int]:
-        folder = f"data-{'by-' * bool(partition_by)}{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}") if partition_by else df.write.parquet(f"{self.path}/{folder}")
-        return folder, self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}").count()
+    def _write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> dict:
+        """A new folder of rows: its name, how it is partitioned, and its rows, which Parquet's footers tell."""
+        name = uuid.uuid4().hex
+        path = f"{self.path}/{DATA}/{FOLDER}={name}"
+        df.write.partitionBy(*partition_by).parquet(path)
+        return {"name": name, "by": list(partition_by), "rows": self.spark.read.schema(df.schema).parquet(path).count()}
 
     def _next(self) -> int:
         have = self.versions()
@@ -125,44 +164,66 @@ class VersionedTable:
         if self.exists():
             return None
         schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-        return self._commit(0, "CREATE TABLE", schema, [], 0)
+        return self._commit(0, "CREATE TABLE", schema, [])
 
     def replace(self, df: DataFrame, operation: str = "CREATE OR REPLACE TABLE AS SELECT", partition_by: tuple[str, ...] = ()) -> int:
         version = self._next()
-        folder, n = self._write(df, partition_by)
-        return self._commit(version, operation, df.schema, [folder], n)
+        return self._commit(version, operation, df.schema, [self._write(df, partition_by)], "all")
 
     def overwrite(self, df: DataFrame) -> int:
         """All rows anew, with the rows' schema."""
         return self.replace(df, "WRITE overwrite")
 
     def append(self, df: DataFrame, merge_schema: bool = False, partition_by: tuple[str, ...] = (), once: str | None = None, state: dict | None = None) -> int | None:
-        """Adds rows.  Unknown columns are refused, or added with `merge_schema`.  `once`: a name (say query and batch) that is appended once only.
-        `state` is kept with the version, so that what a reader goes on from is committed with the rows or not at all."""
-        m = self.manifest() if self.exists() else {"version": -1, "schema": T.StructType([]).jsonValue(), "folders": [], "rows": 0}
-        if once and once in m.get("once", []):
+        """Adds rows.  Unknown columns are refused, or added with `merge_schema`.
+
+        `once`: "query:number", which is appended once only; numbers of a query rise, so the log keeps the last.  `state` is kept with the
+        version, so that what a reader goes on from is committed with the rows or not at all.
+        """
+        m = self.manifest() if self.exists() else {"version": -1, "once": {}}
+        query, _, number = (once or "").rpartition(":")
+        if once and m["once"].get(query or number, -1) >= (int(number) if query else 0):
             return None
+        done = {query: int(number)} if query else {number: 0} if once else {}
         schema = self._united(T.StructType.fromJson(m["schema"]), df.schema, merge_schema) if m["version"] >= 0 else df.schema
-        folder, n = self._write(df, partition_by)
-        return self._commit(m["version"] + 1, "WRITE append", schema, [*m["folders"], folder], m["rows"] + n, once=[*m.get("once", []), *([once] if once else [])], state={**m.get("state", {}), **(state or {})})
+        return self._commit(m["version"] + 1, "WRITE append", schema, [self._write(df, partition_by)], once=done, state=state)
 
     def merge(self, source: DataFrame, on: Column, update: dict[str, Column], insert: dict[str, Column]) -> int:
         """Rows of the table (alias t) that match a source row (alias s) are updated, source rows that match none are inserted.
 
-        A source row must match one row of the table at most, and a row of the table one source row; more is an error, as in SQL's MERGE.
+        A row of the table that several source rows match is an error, as in SQL's MERGE.  Only folders with a matched row are written
+        again.  The source is read once; a null key matches nothing.
         """
-        version, target = self.manifest()["version"], self.read()
-        t = target.withColumn("_t", F.monotonically_increasing_id()).alias("t")
-        s = source.withColumn("_s", F.monotonically_increasing_id()).persist()
-        met = t.join(s.alias("s"), on, "left")
-        if met.filter("s._s is not null").groupBy("t._t").count().filter("count > 1").limit(1).count():
+        m = self.manifest()
+        schema, folders = T.StructType.fromJson(m["schema"]), m["folders"]
+        kept = f"{self.path}/{LOG}/.source-{uuid.uuid4().hex}"
+        source.write.parquet(kept)
+        s = self.spark.read.schema(source.schema).parquet(kept).withColumn("_s", F.lit(True)).alias("s")
+        rows = self._frame(folders, schema)
+        met = rows.withColumn("_t", F.monotonically_increasing_id()).alias("t").join(s, on).groupBy(F.col(f"t.{FOLDER}").alias("folder"), "t._t").count()
+        most = {r["folder"]: r["n"] for r in met.groupBy("folder").agg(F.max("count").alias("n")).collect()}  # a row a folder
+        if max(most.values(), default=0) > 1:
             raise ValueError("several source rows match one row of the table")
-        hit = F.col("s._s").isNotNull()
-        updated = met.select(*(F.when(hit, update[c]).otherwise(F.col(f"t.{c}")).cast(target.schema[c].dataType).alias(c) if c in update else F.col(f"t.{c}").alias(c) for c in target.columns))
-        fresh = s.alias("s").join(t, on, "left_anti").select(*((insert[c] if c in insert else F.lit(None)).cast(target.schema[c].dataType).alias(c) for c in target.columns))
-        folder, n = self._write(updated.unionByName(fresh))
-        s.unpersist()
-        return self._commit(version + 1, "MERGE", target.schema, [folder], n)
+        touched = [f for f in folders if f["name"] in most]
+        both, hit = self._frame(touched, schema).alias("t").join(s, on, "left"), F.col("s._s").isNotNull()
+        own = lambda c: F.col(f"t.{c}")
+        updated = both.select(*((F.when(hit, update[c]).otherwise(own(c)).cast(schema[c].dataType) if c in update else own(c)).alias(c) for c in schema.names))
+        fresh = s.join(rows.alias("t"), on, "left_anti").select(*((insert[c] if c in insert else F.lit(None)).cast(schema[c].dataType).alias(c) for c in schema.names))
+        by = {tuple(f["by"]) for f in touched}
+        made = self._write(updated.unionByName(fresh), by.pop() if len(by) == 1 else ())
+        self._fs.delete(self._of(kept), True)
+        return self._commit(m["version"] + 1, "MERGE", schema, [made], [f["name"] for f in touched])
+
+    def compact(self, small: int = 1_000_000) -> int | None:
+        """Folders of fewer than `small` rows that are partitioned alike become one; None if no two are."""
+        m = self.manifest()
+        schema, add, drop = T.StructType.fromJson(m["schema"]), [], []
+        for by, own in itertools.groupby(sorted((f for f in m["folders"] if f["rows"] < small), key=lambda f: f["by"]), key=lambda f: f["by"]):
+            some = list(own)
+            if len(some) > 1:
+                add.append(self._write(self._frame(some, schema).drop(FOLDER), tuple(by)))
+                drop += [f["name"] for f in some]
+        return self._commit(m["version"] + 1, "OPTIMIZE", schema, add, drop) if add else None
 
     def as_of_counts(self, condition: str) -> DataFrame:
         """For each version: version, operation, n_rows, n_matching."""

@@ -13,9 +13,28 @@ ENVELOPE = "partition int, offset long, value string"
 DELAY, WINDOW = "10 minutes", "5 minutes"
 
 
+def consumer_options(servers: str, topic: str) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest"}
+
+
+def producer_options(servers: str, topic: str) -> dict[str, str]:
+    """All replicas have a row before it counts as sent."""
+    return {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all"}
+
+
 def kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """A topic from its beginning; needs Kafka's connector among the session's packages."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    return spark.readStream.format("kafka").options(**consumer_options(servers, topic)).load()
+
+
+def keyed(envelopes: DataFrame) -> DataFrame:
+    """Events as rows of a topic: the customer is the key, so one customer's events stay in one partition, in order."""
+    return envelopes.select(F.get_json_object("value", "$.customer_id").alias("key"), "value")
+
+
+def produce(envelopes: DataFrame, servers: str, topic: str) -> None:
+    """Sends events to a topic; needs Kafka's connector."""
+    keyed(envelopes).write.format("kafka").options(**producer_options(servers, topic)).save()
 
 
 def replay(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -38,23 +57,40 @@ def windows(events: DataFrame, window: str = WINDOW, delay: str = DELAY) -> Data
     )
 
 
+def _triggered(writer, every: str | None):
+    """Batches at an interval, or, without one, what is there now."""
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def to_table(stream: DataFrame, table: VersionedTable, checkpoint: str, name: str, mode: str = "append", every: str | None = None) -> StreamingQuery:
     """Each batch becomes a version of the table, once: a batch that is run again after a failure is known by its number."""
 
     def sink(batch: DataFrame, number: int) -> None:
         table.append(batch, once=f"{name}:{number}")
 
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).queryName(name).foreachBatch(sink)
-    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+    return _triggered(stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).queryName(name).foreachBatch(sink), every)
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    w = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
-    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+    return _triggered(stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint), every)
+
+
+def to_console(stream: DataFrame, every: str | None = "20 seconds", rows: int = 20) -> StreamingQuery:
+    """Changed windows on the driver's standard output."""
+    return _triggered(stream.writeStream.format("console").outputMode("update").option("truncate", False).option("numRows", rows), every)
+
 
+def run_all(queries: list[StreamingQuery], seconds: float | None = None) -> None:
+    """Waits for queries that run side by side, each with a checkpoint of its own; after `seconds` they are stopped.  One that failed raises its error."""
+    import time
 
-def to_console(stream: DataFrame, every: str = "20 seconds") -> StreamingQuery:
-    return stream.writeStream.format("console").outputMode("update").option("truncate", False).trigger(processingTime=every).start()
+    end = None if seconds is None else time.monotonic() + seconds
+    for q in queries:
+        q.awaitTermination(None if end is None else max(end - time.monotonic(), 0.001))
+    for q in queries:
+        q.stop()
+        if (error := q.exception()) is not None:
+            raise error
 
 
 def audit(events: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def test_once_and_conflicts(spark, tmp_path):
     assert t.append(df, once="q:1") is not None and t.append(df, once="q:1") is None
     assert t.read().count() == 6
     with pytest.raises(CommitConflict):
-        t._commit(1, "WRITE append", df.schema, [], 0)
+        t._commit(1, "WRITE append", df.schema, [])
 
 
 def test_merge(spark, tmp_path):
@@ -48,6 +48,31 @@ def test_merge(spark, tmp_path):
         t.merge(spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string"), F.expr("t.k = s.k"), {"v": F.col("s.v")}, {})
 
 
+def test_appends_write_no_more_as_the_table_grows(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    for k in range(23):
+        part = spark.createDataFrame([(k, f"d{k % 2}")], "k int, day string").coalesce(1)
+        t.append(part, partition_by=("day",) if k % 3 else (), once=f"q:{k}", state={"last": k})
+    sizes = [(tmp_path / "t" / "_log" / f"{v:020d}.json").stat().st_size for v in (3, 22)]
+    assert sizes[1] <= sizes[0] + 10
+    assert t.append(part, once="q:7") is None and t.state() == {"last": 22}
+    assert [sorted(r["k"] for r in t.read(v).collect()) for v in (0, 19, 20, 21, 22)] == [list(range(v + 1)) for v in (0, 19, 20, 21, 22)]
+    assert t.read()._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert t.compact() == 23 and len(t.manifest()["folders"]) == 2 and t.compact() is None
+    assert sorted(map(tuple, t.read().collect())) == [(k, f"d{k % 2}") for k in range(23)] and t.read(22).count() == 23
+
+
+def test_merge_writes_touched_folders_only(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    for k in range(3):
+        t.append(spark.createDataFrame([(10 * k + j, "a") for j in range(4)], "k int, v string"), partition_by=("v",))
+    before = [f["name"] for f in t.manifest()["folders"]]
+    t.merge(spark.createDataFrame([(11, "B"), (50, "N")], "k int, v string"), F.expr("t.k = s.k"), {"v": F.col("s.v")}, {"k": F.col("s.k"), "v": F.col("s.v")})
+    after = [f["name"] for f in t.manifest()["folders"]]
+    assert [before[0], before[2]] == after[:2] and len(after) == 3 and t.manifest()["rows"] == 13
+    assert {r["k"]: r["v"] for r in t.read().filter("v <> 'a'").collect()} == {11: "B", 50: "N"}
+
+
 def test_statements():
     script = "-- a; b\nSELECT ';', \"--\" /* ; */ FROM x; SELECT 'it\\'s; fine';;\n SELECT 1"
     assert list(files.statements(script)) == ["SELECT ';', \"--\"  FROM x", "SELECT 'it\\'s; fine'", "SELECT 1"]
@@ -105,3 +130,38 @@ def test_late_events_are_dropped(spark, tmp_path):
     late.write.mode("append").json(topic)
     run()
     assert table.read().agg(F.sum("n_events")).first()[0] == before
+
+
+def test_topic_rows_are_keyed(spark):
+    """What goes to a topic: the customer as key, the event as value, and options that wait for all replicas.  The connector is not installed."""
+    rows = S.keyed(S.made_events(spark, 50)).collect()
+    import json
+
+    assert all(json.loads(r["value"])["customer_id"] == int(r["key"]) for r in rows) and len(rows) == 50
+    assert S.producer_options("b:1", "t") == {"kafka.bootstrap.servers": "b:1", "topic": "t", "kafka.acks": "all"}
+    assert S.consumer_options("b:1", "t") == {"kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "earliest"}
+    with pytest.raises(Exception, match="(?i)kafka"):
+        S.kafka(spark, "b:1", "t")
+
+
+def test_reports():
+    rows = [{"dimension": "validity", "table_name": "t", "check_name": "a < b", "measured": "1", "expected": "0", "ok": False}]
+    from granary.operators import reports
+
+    assert "| validity | t | a < b | 1 | 0 | FAIL |" in reports.markdown("Checks", rows)
+    page = reports.html("Checks", rows)
+    assert "<td>a &lt; b</td>" in page and "0 of 1 passed" in page
+    chart = reports.bars("Revenue", [("1998-01", 2.0), ("<x>", None), ("1998-03", 4.0)])
+    assert chart.count("<rect") == 2 and "&lt;x&gt;" in chart
+    grid = reports.grid("Retention", ["q0", "q1"], [("1998-01", [100.0, None])])
+    assert grid.count("<rect") == 1 and "100" in grid
+
+
+@pytest.mark.parametrize("environment", ["local", "aws", "azure", "gcp"])
+def test_environments(environment, monkeypatch):
+    import os
+
+    for name in ("SOURCE_PASSWORD", "LAKE_BUCKET", "SOURCE_HOST", "BROKERS", "LAKE_ACCOUNT"):
+        monkeypatch.setenv(name, "x")
+    settings = settings_of(environment, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "config"))
+    assert {"lake_root", "jdbc", "kafka"} <= set(settings) and lake(settings, "gold").endswith("/gold")

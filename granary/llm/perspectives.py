@@ -10,8 +10,9 @@ A view is cut into parts of ``PART_TURNS`` turn numbers, each a row, so that no
 a view is its parts' texts end to end.  Participants meet parts in a join on conv_id that AQE splits.
 
 A null role is the speaker ``unknown``, a null text is empty; rows with a null conv_id or turn have no place in a dialogue and are left out.
-Equal rows count once; different rows of one turn are ordered by role and text.  ``<|`` in texts and names becomes ``< |``.  A conversation of
-system turns alone has no participant and so no view; an empty table gives none.
+Equal rows count once; different rows of one turn are ordered by role and text.  ``<|`` in texts and names becomes ``< |``, and in names ``|>``
+becomes ``| >`` and a line break a space, so that no text and no name is taken for a marker.  A conversation of system turns alone has no
+participant and so no view; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ def _safe(column) -> F.Column:
     return F.replace(column, F.lit("<|"), F.lit("< |"))
 
 
+def _name(column) -> F.Column:
+    return F.replace(F.replace(_safe(column), F.lit("|>"), F.lit("| >")), F.lit("\n"), F.lit(" "))
+
+
 def views(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per conversation, participant and part: conv_id, perspective, part, n_turns, text, mask (array of start, end in characters of the part)."""
     turns = conversations.filter("conv_id is not null and turn is not null").select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _safe(F.coalesce("role", F.lit(UNKNOWN))).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text")
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _name(F.coalesce("role", F.lit(UNKNOWN))).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text")
     ).distinct()
     parts = turns.groupBy("conv_id", F.floor(F.col("turn") / part_turns).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = turns.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("g_conv"), F.col("role").alias("perspective")).distinct()
@@ -58,10 +63,10 @@ def with_mask_text(found: DataFrame) -> DataFrame:
 
 
 SQL = f"""
-WITH t AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, '{UNKNOWN}'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+WITH t AS (SELECT DISTINCT conv_id, turn, replace(replace(replace(coalesce(role, '{UNKNOWN}'), '<|', '< |'), '|>', '| >'), chr(10), ' ') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> '{SYSTEM}'),
-s AS (SELECT t.conv_id, perspective, turn // {PART_TURNS} AS part, turn, role, text, role = perspective AS own,
+s AS (SELECT t.conv_id, perspective, (turn - (turn % {PART_TURNS} + {PART_TURNS}) % {PART_TURNS}) // {PART_TURNS} AS part, turn, role, text, role = perspective AS own,
              CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = '{SYSTEM}' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head, text || '<|end|>' || chr(10) AS body
       FROM t JOIN p ON t.conv_id = p.conv_id),
 o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM s)

@@ -346,9 +346,8 @@ def read_warc(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
 
 
 SQL = f"""
-WITH p AS (SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT r, page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
-m AS (SELECT payload_digest, max(page_id) AS top FROM d WHERE payload_bytes >= {REVISIT_BYTES} GROUP BY payload_digest)
-SELECT page_id, payload_bytes, d.payload_digest AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
-FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND payload_bytes >= {REVISIT_BYTES}
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, strlen(html) >= {REVISIT_BYTES} AND page_id IS NOT NULL AS large FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY payload_digest, large ORDER BY page_id DESC) AS place, max(page_id) OVER (PARTITION BY payload_digest, large) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN large AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN large AND place > 1 THEN top END AS refers_to FROM k
 """

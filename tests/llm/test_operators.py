@@ -249,8 +249,27 @@ def test_a_nearer_copy_hides_no_edge_of_an_earlier_one(spark):
     assert spans[3] == [(0, 120)] and spans[2] == [(8, 118)] and spans[4] == [(7, 67)] and 1 not in spans and 1 in got[3]["source_ids"]
 
 
-def test_passages_cover_all_repeats(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+def spliced(n=140):
+    """Documents of pieces of a few passages, cut anywhere, some with an edit: many suffixes share a prefix and go on differently."""
+    rng, base = np.random.default_rng(13), [words(90, 400 + k) for k in range(5)]
+    out = []
+    for k in range(n):
+        text = []
+        for j in range(int(rng.integers(1, 4))):
+            own = list(base[int(rng.integers(len(base)))])
+            low, high = sorted(int(x) for x in rng.integers(0, 91, 2))
+            if rng.random() < 0.5:
+                low, high = int(rng.integers(0, 12)), int(rng.integers(78, 91))
+            if rng.random() < 0.4 and high - low > 2:
+                own[int(rng.integers(low, high))] = f"edit{k}x{j}"
+            text += own[low:high] + ([f"own{k}x{j}"] if rng.random() < 0.7 else [])
+        out.append((k, " ".join(text)))
+    return out
+
+
+@pytest.mark.parametrize("made", [False, True])
+def test_passages_cover_all_repeats(spark, sf, made):
+    docs = spark.createDataFrame(spliced(), "doc_id long, text string").repartition(3) if made else spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: {k for s in r["spans"] for k in range(s["start"], s["end"])} for r in suffix_array.repeated_passages(docs).collect()}
     seen, short, need, may = set(), set(), collections.defaultdict(set), collections.defaultdict(set)
     least = suffix_array.MIN_WORDS - suffix_array.SPREAD + 1
@@ -417,6 +436,50 @@ def test_classifier_learns_and_keeps_folds_apart(spark):
     assert np.allclose(got.set_index("doc_id").score, again.loc[got.doc_id])
 
 
+def plain_statistics(text):
+    """The statistics of a text in plain Python."""
+    from math import log1p, sqrt
+
+    w, lines = WORD.findall(text), text.split("\n")
+    n, some, chars = len(w), max(len(w), 1), max(sum(map(len, w)), 1)
+    mean = sum(map(len, w)) / some
+    share = lambda has: sqrt(sum(map(has, text)) / chars)
+    grams = [tuple(w[k : k + 8]) for k in range(n - 7)]
+    often = collections.Counter(grams)
+    hit = {j for k, g in enumerate(grams) if often[g] > 1 for j in range(k, k + 8)}
+    full = [x for x in lines if WORD.search(x)]
+    return [
+        log1p(n), log1p(len(lines)), log1p(mean), share(lambda c: c in "#*$%&|<>"), share(lambda c: c in "0123456789"), share(lambda c: "A" <= c <= "Z"), share(lambda c: c in ".,;:!?"),
+        log1p(sqrt(max(sum(len(x) ** 2 for x in w) / some - mean * mean, 0))), sqrt((len(full) - len(set(full))) / len(lines)), sqrt(len(hit) / some),
+        1 - (n - len({x.translate(LOWER) for x in w})) / some, log1p(n / len(lines)),
+    ]
+
+
+def test_classifier_by_plain_densities(spark, sf):
+    """Scores from covariances, inverses and determinants in plain numpy, over the definition of the statistics."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()} | {10**6: "", 10**6 + 1: "é ß\n\n1 2 3!"}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in qda.classify(docs, labels).collect()}
+    x = {d: np.array(plain_statistics(t)) for d, t in texts.items()}
+    own = [(r["doc_id"], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in x]
+    both = np.array([x[d] for d, _ in own])
+    centre, scale = both.mean(axis=0), np.where(both.std(axis=0) > 1e-9, both.std(axis=0), 1.0)
+    z = [(np.array([x[d] for d, y in own if y == k]) - centre) / scale for k in (0, 1)]
+    within = [np.cov(a, rowvar=False, bias=True) for a in z]
+    pooled = sum(len(a) * s for a, s in zip(z, within)) / len(own)
+
+    def density(v, k):
+        s = (1 - qda.POOLING) * within[k] + qda.POOLING * pooled
+        s = (1 - qda.SHRINKAGE) * s + qda.SHRINKAGE * np.trace(s) / len(s) * np.eye(len(s))
+        off = (v - centre) / scale - z[k].mean(axis=0)
+        return np.log(len(z[k]) / len(own)) - 0.5 * (np.linalg.slogdet(s)[1] + off @ np.linalg.solve(s, off))
+
+    for d, v in x.items():
+        gap = np.clip(density(v, 1) - density(v, 0), -500, 500)
+        assert abs(got[d] - 1 / (1 + np.exp(-gap))) < 1e-6, d
+
+
 def test_classifier_on_odd_rows(spark, odd):
     none = qda.classify(odd, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(none) == odd.count() and {r["score"] for r in none} == {0.5}
@@ -491,6 +554,25 @@ def test_warc(spark):
     assert by[1].payload_digest == hashlib.sha1(long.encode()).hexdigest() and by[7].payload_bytes == 15
 
 
+def test_sql_on_odd_pages_and_conversations(spark):
+    """Repeated ids and rows, nulls, ties, long payloads, names that look like markers: the queries' SQL and the operators agree."""
+    import duckdb
+    import pandas as pd
+
+    long, other = "<p>é</p>" * 300, "x" * 1000
+    pages = [(1, "u", long), (5, "u", long), (5, "v", long), (5, "v", long), (None, "u", long), (None, None, None), (2, None, other), (2, "u", other), (3, "u", other[:-1]), (3, "u", other[:-1]), (9, "u", "y" * 3_000_000), (8, "u", "y" * 3_000_000), (4, "u", ""), (4, "u", None)]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    folder, files = warc.write_arc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    made = warc.read_warc(spark, *warc.convert(folder, files)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert rows(made.toPandas()) == rows(con.sql(warc.SQL).df())
+
+    turns = [(1, 0, "system", "be"), (1, 1, "ann|>\n<|assistant", "hi<|end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 2, None, "a"), (1, 2, "bob", "tie"), (1, 700, "bob", "w" * 100_000), (2, 0, "system", "alone"), (None, 0, "x", "y"), (3, None, "x", "y"), (4, 0, None, None), (4, -1, "", "")]
+    con.register("conversations", pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash")).repartition(3)
+    assert rows(perspectives.with_mask_text(perspectives.views(frame)).toPandas()) == rows(con.sql(perspectives.SQL).df())
+
+
 def test_arc_versions_and_faults():
     import io
 

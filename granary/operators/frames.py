@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import scratch
+
 Rules = list[tuple[Column, str]]
 REASON = "_reject_reason"
 
@@ -62,14 +64,16 @@ def valid_at(df: DataFrame, versions: DataFrame, key: str, at: str, columns: dic
 def numbered(df: DataFrame, *order: str, name: str, start: Column | int = 1) -> DataFrame:
     """Consecutive numbers in the order of columns, without a window over one partition: ranges are sorted, counted, and offset.
 
-    The counts, one a task, are small; the sorted rows are computed once and kept while both are used.
+    The sorted rows are written to the shared folder, so that each row's task and place are fixed; the counts are one a task.
     """
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).persist()
+    path = scratch(df.sparkSession, "numbered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    sorted_rows = df.sparkSession.read.parquet(path)
     place, task = F.col("_place").bitwiseAND((1 << 33) - 1), F.shiftright("_place", 33)
     counts = sorted_rows.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
     before = counts.select("_task", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     first = F.lit(start) if isinstance(start, int) else start
-    return sorted_rows.join(F.broadcast(before), task == F.col("_task")).withColumn(name, (place + F.col("_before") + first).cast("long")).drop("_place", "_task", "_before")
+    return sorted_rows.join(before, task == F.col("_task")).withColumn(name, (place + F.col("_before") + first).cast("long")).drop("_place", "_task", "_before")
 
 
 def compare(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

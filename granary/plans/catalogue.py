@@ -41,10 +41,16 @@ def query(oracle: str | None = None, *money: str):
 
 # ---- analytic queries ----------------------------------------------------------------------------------------------
 
-_SOLD = f"SELECT year_month, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue, count(DISTINCT order_id) AS n_orders FROM view_ WHERE {LOST} GROUP BY year_month"
+_SOLD = f"""
+    SELECT year_month, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue, count(DISTINCT order_id) AS n_orders FROM view_
+    WHERE {LOST} GROUP BY year_month
+"""
 
 
-@query(sql(f"SELECT year_month, revenue, n_orders, {PCT.format('(revenue - lag(revenue) OVER (ORDER BY year_month))', 'lag(revenue) OVER (ORDER BY year_month)')} AS mom_growth_pct FROM ({_SOLD})"), "revenue")
+@query(sql(f"""
+    SELECT year_month, revenue, n_orders, {PCT.format('(revenue - lag(revenue) OVER (ORDER BY year_month))', 'lag(revenue) OVER (ORDER BY year_month)')}
+    AS mom_growth_pct FROM ({_SOLD})
+"""), "revenue")
 def monthly_revenue_mom(s: Star) -> DataFrame:
     return A.monthly_growth(s.view)
 
@@ -54,7 +60,11 @@ def monthly_revenue(s: Star) -> DataFrame:
     return A.monthly_revenue(s.view)
 
 
-@query(sql(f"SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY region ORDER BY revenue DESC) AS INT) AS rnk FROM (SELECT region, product_name, category, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue, CAST(sum(quantity) AS BIGINT) AS units FROM view_ WHERE {LOST} GROUP BY ALL)) WHERE rnk <= 3"), "revenue")
+@query(sql(f"""
+    SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY region ORDER BY revenue DESC) AS INT) AS rnk FROM (SELECT region, product_name, category,
+    CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue, CAST(sum(quantity) AS BIGINT) AS units FROM view_ WHERE {LOST}
+    GROUP BY ALL)) WHERE rnk <= 3
+"""), "revenue")
 def top_products_per_region(s: Star) -> DataFrame:
     return A.top_products(s.view)
 
@@ -64,18 +74,29 @@ def retention_cohorts(s: Star) -> DataFrame:
     return A.retention(s.view, s.customer_dimension)
 
 
-@query(sql(f"SELECT *, {PCT.format('(revenue - prev_year_revenue)', 'prev_year_revenue')} AS yoy_growth_pct FROM (SELECT *, lag(revenue) OVER (PARTITION BY store_name ORDER BY year) AS prev_year_revenue FROM (SELECT store_name, region, year, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue FROM view_ WHERE {LOST} AND year IN (SELECT year FROM view_ GROUP BY year HAVING count(DISTINCT month) = 12) GROUP BY ALL))"), "revenue", "prev_year_revenue")
+@query(sql(f"""
+    SELECT *, {PCT.format('(revenue - prev_year_revenue)', 'prev_year_revenue')} AS yoy_growth_pct FROM (SELECT *, lag(revenue) OVER (PARTITION
+    BY store_name ORDER BY year) AS prev_year_revenue FROM (SELECT store_name, region, year, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue
+    FROM view_ WHERE {LOST} AND year IN (SELECT year FROM view_ GROUP BY year HAVING count(DISTINCT month) = 12) GROUP BY ALL))
+"""), "revenue", "prev_year_revenue")
 def store_yoy_growth(s: Star) -> DataFrame:
     return A.store_growth(s.view)
 
 
-@query(sql(f"SELECT region, year, count(*) AS n_orders, (2 * CAST(sum(items) * 100 AS BIGINT) + count(*)) // (2 * count(*)) / CAST(100 AS DOUBLE) AS avg_items_per_order, (2 * CAST(sum(value) * 100 AS BIGINT) + count(*)) // (2 * count(*)) / CAST(100 AS DOUBLE) AS avg_order_value FROM (SELECT order_id, region, year, sum(quantity) AS items, sum(net_amount) AS value FROM view_ WHERE {LOST} GROUP BY ALL) GROUP BY ALL"))
+@query(sql(f"""
+    SELECT region, year, count(*) AS n_orders, (2 * CAST(sum(items) * 100 AS BIGINT) + count(*)) // (2 * count(*)) / CAST(100 AS DOUBLE) AS avg_items_per_order,
+    (2 * CAST(sum(value) * 100 AS BIGINT) + count(*)) // (2 * count(*)) / CAST(100 AS DOUBLE) AS avg_order_value FROM (SELECT order_id, region,
+    year, sum(quantity) AS items, sum(net_amount) AS value FROM view_ WHERE {LOST} GROUP BY ALL) GROUP BY ALL
+"""))
 def basket_size(s: Star) -> DataFrame:
     return A.baskets(s.view)
 
 
 _YEAR = f"SELECT year, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue FROM fact f JOIN dim_date d ON f.date_key = d.date_key WHERE {LOST} GROUP BY year"
-_REGION = f"SELECT region, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue FROM fact f JOIN dim_store s ON f.store_key = s.store_key WHERE {LOST} GROUP BY region"
+_REGION = f"""
+    SELECT region, CAST(sum(net_amount) AS DECIMAL(18,2)) AS revenue FROM fact f JOIN dim_store s ON f.store_key = s.store_key
+    WHERE {LOST} GROUP BY region
+"""
 
 
 @query(sql(_YEAR), "revenue")
@@ -83,7 +104,10 @@ def yearly_revenue(s: Star) -> DataFrame:
     return A.yearly_revenue(s.fact, s.dates)
 
 
-@query(sql(f"SELECT a.year, a.revenue, b.revenue AS last_year, {PCT.format('(a.revenue - b.revenue)', 'b.revenue')} AS yoy_pct FROM ({_YEAR}) a LEFT JOIN ({_YEAR}) b ON a.year = b.year + 1"), "revenue", "last_year")
+@query(sql(f"""
+    SELECT a.year, a.revenue, b.revenue AS last_year, {PCT.format('(a.revenue - b.revenue)', 'b.revenue')} AS yoy_pct
+    FROM ({_YEAR}) a LEFT JOIN ({_YEAR}) b ON a.year = b.year + 1
+"""), "revenue", "last_year")
 def revenue_same_period_last_year(s: Star) -> DataFrame:
     return A.same_period_last_year(s.fact, s.dates)
 
@@ -102,7 +126,12 @@ def sales_by_region_rdd(s: Star) -> DataFrame:
 _KPI = f"CAST(sum(net_amount) FILTER (WHERE {LOST} AND year = {{0}}) AS DOUBLE)"
 
 
-@query(sql(f"SELECT CAST(sum(net_amount) FILTER (WHERE {LOST}) AS DECIMAL(18,2)) AS net_revenue, count(DISTINCT order_id) FILTER (WHERE {LOST}) AS n_orders, count(DISTINCT customer_id) AS n_customers, round(CAST(sum(net_amount) FILTER (WHERE {LOST}) AS DOUBLE) / count(DISTINCT order_id) FILTER (WHERE {LOST}), 2) AS avg_order_value, round(100 * ({_KPI.format(2000)} - {_KPI.format(1999)}) / {_KPI.format(1999)}, 1) AS yoy_growth_pct FROM fact f JOIN dim_date d ON f.date_key = d.date_key LEFT JOIN dim_customer c ON f.customer_sk = c.customer_sk"), "net_revenue")
+@query(sql(f"""
+    SELECT CAST(sum(net_amount) FILTER (WHERE {LOST}) AS DECIMAL(18,2)) AS net_revenue, count(DISTINCT order_id) FILTER (WHERE {LOST}) AS n_orders,
+    count(DISTINCT customer_id) AS n_customers, round(CAST(sum(net_amount) FILTER (WHERE {LOST}) AS DOUBLE) / count(DISTINCT order_id) FILTER (WHERE
+    {LOST}), 2) AS avg_order_value, round(100 * ({_KPI.format(2000)} - {_KPI.format(1999)}) / {_KPI.format(1999)}, 1) AS yoy_growth_pct
+    FROM fact f JOIN dim_date d ON f.date_key = d.date_key LEFT JOIN dim_customer c ON f.customer_sk = c.customer_sk
+"""), "net_revenue")
 def kpis(s: Star) -> DataFrame:
     return A.kpis(s.fact, s.dates, s.customer_dimension, 2000)
 
@@ -112,7 +141,10 @@ def cohort_pivot(s: Star) -> DataFrame:
     return A.cohort_pivot(A.retention(s.view, s.customer_dimension))
 
 
-@query(sql("SELECT region, count(*) AS n_lines, CAST(sum(net_amount) AS DECIMAL(18,2)) AS amount FROM view_ WHERE region IN ('ASIA', 'EUROPE') GROUP BY region"), "amount")
+@query(sql("""
+    SELECT region, count(*) AS n_lines, CAST(sum(net_amount) AS DECIMAL(18,2)) AS amount FROM view_ WHERE region IN ('ASIA', 'EUROPE')
+    GROUP BY region
+"""), "amount")
 def row_level_security(s: Star) -> DataFrame:
     return A.secured(s.view, ["ASIA", "EUROPE"]).groupBy("region").agg(F.count("*").alias("n_lines"), F.sum("net_amount").cast("decimal(18,2)").alias("amount"))
 
@@ -125,7 +157,10 @@ def mask_email(s: Star) -> DataFrame:
     return s.raw("customers").filter("customer_id is not null").select("customer_id", C.email_token(F.col("email")).alias("email_hash")).distinct()
 
 
-@query(sql(f"SELECT DISTINCT customer_id, {PHONE.format('phone')} AS phone_digits, 'XXXXXX' || right({PHONE.format('phone')}, 4) AS phone_masked FROM r_customers WHERE customer_id IS NOT NULL"))
+@query(sql(f"""
+    SELECT DISTINCT customer_id, {PHONE.format('phone')} AS phone_digits, 'XXXXXX' || right({PHONE.format('phone')}, 4) AS phone_masked
+    FROM r_customers WHERE customer_id IS NOT NULL
+"""))
 def mask_phone(s: Star) -> DataFrame:
     p = F.col("phone")
     return s.raw("customers").filter("customer_id is not null").select("customer_id", C.phone_digits(p).alias("phone_digits"), C.phone_hint(p).alias("phone_masked")).distinct()
@@ -141,18 +176,31 @@ def parse_legacy_dates(s: Star) -> DataFrame:
     return s.raw("orders").select("order_id", "order_date", C.legacy_timestamp(F.col("order_date")).alias("order_ts"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_retailprice < 920 THEN 'Budget' WHEN p_retailprice < 970 THEN 'Mid' ELSE 'Premium' END AS price_band, sha256(coalesce(length(p_name) || ':' || p_name, '-') || coalesce(length(p_brand) || ':' || p_brand, '-')) AS row_hash FROM part")
+@query("""
+    SELECT p_partkey, CASE WHEN p_retailprice < 920 THEN 'Budget' WHEN p_retailprice < 970 THEN 'Mid' ELSE 'Premium' END AS price_band, sha256(coalesce(length(p_name)
+    || ':' || p_name, '-') || coalesce(length(p_brand) || ':' || p_brand, '-')) AS row_hash FROM part
+""")
 def bands_and_digests(s: Star) -> DataFrame:
     return s.table("part").select("p_partkey", C.band(F.col("p_retailprice"), {"Budget": 920, "Mid": 970}, "Premium").alias("price_band"), C.row_digest("p_name", "p_brand").alias("row_hash"))
 
 
-@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(month(o_orderdate) AS INT) AS m, CAST(dayofweek(o_orderdate) + 1 AS INT) AS dow, strftime(o_orderdate, '%Y%m%d') AS ymd, strftime(o_orderdate, '%B') AS month_name, CAST(date_trunc('quarter', o_orderdate) AS TIMESTAMP) AS quarter_start, CAST(last_day(o_orderdate) AS DATE) AS month_end, CAST(date_trunc('year', o_orderdate) AS DATE) AS year_start, 'FY' || CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END AS VARCHAR) AS fiscal_year FROM orders")
+@query("""
+    SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(month(o_orderdate) AS INT) AS m, CAST(dayofweek(o_orderdate)
+    + 1 AS INT) AS dow, strftime(o_orderdate, '%Y%m%d') AS ymd, strftime(o_orderdate, '%B') AS month_name, CAST(date_trunc('quarter', o_orderdate)
+    AS TIMESTAMP) AS quarter_start, CAST(last_day(o_orderdate) AS DATE) AS month_end, CAST(date_trunc('year', o_orderdate) AS DATE) AS year_start,
+    'FY' || CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 4 THEN 1 ELSE 0 END AS VARCHAR) AS fiscal_year
+    FROM orders
+""")
 def date_functions(s: Star) -> DataFrame:
     d = F.col("o_orderdate").cast("timestamp")
     return s.table("orders").select("o_orderkey", F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m"), F.dayofweek(d).alias("dow"), F.date_format(d, "yyyyMMdd").alias("ymd"), F.date_format(d, "MMMM").alias("month_name"), F.date_trunc("quarter", d).alias("quarter_start"), F.last_day(d).alias("month_end"), F.trunc(d, "year").alias("year_start"), C.fiscal_year(d).alias("fiscal_year"))
 
 
-@query("SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, length(c_name) AS len, substr(c_name, 1, 8) AS head, right(c_name, 4) AS tail, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, regexp_matches(c_name, '^Customer#[0-9]{9}$') AS well_formed, concat_ws('|', c_name, c_mktsegment) AS joined, round(CAST(c_acctbal AS DECIMAL(12,2)) * CAST(0.5 AS DECIMAL(2,1)), 1) AS half FROM customer", "half")
+@query("""
+    SELECT c_custkey, upper(c_mktsegment) AS up, lower(c_name) AS low, length(c_name) AS len, substr(c_name, 1, 8) AS head, right(c_name, 4) AS
+    tail, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits, regexp_matches(c_name, '^Customer#[0-9]{9}$') AS well_formed, concat_ws('|', c_name,
+    c_mktsegment) AS joined, round(CAST(c_acctbal AS DECIMAL(12,2)) * CAST(0.5 AS DECIMAL(2,1)), 1) AS half FROM customer
+""", "half")
 def string_functions(s: Star) -> DataFrame:
     n = F.col("c_name")
     return s.table("customer").select("c_custkey", F.upper("c_mktsegment").alias("up"), F.lower(n).alias("low"), F.length(n).cast("long").alias("len"), F.substring(n, 1, 8).alias("head"), F.substring(n, -4, 4).alias("tail"), F.regexp_replace(n, "[^0-9]", "").alias("digits"), n.rlike("^Customer#[0-9]{9}$").alias("well_formed"), F.concat_ws("|", n, "c_mktsegment").alias("joined"), F.round(F.col("c_acctbal").cast("decimal(12,2)") * F.lit("0.5").cast("decimal(2,1)"), 1).alias("half"))
@@ -166,7 +214,10 @@ def dedupe_latest(s: Star) -> DataFrame:
     return frames.latest(s.raw("customers"), "customer_id").filter("customer_id is not null").select("customer_id", "email", "city", "updated_at")
 
 
-@query(sql("SELECT customer_id, city, updated_at FROM (SELECT *, max(updated_at) OVER (PARTITION BY customer_id) AS top FROM r_customers) WHERE updated_at = top"))
+@query(sql("""
+    SELECT customer_id, city, updated_at FROM (SELECT *, max(updated_at) OVER (PARTITION BY customer_id) AS top FROM r_customers)
+    WHERE updated_at = top
+"""))
 def current_versions_max_over(s: Star) -> DataFrame:
     return frames.current_versions(s.raw("customers"), "customer_id").select("customer_id", "city", "updated_at")
 
@@ -176,7 +227,10 @@ def quarantine_split(s: Star) -> DataFrame:
     return s.rejected("order_items").select("order_item_id", "order_id", "quantity", frames.REASON)
 
 
-@query(sql("SELECT t AS table_name, reason AS _reject_reason, count(*) AS n_rows FROM (SELECT 'orders' AS t, reason FROM j_orders WHERE reason <> '' UNION ALL SELECT 'order_items', reason FROM j_items WHERE reason <> '') GROUP BY ALL"))
+@query(sql("""
+    SELECT t AS table_name, reason AS _reject_reason, count(*) AS n_rows FROM (SELECT 'orders' AS t, reason FROM j_orders
+    WHERE reason <> '' UNION ALL SELECT 'order_items', reason FROM j_items WHERE reason <> '') GROUP BY ALL
+"""))
 def quarantine_histogram(s: Star) -> DataFrame:
     named = [cleaning.reasons(bad).select(F.lit(t).alias("table_name"), frames.REASON, "n_rows") for t, bad in (("orders", s.rejected("orders")), ("order_items", s.rejected("order_items")))]
     return named[0].unionAll(named[1])
@@ -273,7 +327,10 @@ def union_all_double_feed(s: Star) -> DataFrame:
     return modelling.merge_feed(modelling.changed_customers(s.good("customers"), s.first_dimension)).select("merge_key", "customer_id", "city", "is_existing")
 
 
-@query(sql("SELECT order_id, o.customer_id, order_ts, customer_sk FROM orders_ o LEFT JOIN dim_customer d ON o.customer_id = d.customer_id AND order_ts >= effective_from AND order_ts < effective_to"))
+@query(sql("""
+    SELECT order_id, o.customer_id, order_ts, customer_sk FROM orders_ o LEFT JOIN dim_customer d ON o.customer_id = d.customer_id AND order_ts
+    >= effective_from AND order_ts < effective_to
+"""))
 def pit_join(s: Star) -> DataFrame:
     return frames.valid_at(s.good("orders").select("order_id", "customer_id", "order_ts"), s.customer_dimension, "customer_id", "order_ts", {"customer_sk": "customer_sk"})
 
@@ -291,20 +348,30 @@ def analyst_view(s: Star) -> DataFrame:
 # ---- joins, set operations, aggregates on plain tables -------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderstatus NOT IN ('P') AND o_totalprice BETWEEN 1000 AND 200000")
+@query("""
+    SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderstatus
+    NOT IN ('P') AND o_totalprice BETWEEN 1000 AND 200000
+""")
 def semi_join_in(s: Star) -> DataFrame:
     building = s.table("customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
     return s.table("orders").filter(~F.col("o_orderstatus").isin("P") & F.col("o_totalprice").between(1000, 200000)).join(building, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT count(*) AS n_orphans FROM (SELECT CASE WHEN l_orderkey % 50 = 0 THEN l_orderkey + 100000000 WHEN l_orderkey % 77 = 0 THEN NULL ELSE l_orderkey END AS k FROM lineitem) LEFT JOIN orders ON k = o_orderkey WHERE o_orderkey IS NULL")
+@query("""
+    SELECT count(*) AS n_orphans FROM (SELECT CASE WHEN l_orderkey % 50 = 0 THEN l_orderkey + 100000000 WHEN l_orderkey % 77 = 0 THEN NULL ELSE
+    l_orderkey END AS k FROM lineitem) LEFT JOIN orders ON k = o_orderkey WHERE o_orderkey IS NULL
+""")
 def ref_integrity_orphans(s: Star) -> DataFrame:
     k = F.col("l_orderkey")
     lines = s.table("lineitem").select(F.when(k % 50 == 0, k + 100000000).when(k % 77 != 0, k).alias("k"))
     return frames.orphans(lines, "k", s.table("orders"), "o_orderkey").agg(F.count("*").alias("n_orphans"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, a.v AS \"left\", b.v AS \"right\", a.v IS NOT DISTINCT FROM b.v AS same FROM (SELECT c_nationkey AS k, count(*) AS v FROM customer WHERE c_nationkey < 20 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS v FROM supplier WHERE s_nationkey > 4 GROUP BY 1) b ON a.k = b.k")
+@query("""
+    SELECT coalesce(a.k, b.k) AS k, a.v AS \"left\", b.v AS \"right\", a.v IS NOT DISTINCT FROM b.v AS same FROM (SELECT c_nationkey AS k, count(*)
+    AS v FROM customer WHERE c_nationkey < 20 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS v FROM supplier
+    WHERE s_nationkey > 4 GROUP BY 1) b ON a.k = b.k
+""")
 def full_outer_compare(s: Star) -> DataFrame:
     a = s.table("customer").filter("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("v"))
     b = s.table("supplier").filter("s_nationkey > 4").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("v"))
@@ -321,7 +388,10 @@ def duplicate_keys(s: Star) -> DataFrame:
     return s.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DECIMAL(24,2)) AS total FROM orders GROUP BY 1", "total")
+@query("""
+    SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_final, min(o_orderdate) AS first_day, max(o_orderdate)
+    AS last_day, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DECIMAL(24,2)) AS total FROM orders GROUP BY 1
+""", "total")
 def grouped_aggregates(s: Star) -> DataFrame:
     return s.table("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_final"), F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("decimal(24,2)").alias("total"))
 
@@ -533,7 +603,10 @@ MERGE INTO gold.customers AS t USING silver.customers AS c ON t.id = c.id WHEN M
 """
 
 
-@query("SELECT * FROM (VALUES ('gold.sales', 'gold.top_sales', 'gold.sql'), ('silver.customers', 'gold.customers', 'gold.sql'), ('silver.facts', 'gold.sales', 'gold.sql'), ('silver.stores', 'gold.sales', 'gold.sql')) t(source, target, via)")
+@query("""
+    SELECT * FROM (VALUES ('gold.sales', 'gold.top_sales', 'gold.sql'), ('silver.customers', 'gold.customers', 'gold.sql'), ('silver.facts', 'gold.sales',
+    'gold.sql'), ('silver.stores', 'gold.sales', 'gold.sql')) t(source, target, via)
+""")
 def lineage_edges(s: Star) -> DataFrame:
     edges = [e for k in files.statements(GOLD_SCRIPT) for e in lineage.script_edges("gold.sql", k)]
     return lineage.edges_frame(s.spark, sorted(edges))
@@ -545,7 +618,10 @@ _CATALOGUED = {"silver.customers": "customers", "silver.orders": "orders_", "gol
 
 
 def _described_sql() -> str:
-    personal = "CASE WHEN column_name IN ('first_name', 'last_name', 'email', 'phone') THEN 'yes' WHEN column_name = 'email_hash' THEN 'pseudonymised' WHEN column_name = 'phone_masked' THEN 'masked' ELSE 'no' END"
+    personal = """
+    CASE WHEN column_name IN ('first_name', 'last_name', 'email', 'phone') THEN 'yes' WHEN column_name = 'email_hash' THEN 'pseudonymised' WHEN
+    column_name = 'phone_masked' THEN 'masked' ELSE 'no' END
+"""
     owner = "CASE WHEN table_name LIKE 'gold.%' THEN 'analytics' ELSE 'platform' END"
     each = [f"SELECT '{t}' AS table_name, column_name, {_TYPE} AS type FROM (DESCRIBE {sql(f'SELECT * FROM {part}')})" for t, part in _CATALOGUED.items()]
     return f"SELECT *, {personal} AS personal, {owner} AS owner, true AS described FROM ({' UNION ALL '.join(each)})"
@@ -559,7 +635,11 @@ def catalog_columns(s: Star) -> DataFrame:
     return found.filter(~F.col("column_name").isin(*cleaning.AUDIT)).select("table_name", "column_name", "type", "personal", "owner", (F.length("description") > 0).alias("described"))
 
 
-@query("SELECT * FROM (VALUES (1, 'refused'), (2, 'merged')) t(step, outcome) UNION ALL SELECT 3, CAST(count(*) AS VARCHAR) || ' rows, ' || CAST(count(*) FILTER (WHERE event_id % 2 = 1) AS VARCHAR) || ' with transport' FROM events")
+@query("""
+    SELECT * FROM (VALUES (1, 'refused'), (2, 'merged')) t(step, outcome)
+    UNION ALL SELECT 3, CAST(count(*) AS VARCHAR) || ' rows, ' || CAST(count(*) FILTER (WHERE event_id % 2 = 1) AS VARCHAR) || ' with transport'
+    FROM events
+""")
 def supplier_json_ingest(s: Star) -> DataFrame:
     """JSON lines of a second month with more columns: refused by the table of the first month, then taken as its schema grows."""
     path, table = scratch(s.spark, "landing"), VersionedTable(s.spark, scratch(s.spark, "deliveries"))
@@ -588,7 +668,10 @@ def from_json_expand(s: Star) -> DataFrame:
     return s.table("events").select("event_type", F.from_json("props", "k int").alias("p")).select("event_type", "p.*").groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS deliveries, count(*) FILTER (WHERE event_id % 2 = 1) AS with_transport, CAST(sum(CASE WHEN event_id % 2 = 1 THEN event_id % 4 ELSE 0 END) AS BIGINT) AS batch_codes FROM events GROUP BY 1")
+@query("""
+    SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS deliveries, count(*) FILTER (WHERE event_id % 2 = 1) AS with_transport, CAST(sum(CASE WHEN
+    event_id % 2 = 1 THEN event_id % 4 ELSE 0 END) AS BIGINT) AS batch_codes FROM events GROUP BY 1
+""")
 def nested_json_monthly(s: Star) -> DataFrame:
     """Two generations of JSON lines, the later with a struct and an array more, as one table."""
     path = scratch(s.spark, "json")
@@ -630,7 +713,10 @@ def _versions(s: Star) -> VersionedTable:
     return t
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey IN (18, 19) THEN 'NEW ' || n_name ELSE n_name END AS n_name, CASE WHEN n_nationkey >= 10 THEN n_regionkey END AS n_regionkey FROM nation")
+@query("""
+    SELECT n_nationkey, CASE WHEN n_nationkey IN (18, 19) THEN 'NEW ' || n_name ELSE n_name END AS n_name, CASE WHEN n_nationkey >= 10 THEN n_regionkey
+    END AS n_regionkey FROM nation
+""")
 def versioned_merge(s: Star) -> DataFrame:
     return _versions(s).read()
 
@@ -640,12 +726,19 @@ def time_travel_read(s: Star) -> DataFrame:
     return _versions(s).read(1)
 
 
-@query("SELECT CAST(version AS BIGINT) AS version, operation, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_matching AS BIGINT) AS n_matching FROM (VALUES (0, 'CREATE TABLE', 0, 0), (1, 'WRITE append', 10, 5), (2, 'WRITE append', 20, 10), (3, 'MERGE', 25, 13)) t(version, operation, n_rows, n_matching)")
+@query("""
+    SELECT CAST(version AS BIGINT) AS version, operation, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_matching AS BIGINT) AS n_matching
+    FROM (VALUES (0, 'CREATE TABLE', 0, 0), (1, 'WRITE append', 10, 5), (2, 'WRITE append', 20, 10), (3, 'MERGE', 25, 13)) t(version, operation,
+    n_rows, n_matching)
+""")
 def time_travel_counts(s: Star) -> DataFrame:
     return _versions(s).as_of_counts("n_nationkey % 2 = 0")
 
 
-@query("SELECT CAST(version AS BIGINT) AS version, operation, CAST(n_rows AS BIGINT) AS n_rows FROM (VALUES (3, 'MERGE', 25), (2, 'WRITE append', 20), (1, 'WRITE append', 10), (0, 'CREATE TABLE', 0)) t(version, operation, n_rows)")
+@query("""
+    SELECT CAST(version AS BIGINT) AS version, operation, CAST(n_rows AS BIGINT) AS n_rows FROM (VALUES (3, 'MERGE', 25), (2, 'WRITE append', 20),
+    (1, 'WRITE append', 10), (0, 'CREATE TABLE', 0)) t(version, operation, n_rows)
+""")
 def table_history(s: Star) -> DataFrame:
     return _versions(s).history().drop("timestamp")
 
@@ -700,7 +793,11 @@ def _envelopes(s: Star, parts: range = range(5), path: str | None = None, of: in
     return path
 
 
-_CLOSED = "SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES AS window_end, event_type, count(*) AS n_events, CAST(sum(CAST(CASE WHEN event_type = 'purchase' THEN value END AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS amount FROM events GROUP BY ALL"
+_CLOSED = """
+    SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES AS window_end, event_type,
+    count(*) AS n_events, CAST(sum(CAST(CASE WHEN event_type = 'purchase' THEN value END AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS amount
+    FROM events GROUP BY ALL
+"""
 
 
 @query(_CLOSED, "amount")
@@ -717,7 +814,10 @@ def stream_window_append(s: Star) -> DataFrame:
     return table.read().drop("customers")
 
 
-@query("SELECT CAST(event_id % 3 AS INT) AS partition, count(*) AS n_events, CAST(min(event_id // 3) AS BIGINT) AS min_offset, CAST(max(event_id // 3) AS BIGINT) AS max_offset FROM events GROUP BY 1")
+@query("""
+    SELECT CAST(event_id % 3 AS INT) AS partition, count(*) AS n_events, CAST(min(event_id // 3) AS BIGINT) AS min_offset, CAST(max(event_id //
+    3) AS BIGINT) AS max_offset FROM events GROUP BY 1
+""")
 def stream_raw_audit(s: Star) -> DataFrame:
     """Raw events as streamed to files, by partition of the topic."""
     path, schema = scratch(s.spark, "raw"), "partition int, offset bigint, event_id string, event_type string, customer_id int, product_id int, store_id int, amount double, event_time timestamp"
@@ -741,7 +841,10 @@ def stream_restart(s: Star) -> DataFrame:
     return table.read().groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_events"))
 
 
-@query("SELECT 'raw' AS sink, count(*) AS n_events FROM events UNION ALL SELECT 'windows', CAST(sum(n_events) AS BIGINT) FROM (" + _CLOSED + ") WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
+@query("""
+    SELECT 'raw' AS sink, count(*) AS n_events FROM events UNION ALL SELECT 'windows', CAST(sum(n_events) AS BIGINT)
+    FROM (
+""" + _CLOSED + ") WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
 def stream_three_sinks(s: Star) -> DataFrame:
     """Three queries side by side over one definition of a source: raw files, closed windows in a table, changed windows on the console."""
     topic, raw = _envelopes(s), scratch(s.spark, "raw")
@@ -773,7 +876,10 @@ def stream_window_update(s: Star) -> DataFrame:
 # ---- the lake as a whole -------------------------------------------------------------------------------------------
 
 
-@query("SELECT table_name, CAST(n_changed AS BIGINT) AS n_changed FROM (VALUES ('customers', 35), ('products', 10), ('stores', 0), ('orders', 250), ('order_items', 400)) t(table_name, n_changed)")
+@query("""
+    SELECT table_name, CAST(n_changed AS BIGINT) AS n_changed FROM (VALUES ('customers', 35), ('products', 10), ('stores', 0), ('orders', 250),
+    ('order_items', 400)) t(table_name, n_changed)
+""")
 def cdc_change_batch(s: Star) -> DataFrame:
     """How many rows a change batch has, by table."""
     out = None
@@ -794,7 +900,10 @@ def cdc_bronze_history(s: Star) -> DataFrame:
     return current.agg(F.lit("customers").alias("table_name"), F.count("*").alias("n_keys"), F.count_if(F.col("city") == "Moved City").cast("int").alias("n_moved"))
 
 
-@query("SELECT 'supplier' AS table_name, count(*) AS n_rows FROM supplier UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'part', count(*) FROM part")
+@query("""
+    SELECT 'supplier' AS table_name, count(*) AS n_rows FROM supplier
+    UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'part', count(*) FROM part
+""")
 def migration_counts(s: Star) -> DataFrame:
     """Rows of source tables after they went to versioned tables and back; a failed checksum would drop a table from the result."""
     out = None
@@ -806,7 +915,11 @@ def migration_counts(s: Star) -> DataFrame:
     return out
 
 
-@query("SELECT * FROM (VALUES ('lake_x.nations', 'n_name', 'string', 'EXTERNAL', 'parquet'), ('lake_x.nations', 'n_nationkey', 'int', 'EXTERNAL', 'parquet'), ('lake_x.ratings', 'rating', 'double', 'EXTERNAL', 'csv'), ('lake_x.ratings', 'supplier_id', 'int', 'EXTERNAL', 'csv')) t(table_name, column_name, type, table_type, provider)")
+@query("""
+    SELECT * FROM (VALUES ('lake_x.nations', 'n_name', 'string', 'EXTERNAL', 'parquet'), ('lake_x.nations', 'n_nationkey', 'int', 'EXTERNAL', 'parquet'),
+    ('lake_x.ratings', 'rating', 'double', 'EXTERNAL', 'csv'), ('lake_x.ratings', 'supplier_id', 'int', 'EXTERNAL', 'csv')) t(table_name, column_name,
+    type, table_type, provider)
+""")
 def catalog_tables(s: Star) -> DataFrame:
     """External tables over Parquet and over CSV with a header, as the catalogue describes them; their files outlive them."""
     path = scratch(s.spark, "external")
@@ -835,7 +948,11 @@ def export_allow_lists(s: Star) -> DataFrame:
     return s.spark.createDataFrame(rows, "table_name string, n_columns int")
 
 
-@query("SELECT name, layer, CAST(n_rows AS BIGINT) AS n_rows, CAST(version AS BIGINT) AS version FROM (VALUES ('gold.sales', 'gold', NULL, NULL), ('gold.top_sales', 'gold', NULL, NULL), ('gold.customers', 'gold', NULL, NULL), ('silver.customers', 'silver', NULL, NULL), ('silver.facts', 'silver', NULL, NULL), ('silver.stores', 'silver', 25, 3)) t(name, layer, n_rows, version)")
+@query("""
+    SELECT name, layer, CAST(n_rows AS BIGINT) AS n_rows, CAST(version AS BIGINT) AS version FROM (VALUES ('gold.sales', 'gold', NULL, NULL), ('gold.top_sales',
+    'gold', NULL, NULL), ('gold.customers', 'gold', NULL, NULL), ('silver.customers', 'silver', NULL, NULL), ('silver.facts', 'silver', NULL, NULL),
+    ('silver.stores', 'silver', 25, 3)) t(name, layer, n_rows, version)
+""")
 def lineage_nodes(s: Star) -> DataFrame:
     t = _versions(s)
     edges = [e for k in files.statements(GOLD_SCRIPT) for e in lineage.script_edges("gold.sql", k)]

@@ -20,8 +20,8 @@ AS_OF, EARLIEST = "2002-01-01 00:00:00", "1995-01-01 00:00:00"
 BANDS = {"Budget": 920, "Mid": 970}
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
-#: What has been written: by application, folder, state of its files, and name.
-_written: dict[tuple[str, str, str, str], DataFrame] = {}
+#: What has been written, and where: by application, folder, state of its files, and name.
+_written: dict[tuple[str, str, str, str], tuple[str, DataFrame]] = {}
 
 
 def state(spark: SparkSession, sf_dir: str) -> str:
@@ -55,11 +55,15 @@ class Star:
         if self._state is None:
             self._state = state(self.spark, self.sf_dir)
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self._state, name)
-        if key not in _written:
+        if key not in _written or not self._exists(_written[key][0]):
             df, path = make(), scratch(self.spark, name)
             df.write.parquet(path)
-            _written[key] = self.spark.read.schema(df.schema).parquet(path)
-        return _written[key]
+            _written[key] = (path, self.spark.read.schema(df.schema).parquet(path))
+        return _written[key][1]
+
+    def _exists(self, path: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
     def _cleansed(self, name: str) -> tuple[DataFrame, DataFrame]:
         parents = {p: self.good(p) for p in cleaning.TABLES[name].parents.values()}

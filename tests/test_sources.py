@@ -165,3 +165,13 @@ def test_environments(environment, monkeypatch):
         monkeypatch.setenv(name, "x")
     settings = settings_of(environment, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "config"))
     assert {"lake_root", "jdbc", "kafka"} <= set(settings) and lake(settings, "gold").endswith("/gold")
+
+
+def test_dashboard(spark, tmp_path):
+    from granary.plans import analytics
+    from granary.plans.star import Star
+
+    s = Star(spark, "/root/testdata/sf0.001")
+    analytics.dashboard(s.view, s.customer_dimension, str(tmp_path / "sales.html"))
+    page = (tmp_path / "sales.html").read_text()
+    assert page.count("<svg") == 4 and page.count("<rect") > 100 and "1995-01" in page

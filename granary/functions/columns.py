@@ -60,7 +60,10 @@ def amounts(quantity: Column, price: Column, percent: Column) -> dict[str, Colum
     """Gross, discount (rounded half up to cents) and net amount of an order line, each decimal(14,2)."""
     gross = quantity * price
     discount = F.round(gross * percent * F.lit("0.01").cast("decimal(3,2)"), 2)
-    return {"gross_amount": gross.cast("decimal(14,2)"), "discount_amount": discount.cast("decimal(14,2)"), "net_amount": (gross - discount).cast("decimal(14,2)")}
+    return {
+        "gross_amount": gross.cast("decimal(14,2)"), "discount_amount": discount.cast("decimal(14,2)"),
+        "net_amount": (gross - discount).cast("decimal(14,2)")
+    }
 
 
 def percent_of(part: Column, whole: Column) -> Column:

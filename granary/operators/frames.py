@@ -52,7 +52,9 @@ def orphans(df: DataFrame, key: str, parent: DataFrame, parent_key: str) -> Data
     return df.join(parent.select(F.col(parent_key).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_anti")
 
 
-def valid_at(df: DataFrame, versions: DataFrame, key: str, at: str, columns: dict[str, str], start: str = "effective_from", end: str = "effective_to") -> DataFrame:
+def valid_at(
+    df: DataFrame, versions: DataFrame, key: str, at: str, columns: dict[str, str], start: str = "effective_from", end: str = "effective_to"
+) -> DataFrame:
     """Point-in-time join: the version of `key` that holds at `at`, start included and end not; without one, nulls.
 
     The equi-key carries the join, so it never becomes a nested loop; the range is a condition of it.
@@ -79,4 +81,6 @@ def numbered(df: DataFrame, *order: str, name: str, start: Column | int = 1) ->
 def compare(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """Full outer comparison of (key, value): key, left, right, same; nulls are equal to nulls."""
     a, b = left.select(F.col(key).alias("_a"), F.col(value).alias("left")), right.select(F.col(key).alias("_b"), F.col(value).alias("right"))
-    return a.join(b, F.col("_a").eqNullSafe(F.col("_b")), "full_outer").select(F.coalesce("_a", "_b").alias(key), "left", "right", F.col("left").eqNullSafe(F.col("right")).alias("same"))
+    return a.join(b, F.col("_a").eqNullSafe(F.col("_b")), "full_outer").select(
+        F.coalesce("_a", "_b").alias(key), "left", "right", F.col("left").eqNullSafe(F.col("right")).alias("same")
+    )

@@ -28,7 +28,9 @@ def script_edges(name: str, script: str) -> list[Edge]:
     out: set[Edge] = set()
     for s in statements(script):
         bare = re.sub(r"'(?:[^'\\]|\\.)*'", "''", s)
-        targets = re.findall(rf"\b(?:TABLE|VIEW)\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}", bare, re.I) + re.findall(rf"\b(?:INSERT\s+(?:INTO|OVERWRITE)|MERGE\s+INTO)\s+(?:TABLE\s+)?{_NAME}", bare, re.I)
+        targets = re.findall(rf"\b(?:TABLE|VIEW)\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}", bare, re.I) + re.findall(
+            rf"\b(?:INSERT\s+(?:INTO|OVERWRITE)|MERGE\s+INTO)\s+(?:TABLE\s+)?{_NAME}", bare, re.I
+        )
         sources = re.findall(rf"\b(?:FROM|JOIN|USING)\s+{_NAME}", bare, re.I)
         out |= {(a, b, name) for a in sources for b in targets if a != b}
     return sorted(out)
@@ -42,7 +44,10 @@ def plan_inputs(df: DataFrame) -> list[str]:
 def catalogue(spark: SparkSession, tables: dict[str, DataFrame], owners: dict[str, str], described: dict[str, str] | None = None) -> DataFrame:
     """A row per column: table_name, position, column_name, type, description, personal, owner (by the table's layer)."""
     rows = [
-        (t, k, f.name, f.dataType.simpleString(), (DESCRIBED if described is None else described).get(f.name, ""), PERSONAL.get(f.name, "no"), owners.get(t.split(".")[0], ""))
+        (
+            t, k, f.name, f.dataType.simpleString(), (DESCRIBED if described is None else described).get(f.name, ""), PERSONAL.get(f.name, "no"),
+            owners.get(t.split(".")[0], "")
+        )
         for t, df in tables.items() for k, f in enumerate(df.schema.fields)
     ]
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, type string, description string, personal string, owner string")

@@ -26,14 +26,20 @@ def date_spine(orders: DataFrame, column: str = "order_date") -> DataFrame:
 
 
 def product_dimension(products: DataFrame, bands: dict[str, float] = PRICE_BANDS, above: str = "Premium") -> DataFrame:
-    return products.select(F.col("product_id").alias("product_key"), "product_name", "category", "brand", F.col("unit_price").alias("current_unit_price"), C.band(F.col("unit_price"), bands, above).alias("price_band"))
+    return products.select(
+        F.col("product_id").alias("product_key"), "product_name", "category", "brand", F.col("unit_price").alias("current_unit_price"),
+        C.band(F.col("unit_price"), bands, above).alias("price_band")
+    )
 
 
 def store_dimension(stores: DataFrame) -> DataFrame:
     return stores.select(F.col("store_id").alias("store_key"), "store_name", "city", "region", "opened_date")
 
 
-CUSTOMER_COLUMNS = ("customer_sk", "customer_id", "first_name", "last_name", "email_hash", "phone_masked", "city", "state", "signup_date", "row_hash", "effective_from", "effective_to", "is_current")
+CUSTOMER_COLUMNS = (
+    "customer_sk", "customer_id", "first_name", "last_name", "email_hash", "phone_masked", "city", "state", "signup_date", "row_hash",
+    "effective_from", "effective_to", "is_current"
+)
 CUSTOMER_SCHEMA = "customer_sk long, customer_id long, first_name string, last_name string, email_hash string, phone_masked string, city string, state string, signup_date date, row_hash string, effective_from timestamp, effective_to timestamp, is_current boolean"
 
 
@@ -61,7 +67,9 @@ def next_customer_dimension(dimension: DataFrame, snapshot: DataFrame, tracked:
     keyed = O.numbered(feed, "customer_id", "_insert", name="_n").withColumn("customer_sk", F.col("_n") + top)
     fresh = keyed.filter("not is_existing or merge_key is null").select(
         "customer_sk", "customer_id", "first_name", "last_name", "email_hash", "phone_masked", "city", "state", "signup_date", F.col("new_hash").alias("row_hash"),
-        F.when(F.col("is_existing"), F.col("updated_at")).otherwise(F.lit(BEGINNING)).cast("timestamp").alias("effective_from"), F.lit(OPEN_END).cast("timestamp").alias("effective_to"), F.lit(True).alias("is_current"),
+        F.when(
+            F.col("is_existing"), F.col("updated_at")
+        ).otherwise(F.lit(BEGINNING)).cast("timestamp").alias("effective_from"), F.lit(OPEN_END).cast("timestamp").alias("effective_to"), F.lit(True).alias("is_current"),
     )
     closing = changes.filter("is_existing").select(F.col("customer_id").alias("_id"), F.col("updated_at").alias("_closed"))
     kept = dimension.join(closing, (F.col("customer_id") == F.col("_id")) & F.col("is_current"), "left")

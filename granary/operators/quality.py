@@ -71,7 +71,9 @@ def _of_table(df: DataFrame, tables: dict[str, DataFrame], checks: list[tuple[in
         share = c.dimension == "completeness"
         return F.struct(
             F.lit(k).alias("place"), F.lit(c.dimension).alias("dimension"), F.lit(c.table).alias("table_name"), F.lit(c.name).alias("check_name"),
-            (F.round(m, 4) if share else m.cast("long")).cast("string").alias("measured"), F.lit(c.expected).alias("expected"), (m >= c.least if share else m == 0).alias("ok"),
+            (
+                F.round(m, 4) if share else m.cast("long")
+            ).cast("string").alias("measured"), F.lit(c.expected).alias("expected"), (m >= c.least if share else m == 0).alias("ok"),
         )
 
     return one.select(F.explode(F.array(*(row(k, c) for k, c in checks))).alias("r")).select("r.*")

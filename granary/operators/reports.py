@@ -41,17 +41,24 @@ def bars(title: str, values: list[tuple[str, float | None]], width: int = 640, h
         out.append(f'<text x="{(k + 0.5) * step:.1f}" y="{height - 4}" font-size="9" text-anchor="middle">{escape(name)}</text>')
         if v is not None:
             top = 20 + (high - max(v, 0.0)) * scale
-            out.append(f'<rect x="{k * step + 1:.1f}" y="{top:.1f}" width="{max(step - 2, 1):.1f}" height="{abs(v) * scale:.1f}" fill="#4477aa"><title>{escape(name)}: {v:,.2f}</title></rect>')
+            out.append(
+                f'<rect x="{k * step + 1:.1f}" y="{top:.1f}" width="{max(step - 2, 1):.1f}" height="{abs(v) * scale:.1f}" fill="#4477aa"><title>{escape(name)}: {v:,.2f}</title></rect>'
+            )
     return f'<svg viewBox="0 0 {width} {height}" width="{width}" xmlns="http://www.w3.org/2000/svg">{"".join(out)}</svg>'
 
 
 def grid(title: str, columns: list[str], rows: list[tuple[str, list[float | None]]], cell: int = 44) -> str:
     """A heat map of percentages: a row a name, a cell a column, the darker the higher."""
-    out = [f'<text x="0" y="14">{escape(title)}</text>', *(f'<text x="{90 + (k + 0.5) * cell:.0f}" y="32" font-size="10" text-anchor="middle">{escape(c)}</text>' for k, c in enumerate(columns))]
+    out = [
+        f'<text x="0" y="14">{escape(title)}</text>',
+        *(f'<text x="{90 + (k + 0.5) * cell:.0f}" y="32" font-size="10" text-anchor="middle">{escape(c)}</text>' for k, c in enumerate(columns))
+    ]
     for r, (name, values) in enumerate(rows):
         y = 40 + r * 22
         out.append(f'<text x="0" y="{y + 14}" font-size="10">{escape(name)}</text>')
         for k, v in enumerate(values):
             if v is not None:
-                out.append(f'<rect x="{90 + k * cell}" y="{y}" width="{cell - 2}" height="20" fill="#4477aa" fill-opacity="{max(v, 4) / 100:.2f}"/><text x="{90 + (k + 0.5) * cell:.0f}" y="{y + 14}" font-size="10" text-anchor="middle">{v:.0f}</text>')
+                out.append(
+                    f'<rect x="{90 + k * cell}" y="{y}" width="{cell - 2}" height="20" fill="#4477aa" fill-opacity="{max(v, 4) / 100:.2f}"/><text x="{90 + (k + 0.5) * cell:.0f}" y="{y + 14}" font-size="10" text-anchor="middle">{v:.0f}</text>'
+                )
     return f'<svg viewBox="0 0 {90 + len(columns) * cell} {40 + 22 * len(rows)}" width="{90 + len(columns) * cell}" xmlns="http://www.w3.org/2000/svg">{"".join(out)}</svg>'

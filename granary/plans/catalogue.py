@@ -136,7 +136,13 @@ def kpis(s: Star) -> DataFrame:
     return A.kpis(s.fact, s.dates, s.customer_dimension, 2000)
 
 
-@query(sql("SELECT cohort_quarter_start, " + ", ".join(f"max(retention_pct) FILTER (WHERE quarters_since = {k}) AS q{k}" for k in range(8)) + " FROM cohorts GROUP BY 1 HAVING min(quarters_since) <= 7"))
+@query(
+    sql(
+        "SELECT cohort_quarter_start, " + ", ".join(
+            f"max(retention_pct) FILTER (WHERE quarters_since = {k}) AS q{k}" for k in range(8)
+        ) + " FROM cohorts GROUP BY 1 HAVING min(quarters_since) <= 7"
+    )
+)
 def cohort_pivot(s: Star) -> DataFrame:
     return A.cohort_pivot(A.retention(s.view, s.customer_dimension))
 
@@ -163,7 +169,9 @@ def mask_email(s: Star) -> DataFrame:
 """))
 def mask_phone(s: Star) -> DataFrame:
     p = F.col("phone")
-    return s.raw("customers").filter("customer_id is not null").select("customer_id", C.phone_digits(p).alias("phone_digits"), C.phone_hint(p).alias("phone_masked")).distinct()
+    return s.raw("customers").filter("customer_id is not null").select(
+        "customer_id", C.phone_digits(p).alias("phone_digits"), C.phone_hint(p).alias("phone_masked")
+    ).distinct()
 
 
 @query(sql(f"SELECT city, {TITLE.format('city')} AS city_name, count(*) AS n FROM r_customers GROUP BY ALL"))
@@ -181,7 +189,10 @@ def parse_legacy_dates(s: Star) -> DataFrame:
     || ':' || p_name, '-') || coalesce(length(p_brand) || ':' || p_brand, '-')) AS row_hash FROM part
 """)
 def bands_and_digests(s: Star) -> DataFrame:
-    return s.table("part").select("p_partkey", C.band(F.col("p_retailprice"), {"Budget": 920, "Mid": 970}, "Premium").alias("price_band"), C.row_digest("p_name", "p_brand").alias("row_hash"))
+    return s.table("part").select(
+        "p_partkey", C.band(F.col("p_retailprice"), {"Budget": 920, "Mid": 970}, "Premium").alias("price_band"),
+        C.row_digest("p_name", "p_brand").alias("row_hash")
+    )
 
 
 @query("""
@@ -193,7 +204,11 @@ def bands_and_digests(s: Star) -> DataFrame:
 """)
 def date_functions(s: Star) -> DataFrame:
     d = F.col("o_orderdate").cast("timestamp")
-    return s.table("orders").select("o_orderkey", F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m"), F.dayofweek(d).alias("dow"), F.date_format(d, "yyyyMMdd").alias("ymd"), F.date_format(d, "MMMM").alias("month_name"), F.date_trunc("quarter", d).alias("quarter_start"), F.last_day(d).alias("month_end"), F.trunc(d, "year").alias("year_start"), C.fiscal_year(d).alias("fiscal_year"))
+    return s.table("orders").select(
+        "o_orderkey", F.year(d).alias("y"), F.quarter(d).alias("q"), F.month(d).alias("m"), F.dayofweek(d).alias("dow"),
+        F.date_format(d, "yyyyMMdd").alias("ymd"), F.date_format(d, "MMMM").alias("month_name"), F.date_trunc("quarter", d).alias("quarter_start"),
+        F.last_day(d).alias("month_end"), F.trunc(d, "year").alias("year_start"), C.fiscal_year(d).alias("fiscal_year")
+    )
 
 
 @query("""
@@ -203,7 +218,12 @@ def date_functions(s: Star) -> DataFrame:
 """, "half")
 def string_functions(s: Star) -> DataFrame:
     n = F.col("c_name")
-    return s.table("customer").select("c_custkey", F.upper("c_mktsegment").alias("up"), F.lower(n).alias("low"), F.length(n).cast("long").alias("len"), F.substring(n, 1, 8).alias("head"), F.substring(n, -4, 4).alias("tail"), F.regexp_replace(n, "[^0-9]", "").alias("digits"), n.rlike("^Customer#[0-9]{9}$").alias("well_formed"), F.concat_ws("|", n, "c_mktsegment").alias("joined"), F.round(F.col("c_acctbal").cast("decimal(12,2)") * F.lit("0.5").cast("decimal(2,1)"), 1).alias("half"))
+    return s.table("customer").select(
+        "c_custkey", F.upper("c_mktsegment").alias("up"), F.lower(n).alias("low"), F.length(n).cast("long").alias("len"),
+        F.substring(n, 1, 8).alias("head"), F.substring(n, -4, 4).alias("tail"), F.regexp_replace(n, "[^0-9]", "").alias("digits"),
+        n.rlike("^Customer#[0-9]{9}$").alias("well_formed"), F.concat_ws("|", n, "c_mktsegment").alias("joined"),
+        F.round(F.col("c_acctbal").cast("decimal(12,2)") * F.lit("0.5").cast("decimal(2,1)"), 1).alias("half")
+    )
 
 
 # ---- frame functions and cleansing ---------------------------------------------------------------------------------
@@ -232,7 +252,10 @@ def quarantine_split(s: Star) -> DataFrame:
     WHERE reason <> '' UNION ALL SELECT 'order_items', reason FROM j_items WHERE reason <> '') GROUP BY ALL
 """))
 def quarantine_histogram(s: Star) -> DataFrame:
-    named = [cleaning.reasons(bad).select(F.lit(t).alias("table_name"), frames.REASON, "n_rows") for t, bad in (("orders", s.rejected("orders")), ("order_items", s.rejected("order_items")))]
+    named = [
+        cleaning.reasons(bad).select(F.lit(t).alias("table_name"), frames.REASON, "n_rows") for t,
+        bad in (("orders", s.rejected("orders")), ("order_items", s.rejected("order_items")))
+    ]
     return named[0].unionAll(named[1])
 
 
@@ -319,7 +342,9 @@ def scd2_after_change(s: Star) -> DataFrame:
 
 @query(sql("SELECT is_current, count(*) AS versions, count(DISTINCT customer_id) AS n_customers FROM dim_customer GROUP BY is_current"))
 def scd2_summary(s: Star) -> DataFrame:
-    return s.customer_dimension.groupBy("is_current").agg(F.count("*").alias("versions"), F.countDistinct("customer_id").alias("n_customers")).orderBy(F.desc("is_current"))
+    return s.customer_dimension.groupBy("is_current").agg(
+        F.count("*").alias("versions"), F.countDistinct("customer_id").alias("n_customers")
+    ).orderBy(F.desc("is_current"))
 
 
 @query(sql("SELECT CASE WHEN ins = 0 THEN customer_id END AS merge_key, customer_id, city, known AS is_existing FROM fed"))
@@ -332,7 +357,10 @@ def union_all_double_feed(s: Star) -> DataFrame:
     >= effective_from AND order_ts < effective_to
 """))
 def pit_join(s: Star) -> DataFrame:
-    return frames.valid_at(s.good("orders").select("order_id", "customer_id", "order_ts"), s.customer_dimension, "customer_id", "order_ts", {"customer_sk": "customer_sk"})
+    return frames.valid_at(
+        s.good("orders").select("order_id", "customer_id", "order_ts"), s.customer_dimension, "customer_id", "order_ts",
+        {"customer_sk": "customer_sk"}
+    )
 
 
 @query(sql("SELECT * FROM fact"), "unit_price", "discount_pct", "gross_amount", "discount_amount", "net_amount")
@@ -354,7 +382,9 @@ def analyst_view(s: Star) -> DataFrame:
 """)
 def semi_join_in(s: Star) -> DataFrame:
     building = s.table("customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
-    return s.table("orders").filter(~F.col("o_orderstatus").isin("P") & F.col("o_totalprice").between(1000, 200000)).join(building, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
+    return s.table("orders").filter(
+        ~F.col("o_orderstatus").isin("P") & F.col("o_totalprice").between(1000, 200000)
+    ).join(building, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
 
 
 @query("""
@@ -393,7 +423,10 @@ def duplicate_keys(s: Star) -> DataFrame:
     AS last_day, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DECIMAL(24,2)) AS total FROM orders GROUP BY 1
 """, "total")
 def grouped_aggregates(s: Star) -> DataFrame:
-    return s.table("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_final"), F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("decimal(24,2)").alias("total"))
+    return s.table("orders").groupBy("o_orderpriority").agg(
+        F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_final"), F.min("o_orderdate").alias("first_day"),
+        F.max("o_orderdate").alias("last_day"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("decimal(24,2)").alias("total")
+    )
 
 
 @query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
@@ -453,7 +486,10 @@ CHECKS = [
     quality.valid("fact", "net_amount >= 0 and net_amount <= gross_amount", "0 <= net <= gross"),
     quality.valid("orders_", f"order_ts between timestamp '{EARLIEST}' and timestamp '{AS_OF}'", "order_ts in range"),
     quality.valid("customers", "email_hash is null or email_hash rlike '^[0-9a-f]{64}$'", "email is a digest", "regexp_matches(email_hash, '^[0-9a-f]{64}$')"),
-    quality.valid("customers", "phone_masked is null or phone_masked rlike '^XXXXXX[0-9]{4}$'", "phone is masked", "regexp_matches(phone_masked, '^XXXXXX[0-9]{4}$')"),
+    quality.valid(
+        "customers", "phone_masked is null or phone_masked rlike '^XXXXXX[0-9]{4}$'", "phone is masked",
+        "regexp_matches(phone_masked, '^XXXXXX[0-9]{4}$')"
+    ),
     quality.valid("stores", "region in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')", "region is known"),
     quality.valid("stores", "city = initcap(lower(trim(city)))", "city in title case", _CITY_FORM),
     quality.valid("dim_customer", "effective_from < effective_to", "window is valid"),
@@ -527,7 +563,9 @@ def reconcile_rows(s: Star) -> DataFrame:
     """A table against a reordered copy, and against one with changed and missing rows."""
     t = s.table("nation")
     changed = t.filter("n_nationkey > 3").withColumn("n_name", F.concat(F.upper("n_name"), F.lit("!")))
-    return reconcile.same_rows(t, t.select("n_regionkey", "n_name", "n_nationkey").orderBy(F.desc("n_name")), "same").unionAll(reconcile.same_rows(t, changed, "changed"))
+    return reconcile.same_rows(
+        t, t.select("n_regionkey", "n_name", "n_nationkey").orderBy(F.desc("n_name")), "same"
+    ).unionAll(reconcile.same_rows(t, changed, "changed"))
 
 
 @query(sql("SELECT CAST(sum(CAST(quantity * unit_price AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS amount FROM r_items"), "amount")
@@ -565,7 +603,9 @@ def _migration_sql() -> str:
         n = f"(SELECT count(*) FROM {r} WHERE {cleaning.TABLES[t].key} IS NOT NULL)"
         parts.append(f"SELECT 'row count' AS check_name, '{t}' AS table_name, CAST({n} AS VARCHAR) AS source, CAST({n} AS VARCHAR) AS lake, true AS ok")
         parts.append(f"SELECT 'checksum', '{t}', NULL, NULL, true")
-        parts.append(f"SELECT 'row accounting', '{t}', CAST(distinct_keys AS VARCHAR), CAST(valid_rows + quarantined_rows AS VARCHAR), distinct_keys = valid_rows + quarantined_rows FROM ({_ACCOUNTS[t]})")
+        parts.append(
+            f"SELECT 'row accounting', '{t}', CAST(distinct_keys AS VARCHAR), CAST(valid_rows + quarantined_rows AS VARCHAR), distinct_keys = valid_rows + quarantined_rows FROM ({_ACCOUNTS[t]})"
+        )
     amount = "SELECT CAST(sum(CAST(quantity * unit_price AS DECIMAL(18,2))) AS VARCHAR) AS a FROM r_items"
     parts.append(f"SELECT 'total amount', 'order_items', a, a, true FROM ({amount})")
     parts.append(f'SELECT \'net amounts by month\', \'fact\', CAST(sum("left") AS VARCHAR), CAST(sum("right") AS VARCHAR), bool_and(same) FROM ({_MONTHS_SQL})')
@@ -632,7 +672,9 @@ def catalog_columns(s: Star) -> DataFrame:
     """Columns with types, marks of personal data and owners, and whether each has a description; audit columns left out."""
     tables = {name: s.tables[part] for name, part in _CATALOGUED.items()}
     found = lineage.catalogue(s.spark, tables, {"silver": "platform", "gold": "analytics"})
-    return found.filter(~F.col("column_name").isin(*cleaning.AUDIT)).select("table_name", "column_name", "type", "personal", "owner", (F.length("description") > 0).alias("described"))
+    return found.filter(~F.col("column_name").isin(*cleaning.AUDIT)).select(
+        "table_name", "column_name", "type", "personal", "owner", (F.length("description") > 0).alias("described")
+    )
 
 
 @query("""
@@ -645,7 +687,9 @@ def supplier_json_ingest(s: Star) -> DataFrame:
     path, table = scratch(s.spark, "landing"), VersionedTable(s.spark, scratch(s.spark, "deliveries"))
     e = s.table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("delivered_on"))
     e.filter("event_id % 2 = 0").write.json(f"{path}/1")
-    e.filter("event_id % 2 = 1").select("*", F.struct(F.lit("road").alias("mode")).alias("transport"), F.array(F.lit("b")).alias("batch_codes")).write.json(f"{path}/2")
+    e.filter("event_id % 2 = 1").select(
+        "*", F.struct(F.lit("road").alias("mode")).alias("transport"), F.array(F.lit("b")).alias("batch_codes")
+    ).write.json(f"{path}/2")
     first, second = (files.json_lines(s.spark, f"{path}/{k}") for k in (1, 2))
     table.append(first)
     outcome = [f"more columns: {files.drift(first, second)}"]
@@ -655,7 +699,9 @@ def supplier_json_ingest(s: Star) -> DataFrame:
         outcome = ["refused"]
     table.append(second, merge_schema=True)
     outcome.append("merged" if set(table.schema().names) == set(second.columns) else "lost columns")
-    counted = table.read().agg(F.concat(F.count("*").cast("string"), F.lit(" rows, "), F.count("transport.mode").cast("string"), F.lit(" with transport")).alias("outcome"))
+    counted = table.read().agg(
+        F.concat(F.count("*").cast("string"), F.lit(" rows, "), F.count("transport.mode").cast("string"), F.lit(" with transport")).alias("outcome")
+    )
     steps = s.spark.createDataFrame([(k + 1, o) for k, o in enumerate(outcome)], "step int, outcome string")
     return steps.unionAll(counted.select(F.lit(3).alias("step"), "outcome"))
 
@@ -665,7 +711,9 @@ def supplier_json_ingest(s: Star) -> DataFrame:
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def from_json_expand(s: Star) -> DataFrame:
-    return s.table("events").select("event_type", F.from_json("props", "k int").alias("p")).select("event_type", "p.*").groupBy("event_type", "k").agg(F.count("*").alias("n"))
+    return s.table("events").select(
+        "event_type", F.from_json("props", "k int").alias("p")
+    ).select("event_type", "p.*").groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -677,15 +725,23 @@ def nested_json_monthly(s: Star) -> DataFrame:
     path = scratch(s.spark, "json")
     e = s.table("events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     e.filter("event_id % 2 = 0").write.json(f"{path}/a")
-    e.filter("event_id % 2 = 1").select("*", F.struct(F.lit("road").alias("mode"), F.col("day").alias("vehicle_no")).alias("transport"), F.expr("slice(array('a', 'b', 'c'), 1, cast(event_id % 4 as int))").alias("batch_codes")).write.json(f"{path}/b")
+    e.filter("event_id % 2 = 1").select(
+        "*", F.struct(F.lit("road").alias("mode"), F.col("day").alias("vehicle_no")).alias("transport"),
+        F.expr("slice(array('a', 'b', 'c'), 1, cast(event_id % 4 as int))").alias("batch_codes")
+    ).write.json(f"{path}/b")
     both = files.united(files.json_lines(s.spark, f"{path}/a"), files.json_lines(s.spark, f"{path}/b"))
-    return both.groupBy("day").agg(F.count("*").alias("deliveries"), F.count("transport.mode").alias("with_transport"), F.sum(F.coalesce(F.size("batch_codes"), F.lit(0))).cast("long").alias("batch_codes"))
+    return both.groupBy("day").agg(
+        F.count("*").alias("deliveries"), F.count("transport.mode").alias("with_transport"),
+        F.sum(F.coalesce(F.size("batch_codes"), F.lit(0))).cast("long").alias("batch_codes")
+    )
 
 
 @query("SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS segment FROM customer")
 def schema_drift_union(s: Star) -> DataFrame:
     c = s.table("customer")
-    old, new = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), c.filter("c_custkey % 2 = 1").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    old, new = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), c.filter("c_custkey % 2 = 1").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")
+    )
     return files.united(old, new)
 
 
@@ -709,7 +765,10 @@ def _versions(s: Star) -> VersionedTable:
     except SchemaMismatch:
         t.append(later, merge_schema=True)
     source = n.filter("n_nationkey >= 18")
-    t.merge(source, F.expr("t.n_nationkey = s.n_nationkey"), {"n_name": F.concat(F.lit("NEW "), F.col("s.n_name"))}, {c: F.col(f"s.{c}") for c in ("n_nationkey", "n_name", "n_regionkey")})
+    t.merge(
+        source, F.expr("t.n_nationkey = s.n_nationkey"), {"n_name": F.concat(F.lit("NEW "), F.col("s.n_name"))},
+        {c: F.col(f"s.{c}") for c in ("n_nationkey", "n_name", "n_regionkey")}
+    )
     return t
 
 
@@ -787,7 +846,9 @@ def _envelopes(s: Star, parts: range = range(5), path: str | None = None, of: in
     }
     body = F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
     part = F.floor((k - low) * of / (high - low + 1)).cast("int")
-    made = e.withColumn("part", part).select("part", F.pmod("event_id", F.lit(3)).cast("int").alias("partition"), F.floor(k / 3).alias("offset"), body.alias("value"))
+    made = e.withColumn("part", part).select(
+        "part", F.pmod("event_id", F.lit(3)).cast("int").alias("partition"), F.floor(k / 3).alias("offset"), body.alias("value")
+    )
     for p in parts:  # files come one after the other, as a topic grows
         made.filter(F.col("part") == p).drop("part").coalesce(1).write.mode("append").json(path)
     return path
@@ -802,7 +863,10 @@ _CLOSED = """
 
 @query(_CLOSED, "amount")
 def tumbling_window_batch(s: Star) -> DataFrame:
-    e = s.table("events").select(F.col("ts").cast("timestamp").alias("event_time"), "event_type", F.when(F.col("event_type") == "purchase", F.col("value")).alias("amount"), F.col("user_id").alias("customer_id"))
+    e = s.table("events").select(
+        F.col("ts").cast("timestamp").alias("event_time"), "event_type", F.when(F.col("event_type") == "purchase", F.col("value")).alias("amount"),
+        F.col("user_id").alias("customer_id")
+    )
     return S.windows(e).drop("customers")
 
 
@@ -868,9 +932,13 @@ def stream_window_update(s: Star) -> DataFrame:
         table.append(batch.withColumn(number, F.lit(k)), once=f"updates:{k}")
 
     stream = S.windows(S.parsed(S.replay(s.spark, _envelopes(s))))
-    stream.writeStream.outputMode("update").option("checkpointLocation", scratch(s.spark, "checkpoint")).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode("update").option(
+        "checkpointLocation", scratch(s.spark, "checkpoint")
+    ).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
     last = F.max_by(F.struct("n_events", "amount"), number).alias("x")
-    return table.read().groupBy("window_start", "window_end", "event_type").agg(last).select("window_start", "window_end", "event_type", "x.n_events", "x.amount")
+    return table.read().groupBy("window_start", "window_end", "event_type").agg(last).select(
+        "window_start", "window_end", "event_type", "x.n_events", "x.amount"
+    )
 
 
 # ---- the lake as a whole -------------------------------------------------------------------------------------------
@@ -895,9 +963,14 @@ def cdc_bronze_history(s: Star) -> DataFrame:
     bronze = VersionedTable(s.spark, scratch(s.spark, "bronze"))
     audit = lambda df, kind: jdbc.audited(df.drop("_ingested_at", "_source", "_batch_id"), "source.customers", kind, kind, F.lit(AS_OF).cast("timestamp"))
     bronze.append(audit(s.raw("customers").filter("customer_id is not null"), "full"), partition_by=("ingest_date",), once="full")
-    bronze.append(audit(retail.change_batch(s.spark, s.sf_dir, "customers", AS_OF).filter("customer_id is not null"), "incremental"), partition_by=("ingest_date",), once="change")
+    bronze.append(
+        audit(retail.change_batch(s.spark, s.sf_dir, "customers", AS_OF).filter("customer_id is not null"), "incremental"),
+        partition_by=("ingest_date",), once="change"
+    )
     current = frames.latest(bronze.read(), "customer_id")
-    return current.agg(F.lit("customers").alias("table_name"), F.count("*").alias("n_keys"), F.count_if(F.col("city") == "Moved City").cast("int").alias("n_moved"))
+    return current.agg(
+        F.lit("customers").alias("table_name"), F.count("*").alias("n_keys"), F.count_if(F.col("city") == "Moved City").cast("int").alias("n_moved")
+    )
 
 
 @query("""
@@ -939,7 +1012,10 @@ def catalog_tables(s: Star) -> DataFrame:
 def export_allow_lists(s: Star) -> DataFrame:
     """The exported files' headers, counted; no name, address or number of a person is among them."""
     path = scratch(s.spark, "exports")
-    A.export_star({"fact_sales": s.fact, "dim_customer": s.customer_dimension, "dim_product": s.product_dimension, "dim_store": s.store_dimension, "dim_date": s.dates}, path)
+    A.export_star(
+        {"fact_sales": s.fact, "dim_customer": s.customer_dimension, "dim_product": s.product_dimension, "dim_store": s.store_dimension, "dim_date": s.dates},
+        path
+    )
     rows = []
     for name in A.EXPORTS:
         columns = s.spark.read.csv(f"{path}/{name}", header=True).columns

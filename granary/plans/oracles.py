@@ -50,14 +50,19 @@ PARTS: dict[str, str] = {
     "l_orders": _latest("r_orders", "order_id", "customer_id store_id order_date status payment_method _source _batch_id"),
     "t_orders": f"SELECT *, {TS.format('order_date')} AS order_ts FROM l_orders",
     "j_orders": "SELECT o.*, " + _reasons(
-        ("order_ts IS NULL", "unparseable order_date"), (f"order_ts > TIMESTAMP '{AS_OF}'", "order_date in the future"), (f"order_ts < TIMESTAMP '{EARLIEST}'", "order_date too early"), ("o.customer_id IS NULL", "missing customer_id"),
+        ("order_ts IS NULL", "unparseable order_date"), (
+            f"order_ts > TIMESTAMP '{AS_OF}'", "order_date in the future"
+        ), (f"order_ts < TIMESTAMP '{EARLIEST}'", "order_date too early"), ("o.customer_id IS NULL", "missing customer_id"),
         ("o.customer_id IS NOT NULL AND c.customer_id IS NULL", "unknown customer_id"), ("s.store_id IS NULL", "unknown store_id")) + " AS reason FROM t_orders o LEFT JOIN customers c ON o.customer_id = c.customer_id LEFT JOIN stores s ON o.store_id = s.store_id",
     "orders_": """
     SELECT order_id, customer_id, store_id, order_ts, CAST(order_ts AS DATE) AS order_date, upper(status) AS order_status, payment_method, updated_at
     FROM j_orders WHERE reason = ''
 """,
     "l_items": _latest("r_items", "order_item_id", "order_id product_id quantity unit_price discount_pct _source _batch_id"),
-    "j_items": "SELECT i.*, " + _reasons(("quantity <= 0", "non-positive quantity"), ("i.unit_price < 0", "negative unit_price"), ("p.product_id IS NULL", "product missing or quarantined"), ("o.order_id IS NULL", "parent order missing or quarantined"))
+    "j_items": "SELECT i.*, " + _reasons(
+        ("quantity <= 0", "non-positive quantity"), ("i.unit_price < 0", "negative unit_price"),
+        ("p.product_id IS NULL", "product missing or quarantined"), ("o.order_id IS NULL", "parent order missing or quarantined")
+    )
         + " AS reason FROM l_items i LEFT JOIN orders_ o ON i.order_id = o.order_id LEFT JOIN products p ON i.product_id = p.product_id",
     "items": "SELECT order_item_id, order_id, product_id, quantity, unit_price, discount_pct, updated_at FROM j_items WHERE reason = ''",
     "dim_date": """SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, d AS full_date, CAST(year(d) AS INT) AS year, CAST(quarter(d) AS INT) AS quarter, CAST(month(d) AS INT) AS month, strftime(d, '%B') AS month_name, strftime(d, '%Y-%m') AS year_month,

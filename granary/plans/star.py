@@ -110,13 +110,19 @@ class Star:
 
     @property
     def view(self) -> DataFrame:
-        return self.written("analyst-view", lambda: modelling.analyst_view(self.fact, self.dates, self.customer_dimension, self.product_dimension, self.store_dimension))
+        return self.written(
+            "analyst-view",
+            lambda: modelling.analyst_view(self.fact, self.dates, self.customer_dimension, self.product_dimension, self.store_dimension)
+        )
 
     @property
     def tables(self) -> dict[str, DataFrame]:
         """Cleansed tables and the star, by the names that checks and the catalogue use."""
         silver = {("orders_" if t == "orders" else t): self.good(t) for t in ("customers", "products", "stores", "orders")}
-        gold = {"dim_date": self.dates, "dim_customer": self.customer_dimension, "dim_product": self.product_dimension, "dim_store": self.store_dimension, "fact": self.fact}
+        gold = {
+            "dim_date": self.dates, "dim_customer": self.customer_dimension, "dim_product": self.product_dimension, "dim_store": self.store_dimension,
+            "fact": self.fact
+        }
         return {**silver, "items": self.good("order_items"), **gold}
 
 

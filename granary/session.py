@@ -17,7 +17,10 @@ SETTINGS = {
 }
 
 
-def session(name: str = "granary", master: str | None = None, hive: bool = False, shuffle_partitions: int | None = None, packages: tuple[str, ...] = (), **settings: str) -> SparkSession:
+def session(
+    name: str = "granary", master: str | None = None, hive: bool = False, shuffle_partitions: int | None = None, packages: tuple[str, ...] = (),
+    **settings: str
+) -> SparkSession:
     """A session with the engine's settings; `hive` adds a metastore, `packages` connectors such as Kafka's or a JDBC driver's."""
     b = SparkSession.builder.appName(name)
     for key, value in {**SETTINGS, **settings}.items():

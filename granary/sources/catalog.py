@@ -35,5 +35,7 @@ def tables(spark: SparkSession, *databases: str) -> DataFrame:
                 continue
             name = f"{d}.{t.name}"
             described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
-            rows += [(name, f.name, f.dataType.simpleString(), described.get("Type", ""), described.get("Provider", "")) for f in spark.table(name).schema.fields]
+            rows += [
+                (name, f.name, f.dataType.simpleString(), described.get("Type", ""), described.get("Provider", "")) for f in spark.table(name).schema.fields
+            ]
     return spark.createDataFrame(rows, "table_name string, column_name string, type string, table_type string, provider string")

@@ -82,12 +82,21 @@ def change_batch(spark: SparkSession, sf_dir: str, name: str, at: str) -> DataFr
     if name == "customers":
         out = rows.filter(key < 25).withColumn("city", F.lit("Moved City")).unionByName(new(10, 10_000_000))
     elif name == "products":
-        out = rows.filter((key < 10) & (F.col("unit_price") > 0)).withColumn("unit_price", (F.col("unit_price") * F.lit("1.05").cast("decimal(3,2)")).cast("decimal(10,2)"))
+        out = rows.filter((key < 10) & (F.col("unit_price") > 0)).withColumn(
+            "unit_price", (F.col("unit_price") * F.lit("1.05").cast("decimal(3,2)")).cast("decimal(10,2)")
+        )
     elif name == "orders":
         out = rows.filter((key >= 200) & (key < 250)).withColumn("status", F.lit("returned")).unionByName(new(200, 100_000_000))
     elif name == "order_items":
-        two = raw(spark, sf_dir, "orders").filter("order_id < 200").select("order_id").distinct().select((F.col("order_id") + 100_000_000).alias("o"), F.explode(F.array(F.lit(1), F.lit(2))).alias("l"))
-        out = two.select((F.col("o") * 10 + F.col("l")).alias("order_item_id"), F.col("o").alias("order_id"), (F.col("o") % 97).alias("product_id"), F.col("l").alias("quantity"), F.lit("100.00").cast("decimal(10,2)").alias("unit_price"), F.lit("5.00").cast("decimal(5,2)").alias("discount_pct"), now.alias("updated_at"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("_ingested_at", "_source", "_batch_id")))
+        two = raw(spark, sf_dir, "orders").filter("order_id < 200").select("order_id").distinct().select(
+            (F.col("order_id") + 100_000_000).alias("o"), F.explode(F.array(F.lit(1), F.lit(2))).alias("l")
+        )
+        out = two.select(
+            (F.col("o") * 10 + F.col("l")).alias("order_item_id"), F.col("o").alias("order_id"), (F.col("o") % 97).alias("product_id"),
+            F.col("l").alias("quantity"), F.lit("100.00").cast("decimal(10,2)").alias("unit_price"),
+            F.lit("5.00").cast("decimal(5,2)").alias("discount_pct"), now.alias("updated_at"),
+            *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("_ingested_at", "_source", "_batch_id"))
+        )
     else:
         out = rows.limit(0)
     return out.withColumn("updated_at", now)

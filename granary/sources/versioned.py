@@ -96,10 +96,19 @@ class VersionedTable:
         gone = None if step["drop"] == "all" else set(step["drop"])
         folders = [*([] if gone is None else [f for f in now["folders"] if f["name"] not in gone]), *step["add"]]
         rows = sum(f["rows"] for f in folders)
-        return {**{k: step[k] for k in ("version", "operation", "timestamp", "schema")}, "folders": folders, "rows": rows, "once": {**now["once"], **step["once"]}, "state": {**now["state"], **step["state"]}}
-
-    def _commit(self, version: int, operation: str, schema: T.StructType, add: list[dict], drop: list[str] | str = (), once: dict | None = None, state: dict | None = None) -> int:
-        step = {"version": version, "operation": operation, "timestamp": time.time(), "schema": schema.jsonValue(), "add": add, "drop": drop if drop == "all" else list(drop), "once": once or {}, "state": state or {}}
+        return {
+            **{k: step[k] for k in ("version", "operation", "timestamp", "schema")}, "folders": folders, "rows": rows,
+            "once": {**now["once"], **step["once"]}, "state": {**now["state"], **step["state"]}
+        }
+
+    def _commit(
+        self, version: int, operation: str, schema: T.StructType, add: list[dict], drop: list[str] | str = (), once: dict | None = None,
+        state: dict | None = None
+    ) -> int:
+        step = {
+            "version": version, "operation": operation, "timestamp": time.time(), "schema": schema.jsonValue(), "add": add,
+            "drop": drop if drop == "all" else list(drop), "once": once or {}, "state": state or {}
+        }
         if not self._put(f"{version:020d}.json", step):
             raise CommitConflict(f"version {version} of {self.path} is there already")
         if version and version % CHECKPOINT == 0:
@@ -133,7 +142,9 @@ class VersionedTable:
     def history(self) -> DataFrame:
         """version, timestamp, operation, n_rows, newest first."""
         rows = [(m["version"], m["operation"], m["rows"], m["timestamp"]) for m in map(self.manifest, reversed(self.versions()))]
-        return self.spark.createDataFrame(rows, "version long, operation string, n_rows long, seconds double").select("version", F.timestamp_seconds("seconds").alias("timestamp"), "operation", "n_rows")
+        return self.spark.createDataFrame(rows, "version long, operation string, n_rows long, seconds double").select(
+            "version", F.timestamp_seconds("seconds").alias("timestamp"), "operation", "n_rows"
+        )
 
     # -- writing --
 
@@ -174,7 +185,9 @@ class VersionedTable:
         """All rows anew, with the rows' schema."""
         return self.replace(df, "WRITE overwrite")
 
-    def append(self, df: DataFrame, merge_schema: bool = False, partition_by: tuple[str, ...] = (), once: str | None = None, state: dict | None = None) -> int | None:
+    def append(
+        self, df: DataFrame, merge_schema: bool = False, partition_by: tuple[str, ...] = (), once: str | None = None, state: dict | None = None
+    ) -> int | None:
         """Adds rows.  Unknown columns are refused, or added with `merge_schema`.
 
         `once`: "query:number", which is appended once only; numbers of a query rise, so the log keeps the last.  `state` is kept with the
@@ -208,7 +221,9 @@ class VersionedTable:
         both, hit = self._frame(touched, schema).alias("t").join(s, on, "left"), F.col("s._s").isNotNull()
         own = lambda c: F.col(f"t.{c}")
         updated = both.select(*((F.when(hit, update[c]).otherwise(own(c)).cast(schema[c].dataType) if c in update else own(c)).alias(c) for c in schema.names))
-        fresh = s.join(rows.alias("t"), on, "left_anti").select(*((insert[c] if c in insert else F.lit(None)).cast(schema[c].dataType).alias(c) for c in schema.names))
+        fresh = s.join(rows.alias("t"), on, "left_anti").select(
+            *((insert[c] if c in insert else F.lit(None)).cast(schema[c].dataType).alias(c) for c in schema.names)
+        )
         by = {tuple(f["by"]) for f in touched}
         made = self._write(updated.unionByName(fresh), by.pop() if len(by) == 1 else ())
         self._fs.delete(self._of(kept), True)
@@ -230,6 +245,8 @@ class VersionedTable:
         out = None
         for v in self.versions():
             m = self.manifest(v)
-            one = self.read(v).agg(F.count("*").alias("n_rows"), F.count_if(F.expr(condition)).alias("n_matching")).select(F.lit(v).cast("long").alias("version"), F.lit(m["operation"]).alias("operation"), "n_rows", "n_matching")
+            one = self.read(v).agg(F.count("*").alias("n_rows"), F.count_if(F.expr(condition)).alias("n_matching")).select(
+                F.lit(v).cast("long").alias("version"), F.lit(m["operation"]).alias("operation"), "n_rows", "n_matching"
+            )
             out = one if out is None else out.unionAll(one)
         return out

@@ -52,7 +52,10 @@ def windows(events: DataFrame, window: str = WINDOW, delay: str = DELAY) -> Data
     """Per tumbling window and type: n_events, amount (decimal sum, rounded; null without amounts) and, approximately, customers."""
     return (
         events.withWatermark("event_time", delay).groupBy(F.window("event_time", window).alias("w"), "event_type")
-        .agg(F.count("*").alias("n_events"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"), F.approx_count_distinct("customer_id").alias("customers"))
+        .agg(
+            F.count("*").alias("n_events"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"),
+            F.approx_count_distinct("customer_id").alias("customers")
+        )
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n_events", "amount", "customers")
     )
 
@@ -105,5 +108,12 @@ def made_events(spark: SparkSession, n: int, start: str = "2024-01-01 00:00:00",
     kind = F.element_at(F.array(*map(F.lit, ["page_view"] * 3 + ["add_to_cart"] * 2 + ["order_placed"])), (mix(1, 6) + 1).cast("int"))
     late = F.when(mix(2, 20) == 0, (mix(3, 15) + 1) * 60).otherwise(0)
     at = F.timestamp_seconds(F.unix_timestamp(F.lit(start)) + F.floor(k / per_second) - late)
-    body = F.to_json(F.struct(F.concat(F.lit("e"), F.lower(F.hex(k))).alias("event_id"), kind.alias("event_type"), (mix(4, 2000) + 1).cast("int").alias("customer_id"), (mix(5, 200) + 1).cast("int").alias("product_id"), (mix(6, 20) + 1).cast("int").alias("store_id"), F.when(kind == "order_placed", F.round((mix(7, 1980000) + 20000) / 100, 2)).alias("amount"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("event_time")))
+    body = F.to_json(
+        F.struct(
+            F.concat(F.lit("e"), F.lower(F.hex(k))).alias("event_id"), kind.alias("event_type"), (mix(4, 2000) + 1).cast("int").alias("customer_id"),
+            (mix(5, 200) + 1).cast("int").alias("product_id"), (mix(6, 20) + 1).cast("int").alias("store_id"),
+            F.when(kind == "order_placed", F.round((mix(7, 1980000) + 20000) / 100, 2)).alias("amount"),
+            F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("event_time")
+        )
+    )
     return spark.range(n).select(F.pmod(k, F.lit(parts)).cast("int").alias("partition"), F.floor(k / parts).alias("offset"), body.alias("value"))

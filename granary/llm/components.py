@@ -29,11 +29,15 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a and its smaller neighbours go to the least of them
         down = large.select(F.col("b").alias("c"), F.col("a").alias("d"))
         least = down.groupBy("c").agg(F.min("d").alias("m"))
-        small = down.join(least, "c").select(F.col("m").alias("a"), F.col("d").alias("b")).unionAll(least.select(F.col("m").alias("a"), F.col("c").alias("b"))).filter("a < b").distinct()
+        small = down.join(least, "c").select(F.col("m").alias("a"), F.col("d").alias("b")).unionAll(
+            least.select(F.col("m").alias("a"), F.col("c").alias("b"))
+        ).filter("a < b").distinct()
         after = written(small, "edges")
         # stars: no node is both above and below another
         if after.select(F.col("a").alias("x")).join(after.select(F.col("b").alias("x")), "x", "left_semi").limit(1).count() == 0:
             if after.groupBy("b").count().filter("count > 1").limit(1).count() == 0:
                 break
         now = after
-    return after.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(after.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return after.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(
+        after.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    )

@@ -41,7 +41,9 @@ def masks(window: int, misses: int) -> tuple[tuple[int, ...], ...]:
     bad = [sum(1 << p for p in places) for places in itertools.combinations(range(window), misses)]
     for weight in range(window - misses, 0, -1):
         cover: dict[tuple[int, ...], int] = {}
-        spans = itertools.chain.from_iterable(itertools.combinations(range(1, s), weight - 2) for s in range(max(weight, 2) - 1, window)) if weight > 1 else [()]
+        spans = itertools.chain.from_iterable(
+            itertools.combinations(range(1, s), weight - 2) for s in range(max(weight, 2) - 1, window)
+        ) if weight > 1 else [()]
         for inner in spans:
             ends = range(max(inner, default=0) + 1, window) if weight > 1 else [0]
             for last in ends:
@@ -146,7 +148,10 @@ def _overlaps(items):
                 start, end, bounds = c.words()
                 rows = own.overlaps(c.hashes(start, end, K.LOWER), bounds)
                 d, i, first, n, same = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows].take(pa.array(d, pa.int64())), *(pa.array(x, pa.int64()) for x in ([own.ids[k] for k in i], first, n, same))], names=["doc_id", "item_id", "start_word", "n_words", "n_same"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[c.rows].take(pa.array(d, pa.int64())), *(pa.array(x, pa.int64()) for x in ([own.ids[k] for k in i], first, n, same))],
+                    names=["doc_id", "item_id", "start_word", "n_words", "n_same"]
+                )
 
     return run
 

@@ -64,7 +64,10 @@ def _repeated_lines(docs: DataFrame, long_words: int | None) -> DataFrame:
     """The lines that stand twice or more: g_doc, g_text, at, line (index among all), long, name (rank at depth one)."""
     by_hash = _exploded(docs, lambda x, i: F.xxhash64(x).alias("h")).groupBy("h").agg(F.count("*").alias("g_n")).filter("g_n > 1").select("h")
     often = written(by_hash, "repeated-hashes")  # apart, so that a hot line can be split in the join
-    fields = [lambda x, i: i.alias("line"), lambda x, i: F.xxhash64(x).alias("h"), lambda x, i: F.unhex(F.md5(x)).alias("digest"), lambda x, i: _is_long(x, long_words).alias("long")]
+    fields = [
+        lambda x, i: i.alias("line"), lambda x, i: F.xxhash64(x).alias("h"), lambda x, i: F.unhex(F.md5(x)).alias("digest"), lambda x,
+        i: _is_long(x, long_words).alias("long")
+    ]
     lines = written(_exploded(docs, *fields).join(often, "h", "left_semi").drop("h").dropDuplicates(PLACE), "repeated-lines")
     return written(lines.join(_ranked(lines, "digest"), "digest").select(*PLACE, "line", "long", F.col("up").alias("name")), "line-names")
 
@@ -93,7 +96,9 @@ def _refined(active: DataFrame, names: DataFrame, step: int, kind: int) -> DataF
     # intervals in which no suffix stays need no shadows
     left = asked.groupBy(*INTERVAL).agg(F.count_if("real").alias("g_n")).unionAll(groups.groupBy(*INTERVAL).agg(-F.sum("g_real")))
     waiting = left.groupBy(*INTERVAL).agg(F.sum("g_n").alias("g_n")).filter("g_n > 0").select(*INTERVAL)
-    tried = asked.filter("ext is not null").join(groups.select(*INTERVAL, "ext", "g_child", "g_real"), [*INTERVAL, "ext"], "left").filter("g_child is null or g_real > 0")
+    tried = asked.filter("ext is not null").join(
+        groups.select(*INTERVAL, "ext", "g_child", "g_real"), [*INTERVAL, "ext"], "left"
+    ).filter("g_child is null or g_real > 0")
     deeper = F.col("g_child").isNotNull()
     after = tried.select(
         *PLACE, (F.col("depth") + F.when(deeper, step).otherwise(0)).alias("depth"), F.when(deeper, kind).otherwise(F.col("kind")).alias("kind"),
@@ -147,13 +152,17 @@ def copies(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = LON
 def _keyed(docs: DataFrame) -> DataFrame:
     """`docs` with what tells documents apart, and orders them: g_doc and 60 bits of the text's digest, g_text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("g_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))).withColumn("g_text", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
+    return docs.withColumn(
+        "g_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
+    ).withColumn("g_text", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
 
 
 def without_runs(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = LONG_WORDS) -> DataFrame:
     """`docs` with text less the deleted lines, and g_lines, g_deleted: how many lines a text has, and how many were deleted."""
     keyed = _keyed(docs)
-    gone = copies(with_text(keyed, *KEY), min_run, long_words).groupBy(*(F.col(k).alias(f"m_{k}") for k in KEY)).agg(F.sort_array(F.collect_list("line")).alias("d"))
+    gone = copies(with_text(keyed, *KEY), min_run, long_words).groupBy(*(F.col(k).alias(f"m_{k}") for k in KEY)).agg(
+        F.sort_array(F.collect_list("line")).alias("d")
+    )
     # a byte for each line up to the last deleted one: 1 is deleted; bytes, unlike characters, are found at once
     zeros = lambda x, j: F.concat(F.repeat(F.lit("0"), x - F.when(j > 0, F.get("d", j - 1) + 1).otherwise(0)), F.lit("1"))
     masks = gone.select("m_g_doc", "m_g_text", F.size("d").alias("g_deleted"), F.array_join(F.transform("d", zeros), "").cast("binary").alias("g_mask"))
@@ -161,7 +170,10 @@ def without_runs(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: F.substr(F.col("g_mask"), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     text = F.when(F.col("g_mask").isNull(), F.col("text")).otherwise(kept)
-    return both.select(*[F.col(c) for c in docs.columns if c != "text"], text.alias("text"), F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("g_lines"), F.coalesce("g_deleted", F.lit(0)).cast("long").alias("g_deleted")).select(*docs.columns, "g_lines", "g_deleted")
+    return both.select(
+        *[F.col(c) for c in docs.columns if c != "text"], text.alias("text"), F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("g_lines"),
+        F.coalesce("g_deleted", F.lit(0)).cast("long").alias("g_deleted")
+    ).select(*docs.columns, "g_lines", "g_deleted")
 
 
 def line_dedup(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = LONG_WORDS) -> DataFrame:

@@ -236,7 +236,10 @@ def _pieces(tokenizer: str, size: int, end: int, dtype: str):
                 at = np.append(bounds[row] + start, bounds[-1]) * width  # pieces stand end to end
                 ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(tokens.tobytes())])
                 take = pa.array(row + c.rows.start)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(length), pa.array(n[row]), ids], names=["g_row", "doc_id", "start", "length", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(start), pa.array(length), pa.array(n[row]), ids],
+                    names=["g_row", "doc_id", "start", "length", "doc_tokens", "ids"]
+                )
 
     return run
 
@@ -244,7 +247,10 @@ def _pieces(tokenizer: str, size: int, end: int, dtype: str):
 def tokenised(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, dtype: str = "<u2") -> DataFrame:
     """The pieces before packing, in the shared folder: g_row, doc_id, start, length, doc_tokens, ids (bytes of `dtype`)."""
     rows = with_text(docs.select(F.monotonically_increasing_id().alias("g_row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "g_row", "doc_id")
-    return written(map_arrow(rows, _pieces(tokenizer, size, end, dtype), "g_row bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"), "pieces")
+    return written(
+        map_arrow(rows, _pieces(tokenizer, size, end, dtype), "g_row bigint, doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"),
+        "pieces"
+    )
 
 
 def _assigned(plan):
@@ -255,7 +261,10 @@ def _assigned(plan):
             row, cut, part, sequence, offset = own_plan.assign(length, rank)
             own = batch.select(["g_row", "doc_id", "start", "doc_tokens"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1), own.column(2), pa.array(own.column(2).to_numpy() + cut), pa.array(part), own.column(3), pa.array(sequence), pa.array(offset), pa.array(batch.column("length").to_numpy()[row] != part)],
+                [
+                    own.column(0), own.column(1), own.column(2), pa.array(own.column(2).to_numpy() + cut), pa.array(part), own.column(3),
+                    pa.array(sequence), pa.array(offset), pa.array(batch.column("length").to_numpy()[row] != part)
+                ],
                 names=["g_row", "doc_id", "g_start", "start", "length", "doc_tokens", "sequence_id", "offset", "g_cut"],
             )
 
@@ -274,12 +283,17 @@ def pack(pieces: DataFrame, size: int = SIZE, tolerance: int = TOLERANCE, bucket
     keyed = pieces.select("g_row", "doc_id", "start", "length", "doc_tokens", F.pmod(F.xxhash64("g_row", "start"), buckets).alias("g_bucket"))
     sizes = written(keyed.groupBy("length", "g_bucket").agg(F.count("*").alias("g_n")), "length-buckets")
     over = Window.partitionBy("length").orderBy("g_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(F.col("length").alias("b_length"), F.col("g_bucket").alias("b_bucket"), F.coalesce(F.sum("g_n").over(over), F.lit(0)).alias("g_before"))
+    before = sizes.select(
+        F.col("length").alias("b_length"), F.col("g_bucket").alias("b_bucket"), F.coalesce(F.sum("g_n").over(over), F.lit(0)).alias("g_before")
+    )
     rank = F.row_number().over(Window.partitionBy("length", "g_bucket").orderBy("doc_id", "g_row", "start")) - 1
     # merged, not broadcast: the ranked pieces lie by length and bucket already
     ranked = keyed.withColumn("g_within", rank).join(before.hint("merge"), (F.col("length") == F.col("b_length")) & (F.col("g_bucket") == F.col("b_bucket")))
     ranked = ranked.select("g_row", "doc_id", "start", "length", "doc_tokens", (F.col("g_within") + F.col("g_before")).cast("long").alias("g_rank"))
-    return map_arrow(ranked, _assigned(plan), "g_row bigint, doc_id bigint, g_start bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, g_cut boolean")
+    return map_arrow(
+        ranked, _assigned(plan),
+        "g_row bigint, doc_id bigint, g_start bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, g_cut boolean"
+    )
 
 
 def _checksums(dtype: str):
@@ -302,7 +316,12 @@ def checksums(packed: DataFrame, pieces: DataFrame, dtype: str = "<u2") -> DataF
     ids = pieces.select("g_row", F.col("start").alias("g_start"), F.col("ids").alias("g_ids"))
     part = F.expr(f"substring(g_ids, cast((start - g_start) * {width} + 1 as int), cast(length * {width} as int))")
     looked = cut.join(ids, ["g_row", "g_start"]).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", part.alias("ids"))
-    return whole.unionByName(map_arrow(looked, _checksums(dtype), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint").select(columns))
+    return whole.unionByName(
+        map_arrow(
+            looked, _checksums(dtype),
+            "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
+        ).select(columns)
+    )
 
 
 def sequences(packed: DataFrame, pieces: DataFrame, dtype: str = "<u2") -> DataFrame:
@@ -313,4 +332,7 @@ def sequences(packed: DataFrame, pieces: DataFrame, dtype: str = "<u2") -> DataF
     one = packed.join(ids, ["g_row", "g_start"]).select("sequence_id", F.struct("offset", "length", "doc_id", "start", part.alias("ids")).alias("p"))
     put = one.groupBy("sequence_id").agg(F.sort_array(F.collect_list("p")).alias("p"))  # at most `size` pieces of one token
     joined = F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))")
-    return put.select("sequence_id", F.expr("aggregate(p, 0L, (a, x) -> a + x.length)").alias("n_tokens"), joined.alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.start").alias("starts"))
+    return put.select(
+        "sequence_id", F.expr("aggregate(p, 0L, (a, x) -> a + x.length)").alias("n_tokens"), joined.alias("ids"), F.col("p.doc_id").alias("doc_ids"),
+        F.col("p.start").alias("starts")
+    )

@@ -35,15 +35,21 @@ def _name(column) -> F.Column:
 def views(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """One row per conversation, participant and part: conv_id, perspective, part, n_turns, text, mask (array of start, end in characters of the part)."""
     turns = conversations.filter("conv_id is not null and turn is not null").select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _name(F.coalesce("role", F.lit(UNKNOWN))).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text")
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _name(
+            F.coalesce("role", F.lit(UNKNOWN))
+        ).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text")
     ).distinct()
-    parts = turns.groupBy("conv_id", F.floor(F.col("turn") / part_turns).alias("part")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    parts = turns.groupBy("conv_id", F.floor(F.col("turn") / part_turns).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    )
     speakers = turns.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("g_conv"), F.col("role").alias("perspective")).distinct()
     both = parts.join(speakers, F.col("conv_id") == F.col("g_conv")).drop("g_conv")
 
     def said(x) -> F.Column:
         own = x["role"] == F.col("perspective")
-        head = F.when(own, F.lit("<|assistant|>\n")).when(x["role"] == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user:"), x["role"], F.lit("|>\n")))
+        head = F.when(own, F.lit("<|assistant|>\n")).when(x["role"] == SYSTEM, F.lit("<|system|>\n")).otherwise(
+            F.concat(F.lit("<|user:"), x["role"], F.lit("|>\n"))
+        )
         return F.struct(own.alias("own"), head.alias("head"), F.concat(x["text"], F.lit(END)).alias("body"))
 
     none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
@@ -51,10 +57,17 @@ def views(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     def grow(a, x) -> F.Column:
         start = (a["at"] + F.length(x["head"])).cast("long")
         end = (start + F.length(x["body"])).cast("long")
-        return F.struct(end.alias("at"), F.when(x["own"], F.array_append(a["spans"], F.struct(start.alias("start"), end.alias("end")))).otherwise(a["spans"]).alias("spans"))
+        return F.struct(
+            end.alias("at"),
+            F.when(x["own"], F.array_append(a["spans"], F.struct(start.alias("start"), end.alias("end")))).otherwise(a["spans"]).alias("spans")
+        )
 
     said_all = both.withColumn("g_said", F.transform("turns", said))
-    return said_all.select("conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("g_said", lambda x: F.concat(x["head"], x["body"])), "").alias("text"), F.aggregate("g_said", none, grow, lambda a: a["spans"]).alias("mask"))
+    return said_all.select(
+        "conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("g_said", lambda x: F.concat(x["head"], x["body"])), "").alias("text"),
+        F.aggregate("g_said", none, grow, lambda a: a["spans"]).alias("mask")
+    )
 
 
 def with_mask_text(found: DataFrame) -> DataFrame:

@@ -47,7 +47,9 @@ def statistics(c: K.Chunk) -> np.ndarray:
     d = c.data
     return np.column_stack([
         np.log1p(n), np.log1p(lines), np.log1p(mean), np.sqrt(m["n_symbols"] / chars), np.sqrt(share((d >= 48) & (d <= 57))), np.sqrt(share((d >= 65) & (d <= 90))),
-        np.sqrt(share(np.isin(d, np.frombuffer(b".,;:!?", np.uint8)))), np.log1p(spread), np.sqrt(m["n_dup_lines"] / lines), np.sqrt(m["n_repeat_words"] / some), variety, np.log1p(n / lines),
+        np.sqrt(
+            share(np.isin(d, np.frombuffer(b".,;:!?", np.uint8)))
+        ), np.log1p(spread), np.sqrt(m["n_dup_lines"] / lines), np.sqrt(m["n_repeat_words"] / some), variety, np.log1p(n / lines),
     ])
 
 
@@ -128,10 +130,17 @@ def held_out() -> F.Column:
 
 def classify(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, pooling: float = POOLING) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score (0 to 1), predicted; learnt from labels.quality of rows not held out."""
-    x = written(map_arrow(with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), _statistics, "doc_id bigint, g_x array<double>"), "statistics")
-    known = labels.filter("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("g_label")).filter(~held_out())
+    x = written(
+        map_arrow(with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), _statistics, "doc_id bigint, g_x array<double>"),
+        "statistics"
+    )
+    known = labels.filter("quality in (0, 1)").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("g_label")
+    ).filter(~held_out())
     train = x.join(known, "doc_id").select("g_label", "g_x")
-    sums = map_arrow(train, _products, "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).collect()  # 2 (p + 1)**2 rows
+    sums = map_arrow(
+        train, _products, "label int, place int, value double"
+    ).groupBy("label", "place").agg(F.sum("value").alias("value")).collect()  # 2 (p + 1)**2 rows
     p = len(STATISTICS) + 1
     products = np.zeros((2, p * p))
     for r in sums:

@@ -79,7 +79,12 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(at))
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [ids[c.rows], source[c.rows], *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), digest[c.rows], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lines) if lines else [], pa.int64())), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts) if counts else [], pa.int32()))],
+                [
+                    ids[c.rows], source[c.rows],
+                    *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+                    digest[c.rows], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lines) if lines else [], pa.int64())),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts) if counts else [], pa.int32()))
+                ],
                 names=["g_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "g_text", "g_lines", "g_counts"],
             )
 
@@ -100,13 +105,18 @@ def _digest() -> F.Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
-def _judged(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, depleted_percent: int = DEPLETED_PERCENT, id_column: str = "doc_id") -> DataFrame:
+def _judged(
+    docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, depleted_percent: int = DEPLETED_PERCENT, id_column: str = "doc_id"
+) -> DataFrame:
     """quality_rules() with the host, source, and the text's digest, g_text, of each row.
 
     Frequent lines meet documents in a join on (host, line) whose small side is unique, and AQE splits what a hot line makes large.
     """
     named = docs.select(F.col(id_column).cast("long").alias("g_id"), F.col("source").cast("string").alias("source"), _digest().alias("g_text"), "text")
-    measured = written(map_arrow(with_text(named, "g_id", "source", "g_text"), _measured, MEASURES).withColumn("g_row", F.monotonically_increasing_id()), "line-measures")
+    measured = written(
+        map_arrow(with_text(named, "g_id", "source", "g_text"), _measured, MEASURES).withColumn("g_row", F.monotonically_increasing_id()),
+        "line-measures"
+    )
     frequent = written(frequent_lines(measured, min_documents, share), "frequent-lines")
     lines = measured.select("g_row", "source", F.explode(F.arrays_zip("g_lines", "g_counts")).alias("g"))
     lines = lines.select("g_row", F.col("source").alias("g_of"), F.col("g.g_lines").alias("g_at"), F.col("g.g_counts").alias("g_words"))
@@ -118,7 +128,9 @@ def _judged(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float =
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured.join(lost, F.col("g_row") == F.col("g_hit"), "left").select(
         "source", "g_text", F.col("g_id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("removed_words"),
-        F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"), failed.alias("base_failed"), (~failed & (100 * removed <= depleted_percent * F.col("n_words"))).alias("kept"),
+        F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"), failed.alias("base_failed"), (
+            ~failed & (100 * removed <= depleted_percent * F.col("n_words"))
+        ).alias("kept"),
     )
 
 

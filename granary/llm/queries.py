@@ -60,5 +60,12 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, *warc.convert(arcs, files)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_perspectives, op2_sparse_suffixes, op3_spaced_seeds, op4_line_frequency, op5_shrunk_qda, op6_simple8b, op7_line_runs, op8_arc_to_warc, op9_simhash, op10_cutting_stock)}
-ORACLES: dict[str, str] = {"op1_perspectives": perspectives.SQL, "op4_line_frequency": quality_rules.SQL, "op7_line_runs": line_runs.SQL, "op8_arc_to_warc": warc.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (
+        op1_perspectives, op2_sparse_suffixes, op3_spaced_seeds, op4_line_frequency, op5_shrunk_qda, op6_simple8b, op7_line_runs, op8_arc_to_warc,
+        op9_simhash, op10_cutting_stock
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_perspectives": perspectives.SQL, "op4_line_frequency": quality_rules.SQL, "op7_line_runs": line_runs.SQL, "op8_arc_to_warc": warc.SQL
+}

@@ -86,7 +86,9 @@ def _fingerprints(size: int):
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, g_print): the fingerprint as a signed long."""
-    return map_arrow(with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), _fingerprints(size), "doc_id bigint, g_print bigint")
+    return map_arrow(
+        with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), _fingerprints(size), "doc_id bigint, g_print bigint"
+    )
 
 
 def _halves(column) -> list:
@@ -117,14 +119,23 @@ def print_components(prints: DataFrame, distance: int = DISTANCE, crowd: int = C
     dense = written(dense, "crowded-prints")
     meet = _balls(dense, 64, "g_print")
     star = meet.groupBy("g_key").agg(F.min("g_print").alias("g_least"), F.count("*").alias("g_n")).filter("g_n > 1").drop("g_n")
-    near = meet.join(star, "g_key").filter("g_print != g_least").select(F.col("g_least").alias("a"), F.col("g_print").alias("b")).distinct() if distance >= 2 else None
+    near = meet.join(star, "g_key").filter("g_print != g_least").select(
+        F.col("g_least").alias("a"), F.col("g_print").alias("b")
+    ).distinct() if distance >= 2 else None
     first = written(components(near), "first-groups") if near is not None else None
-    grouped = prints.join(first, F.col("g_print") == F.col("node"), "left").select("g_print", F.coalesce("component", "g_print").alias("g_group")) if first is not None else prints.withColumn("g_group", F.col("g_print"))
+    grouped = prints.join(first, F.col("g_print") == F.col("node"), "left").select(
+        "g_print", F.coalesce("component", "g_print").alias("g_group")
+    ) if first is not None else prints.withColumn("g_group", F.col("g_print"))
     grouped = written(grouped, "prints")
     asked = _balls(grouped, 32, "g_print", "g_group")
-    held = _table(grouped.select(F.col("g_print").alias("h_print"), F.col("g_group").alias("h_group")).withColumn("g_print", F.col("h_print")), "h_print", "h_group")
+    held = _table(
+        grouped.select(F.col("g_print").alias("h_print"), F.col("g_group").alias("h_group")).withColumn("g_print", F.col("h_print")), "h_print",
+        "h_group"
+    )
     close = F.bit_count(F.col("g_print").bitwiseXOR(F.col("h_print"))) <= distance
-    links = asked.join(held, (asked.g_segment == held.g_segment) & (asked.g_key == held.g_key) & (F.col("g_group") < F.col("h_group")) & close).select(F.col("g_group").alias("a"), F.col("h_group").alias("b")).distinct()
+    links = asked.join(
+        held, (asked.g_segment == held.g_segment) & (asked.g_key == held.g_key) & (F.col("g_group") < F.col("h_group")) & close
+    ).select(F.col("g_group").alias("a"), F.col("h_group").alias("b")).distinct()
     if first is not None:
         links = links.unionAll(first.select(F.col("component").alias("a"), F.col("node").alias("b")))
     return components(links)
@@ -141,7 +152,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     linked = classes.join(found, F.col("g_print") == F.col("node"), "left").withColumn("g_top", F.coalesce("component", "g_print"))
     least = linked.groupBy("g_top").agg(F.min("g_first").alias("component_id"))
     named = linked.select("g_print", "g_top").join(least, "g_top").select(F.col("g_print").alias("g_of"), "component_id")
-    return prints.join(named, F.col("g_print") == F.col("g_of")).select("doc_id", F.lower(F.lpad(F.hex("g_print"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, F.col("g_print") == F.col("g_of")).select(
+        "doc_id", F.lower(F.lpad(F.hex("g_print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
 
 
 def shingles(c: K.Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +198,10 @@ def _described(size: int):
                 prints = np.array([fingerprint(raw[a:b], size) for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True)], np.uint64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[c.rows], batch.column(1)[c.rows], pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64), mask=~has), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))],
+                    [
+                        batch.column(0)[c.rows], batch.column(1)[c.rows], pa.array(prints.view(np.int64)), pa.array(sets.view(np.int64), mask=~has),
+                        pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))
+                    ],
                     names=["g_doc", "g_text", "g_print", "g_set", "g_bands"],
                 )
 
@@ -197,7 +213,10 @@ def _sets(size: int):
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 g, first = shingles(c, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))], names=["g_set", "g_shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[c.rows], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))],
+                    names=["g_set", "g_shingles"]
+                )
 
     return run
 
@@ -217,7 +236,9 @@ def similar_sets(described: DataFrame, keyed: DataFrame, similar: float, size: i
     """Links (a, b) of g_set whose components are those of all similar pairs; `keyed` has g_doc, g_text, text."""
     sets = described.filter("g_set is not null").groupBy("g_set").agg(F.min(F.struct("g_doc", "g_text")).alias("g_row"), F.first("g_bands").alias("g_bands"))
     keys = written(sets.select("g_set", "g_row", F.explode("g_bands").alias("g_key")), "band-keys")
-    hubs = keys.groupBy("g_key").agg(F.count("*").alias("g_n"), F.min(F.struct(F.xxhash64("g_set", "g_key"), "g_set"))["g_set"].alias("g_hub")).filter("g_n > 1").drop("g_n")
+    hubs = keys.groupBy("g_key").agg(
+        F.count("*").alias("g_n"), F.min(F.struct(F.xxhash64("g_set", "g_key"), "g_set"))["g_set"].alias("g_hub")
+    ).filter("g_n > 1").drop("g_n")
     members = written(keys.join(written(hubs, "band-hubs"), "g_key"), "band-members")
     asked = members.select("g_set", F.col("g_row.g_doc").alias("m_doc"), F.col("g_row.g_text").alias("m_text")).distinct()
     own = keyed.join(asked, F.col("g_doc").eqNullSafe(F.col("m_doc")) & (F.col("g_text") == F.col("m_text"))).select("g_set", "text")

@@ -142,7 +142,9 @@ class Writer:
         self._flush(True)
         none = [np.zeros(0, np.int64)]
         sizes, escapes = np.concatenate(self.sizes or none), np.concatenate(self.escapes or none)
-        directory = np.concatenate([np.cumsum(sizes) - sizes, [sizes.sum()], escapes, np.array(self.ids, np.int64), np.array(self.counts, np.int64)]).astype("<i8").tobytes()
+        directory = np.concatenate(
+            [np.cumsum(sizes) - sizes, [sizes.sum()], escapes, np.array(self.ids, np.int64), np.array(self.counts, np.int64)]
+        ).astype("<i8").tobytes()
         self.out.write(directory + struct.pack("<qq", len(sizes), len(self.ids)) + MAGIC)
         return sum(self.counts)
 

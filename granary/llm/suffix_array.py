@@ -70,10 +70,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, prefix = retained(c.hashes(start, end, K.LOWER), bounds)
             doc = np.searchsorted(bounds, own, "right") - 1
             row = pa.array(doc + c.rows.start)
-            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array((own - bounds[doc]).astype(np.int32))], names=["g_prefix", *KEY, "g_at"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(prefix.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array((own - bounds[doc]).astype(np.int32))],
+                names=["g_prefix", *KEY, "g_at"]
+            )
 
 
-PLACE = pa.schema([("g_task", pa.int32()), ("g_end", pa.int8()), ("g_prefix", pa.int64()), ("g_doc", pa.int64()), ("g_text", pa.int64()), ("g_at", pa.int32()), ("p_doc", pa.int64()), ("p_text", pa.int64()), ("p_at", pa.int32())])
+PLACE = pa.schema(
+    [
+        ("g_task", pa.int32()), ("g_end", pa.int8()), ("g_prefix", pa.int64()), ("g_doc", pa.int64()), ("g_text", pa.int64()), ("g_at", pa.int32()),
+        ("p_doc", pa.int64()), ("p_text", pa.int64()), ("p_at", pa.int32())
+    ]
+)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +93,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(table: pa.Table, end: int, before: pa.Table | None) -> pa.RecordBatch:
         n = table.num_rows
         other = [before.column(k).combine_chunks() for k in (1, 2, 3)] if before is not None else [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, end, np.int8)), *(x.combine_chunks() for x in table.columns), *other], schema=PLACE)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, end, np.int8)), *(x.combine_chunks() for x in table.columns), *other],
+            schema=PLACE
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -106,10 +117,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(sorted_suffixes: DataFrame) -> DataFrame:
     """Each suffix with the equal one before it: (g_doc, g_text, g_at, p_doc, p_text, p_at); also where a task ends between them."""
-    made = written(map_arrow(sorted_suffixes, _neighbours, ", ".join(f"{f.name} {dict(int8='tinyint', int32='int', int64='bigint')[str(f.type)]}" for f in PLACE)), "neighbours")
+    made = written(
+        map_arrow(sorted_suffixes, _neighbours, ", ".join(f"{f.name} {dict(int8='tinyint', int32='int', int64='bigint')[str(f.type)]}" for f in PLACE)),
+        "neighbours"
+    )
     inner = made.filter("g_end = 0")
     # two rows a task: the last suffix of a task is the neighbour of the first of the next one that has any
-    ends = made.filter("g_end > 0").groupBy("g_task").agg(*(F.max(F.when(F.col("g_end") == k, F.struct("g_prefix", "g_doc", "g_text", "g_at"))).alias(n) for k, n in ((1, "first"), (2, "last"))))
+    ends = made.filter("g_end > 0").groupBy("g_task").agg(
+        *(F.max(F.when(F.col("g_end") == k, F.struct("g_prefix", "g_doc", "g_text", "g_at"))).alias(n) for k, n in ((1, "first"), (2, "last")))
+    )
     met = ends.withColumn("before", F.lag("last").over(Window.orderBy("g_task"))).filter("before.g_prefix = first.g_prefix")
     across = met.select(*(F.col(f"first.{c}").alias(c) for c in (*KEY, "g_at")), *(F.col(f"before.{c}").alias(f"p{c[1:]}") for c in (*KEY, "g_at")))
     return inner.select(*KEY, "g_at", "p_doc", "p_text", "p_at").unionByName(across).filter("not (g_doc <=> p_doc and g_text = p_text and g_at = p_at)")
@@ -141,7 +157,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x in asked[c.rows.start + i].as_py():
                     rows.append((x["g_match"], x["g_role"], own[max(x["a"] - REACH, 0) : x["a"]][::-1], own[x["b"] : x["b"] + REACH]))
             m, r, left, right = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(r, pa.int32()), pa.array(list(left), pa.list_(pa.int64())), pa.array(list(right), pa.list_(pa.int64()))], names=["g_match", "g_role", "g_left", "g_right"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(m, pa.int64()), pa.array(r, pa.int32()), pa.array(list(left), pa.list_(pa.int64())), pa.array(list(right), pa.list_(pa.int64()))],
+                names=["g_match", "g_role", "g_left", "g_right"]
+            )
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -152,9 +171,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _extended(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """The matches with g_from and g_to moved outwards while both texts agree."""
     ask = lambda role, doc, text, shift: matches.select(F.col(doc).alias("m_doc"), F.col(text).alias("m_text"), F.struct("g_match", F.lit(role).alias("g_role"), (F.col("g_from") - shift).alias("a"), (F.col("g_to") - shift).alias("b")).alias("x"))
-    asked = ask(0, "g_doc", "g_text", F.lit(0)).unionAll(ask(1, "p_doc", "p_text", F.col("g_shift"))).groupBy("m_doc", "m_text").agg(F.collect_list("x").alias("asked"))
+    asked = ask(0, "g_doc", "g_text", F.lit(0)).unionAll(
+        ask(1, "p_doc", "p_text", F.col("g_shift"))
+    ).groupBy("m_doc", "m_text").agg(F.collect_list("x").alias("asked"))
     own = docs.join(asked, F.col("g_doc").eqNullSafe(F.col("m_doc")) & (F.col("g_text") == F.col("m_text"))).select("text", "asked")
-    sides = map_arrow(own, _contexts, SIDES).groupBy("g_match").agg(*(F.max(F.when(F.col("g_role") == k, F.col(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("g_left", "g_right")))
+    sides = map_arrow(own, _contexts, SIDES).groupBy("g_match").agg(
+        *(F.max(F.when(F.col("g_role") == k, F.col(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("g_left", "g_right"))
+    )
 
     def agree(side: str):
         least = F.least(F.size(f"{side}0"), F.size(f"{side}1"))
@@ -162,7 +185,9 @@ def _extended(docs: DataFrame, matches: DataFrame) -> DataFrame:
         return F.when(differ > 0, F.least(differ - 1, least)).otherwise(least).cast("int")
 
     grown = sides.select(F.col("g_match").alias("m_match"), agree("g_left").alias("g_more_left"), agree("g_right").alias("g_more_right"))
-    return matches.join(grown, F.col("g_match") == F.col("m_match")).withColumn("g_from", F.col("g_from") - F.col("g_more_left")).withColumn("g_to", F.col("g_to") + F.col("g_more_right"))
+    return matches.join(grown, F.col("g_match") == F.col("m_match")).withColumn(
+        "g_from", F.col("g_from") - F.col("g_more_left")
+    ).withColumn("g_to", F.col("g_to") + F.col("g_more_right"))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +204,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for part in np.array_split(at, len(at) // (1 << 16) + 1):
                     h = K.span_hash(sums, bounds[i] + part, bounds[i] + part + MIN_WORDS).view(np.int64)
                     own = pa.array(np.full(len(part), row))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(own), batch.column(1).take(own), pa.array(part.astype(np.int32))], names=["g_window", *KEY, "g_at"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h), batch.column(0).take(own), batch.column(1).take(own), pa.array(part.astype(np.int32))],
+                        names=["g_window", *KEY, "g_at"]
+                    )
 
 
 def _later_windows(docs: DataFrame, kept: DataFrame, often: DataFrame) -> DataFrame:
     """(g_doc, g_text, g_from, g_to, p_doc): windows that are not the first of their hash, and the document of the first."""
-    asked = kept.join(often, "g_prefix", "left_semi").groupBy(F.col("g_doc").alias("m_doc"), F.col("g_text").alias("m_text")).agg(F.collect_list("g_at").alias("asked"))
+    asked = kept.join(often, "g_prefix", "left_semi").groupBy(
+        F.col("g_doc").alias("m_doc"), F.col("g_text").alias("m_text")
+    ).agg(F.collect_list("g_at").alias("asked"))
     own = docs.join(asked, F.col("g_doc").eqNullSafe(F.col("m_doc")) & (F.col("g_text") == F.col("m_text"))).select(*KEY, "text", "asked")
     made = written(map_arrow(own, _windows, "g_window bigint, g_doc bigint, g_text bigint, g_at int"), "windows")
     place = F.struct(*KEY, "g_at")
@@ -198,7 +228,9 @@ def spans(docs: DataFrame) -> DataFrame:
     prefix = MIN_WORDS - SPREAD + 1
     keyed = _keyed(docs)
     suffixes = written(map_arrow(keyed.select(*KEY, "text"), _suffixes, "g_prefix bigint, g_doc bigint, g_text bigint, g_at int"), "suffixes")
-    twice = written(suffixes.groupBy("g_prefix").agg(F.count("*").alias("g_n")).filter("g_n > 1"), "repeated-prefixes")  # apart, so that the join below can be split
+    twice = written(
+        suffixes.groupBy("g_prefix").agg(F.count("*").alias("g_n")).filter("g_n > 1"), "repeated-prefixes"
+    )  # apart, so that the join below can be split
     kept = written(suffixes.join(twice, "g_prefix", "left_semi"), "repeated-suffixes")
     windows = _later_windows(keyed, kept, twice.filter("g_n > 2"))
     ordered = kept.repartitionByRange("g_prefix", *KEY, "g_at").sortWithinPartitions("g_prefix", *KEY, "g_at")
@@ -206,13 +238,18 @@ def spans(docs: DataFrame) -> DataFrame:
     grown = _extended(keyed, matches).select(*KEY, "g_from", "g_to", "p_doc").unionByName(windows)
     order = Window.partitionBy(*KEY).orderBy("g_from", "g_to")
     fresh = F.coalesce((F.col("g_from") > F.max("g_to").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
-    return grown.withColumn("g_new", fresh).withColumn("g_island", F.sum("g_new").over(order)).groupBy(*KEY, "g_island").agg(F.min("g_from").alias("g_from"), F.max("g_to").alias("g_to"), F.collect_set("p_doc").alias("sources")).drop("g_island")
+    return grown.withColumn("g_new", fresh).withColumn("g_island", F.sum("g_new").over(order)).groupBy(*KEY, "g_island").agg(
+        F.min("g_from").alias("g_from"), F.max("g_to").alias("g_to"), F.collect_set("p_doc").alias("sources")
+    ).drop("g_island")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per document with repeats: doc_id, n_spans, n_words (in repeats), spans (start and end in words, in order), source_ids (sorted)."""
     span = F.sort_array(F.collect_list(F.struct(F.col("g_from").alias("start"), F.col("g_to").alias("end")))).alias("spans")
-    found = spans(docs).groupBy(*KEY).agg(F.count("*").alias("n_spans"), F.sum(F.col("g_to") - F.col("g_from")).alias("n_words"), span, F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("source_ids"))
+    found = spans(docs).groupBy(*KEY).agg(
+        F.count("*").alias("n_spans"), F.sum(F.col("g_to") - F.col("g_from")).alias("n_words"), span,
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("source_ids")
+    )
     return found.select(F.col("g_doc").alias("doc_id"), "n_spans", "n_words", "spans", "source_ids")
 
 
@@ -234,7 +271,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts.append(raw[place:first])
                     place = int(end[own][s["g_to"] - 1])
                 texts[c.rows.start + i] = b"".join([*parts, raw[place:stop]]).decode()
-        yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if k == at else x for k, x in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(texts, batch.schema.field(at).type) if k == at else x for k, x in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1]
+        )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -53,7 +53,9 @@ class _Shard:
         self.out.close()
         put_in_place(self.fs, self.part, self.target)
         long = pa.int64()
-        return pa.RecordBatch.from_pydict({"shard": pa.array([self.number], long), "file": [self.name], "documents": pa.array([len(self.writer.ids)], long), "tokens": pa.array([n], long)})
+        return pa.RecordBatch.from_pydict(
+            {"shard": pa.array([self.number], long), "file": [self.name], "documents": pa.array([len(self.writer.ids)], long), "tokens": pa.array([n], long)}
+        )
 
 
 def _writer(folder: str, tokenizer: str, end: int, shard_ids: int, shard_documents: int):
@@ -79,7 +81,9 @@ def _writer(folder: str, tokenizer: str, end: int, shard_ids: int, shard_documen
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = END, shard_ids: int = SHARD_IDS, shard_documents: int = SHARD_DOCUMENTS) -> tuple[str, DataFrame]:
+def write_tokens(
+    docs: DataFrame, tokenizer: str, folder: str | None = None, end: int = END, shard_ids: int = SHARD_IDS, shard_documents: int = SHARD_DOCUMENTS
+) -> tuple[str, DataFrame]:
     """Writes the shards; returns their folder and the manifest (shard, file, documents, tokens, start: ids in all shards before)."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")

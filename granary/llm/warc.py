@@ -170,11 +170,20 @@ def converted(file: str, at: int, fields: dict[str, str], body: bytes, revisits:
     """The WARC record of an ARC record; `revisits`: id, URL, date and page id of the response with the same payload."""
     head, payload = split_http(body)
     kind = "response" if head else "resource"
-    common = [("WARC-Type", "revisit" if revisits else kind), ("WARC-Record-ID", record_id(file, at)), ("WARC-Date", iso(fields["Archive-date"])), ("WARC-Target-URI", fields["URL"]), ("WARC-IP-Address", fields["IP-address"]), ("WARC-Payload-Digest", sha1_name(payload))]
+    common = [
+        ("WARC-Type", "revisit" if revisits else kind), ("WARC-Record-ID", record_id(file, at)), ("WARC-Date", iso(fields["Archive-date"])),
+        ("WARC-Target-URI", fields["URL"]), ("WARC-IP-Address", fields["IP-address"]), ("WARC-Payload-Digest", sha1_name(payload))
+    ]
     if revisits:
-        common += [("WARC-Profile", PROFILE), ("WARC-Refers-To", revisits[0]), ("WARC-Refers-To-Target-URI", revisits[1]), ("WARC-Refers-To-Date", iso(revisits[2])), ("X-Refers-To-Page-Id", str(revisits[3])), ("X-Payload-Length", str(len(payload)))]
+        common += [
+            ("WARC-Profile", PROFILE), ("WARC-Refers-To", revisits[0]), ("WARC-Refers-To-Target-URI", revisits[1]),
+            ("WARC-Refers-To-Date", iso(revisits[2])), ("X-Refers-To-Page-Id", str(revisits[3])), ("X-Payload-Length", str(len(payload)))
+        ]
     block = head if revisits else body
-    return warc_record([*common, ("WARC-Block-Digest", sha1_name(block)), ("Content-Type", "application/http; msgtype=response" if head else fields["Content-type"])], block)
+    return warc_record(
+        [*common, ("WARC-Block-Digest", sha1_name(block)), ("Content-Type", "application/http; msgtype=response" if head else fields["Content-type"])],
+        block
+    )
 
 
 def warc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -273,13 +282,21 @@ def _index(fs, base: str, row: dict) -> Iterator[tuple]:
             yield row["file"], at, _page_id(head), len(payload), hashlib.sha1(payload).hexdigest(), fields["URL"], fields["Archive-date"]
 
 
-INDEX = pa.schema([("file", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("url", pa.string()), ("date", pa.string())])
+INDEX = pa.schema(
+    [
+        ("file", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("size", pa.int64()), ("digest", pa.string()), ("url", pa.string()),
+        ("date", pa.string())
+    ]
+)
 
 
 def index_arc(folder: str, files: DataFrame) -> DataFrame:
     """What a converter needs to know of each record: file, at, page_id, size, digest, url, date."""
     each = files.select("file").repartition(max(1, files.count()), "file")
-    return written(map_arrow(each, _each_file(folder, _index, INDEX), "file string, at bigint, page_id bigint, size bigint, digest string, url string, date string"), "arc-index")
+    return written(
+        map_arrow(each, _each_file(folder, _index, INDEX), "file string, at bigint, page_id bigint, size bigint, digest string, url string, date string"),
+        "arc-index"
+    )
 
 
 def revisits(index: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -289,9 +306,14 @@ def revisits(index: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """
     large = index.filter((F.col("size") >= least) & F.col("page_id").isNotNull())
     order = F.struct("page_id", "file", "at")
-    one = large.groupBy("digest").agg(F.max_by(F.struct("file", "at", "url", "date", "page_id"), order).alias("to"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("to_digest"), "to")
+    one = large.groupBy("digest").agg(
+        F.max_by(F.struct("file", "at", "url", "date", "page_id"), order).alias("to"), F.count("*").alias("n")
+    ).filter("n > 1").select(F.col("digest").alias("to_digest"), "to")
     again = large.join(one, F.col("digest") == F.col("to_digest")).filter("not (file = to.file and at = to.at)")
-    entry = F.struct("at", F.col("to.file").alias("to_file"), F.col("to.at").alias("to_at"), F.col("to.url").alias("to_url"), F.col("to.date").alias("to_date"), F.col("to.page_id").alias("to_page"))
+    entry = F.struct(
+        "at", F.col("to.file").alias("to_file"), F.col("to.at").alias("to_at"), F.col("to.url").alias("to_url"), F.col("to.date").alias("to_date"),
+        F.col("to.page_id").alias("to_page")
+    )
     return again.groupBy("file").agg(F.collect_list(entry).alias("revisits"))
 
 
@@ -301,7 +323,18 @@ def _converter(target: str):
         name = re.sub(r"\.arc(\.gz)?$", "", row["file"]) + ".warc.gz"
         shard = _Shard(target, name)
         info = f"software: granary\r\nformat: WARC File Format 1.0\r\nconverted-from: {row['file']}\r\n".encode()
-        shard.out.write(_member(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, 0)), ("WARC-Date", iso(DATE)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info), 3))
+        shard.out.write(
+            _member(
+                warc_record(
+                    [
+                        ("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, 0)), ("WARC-Date", iso(DATE)), ("WARC-Filename", name),
+                        ("Content-Type", "application/warc-fields")
+                    ],
+                    info
+                ),
+                3
+            )
+        )
         n = 0
         with fs.open_input_stream(f"{base}/{row['file']}") as f:
             for at, fields, body in arc_records(f):
@@ -336,13 +369,21 @@ def _read(fs, base: str, row: dict) -> Iterator[tuple]:
             yield _page_id(head), int(fields["x-payload-length"]) if kind == "revisit" else len(payload), said, kind, int(to) if to is not None else None, fields["warc-target-uri"], fields["warc-record-id"], fields.get("warc-refers-to")
 
 
-READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("refers_to_record", pa.string())])
+READ = pa.schema(
+    [
+        ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
+        ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("refers_to_record", pa.string())
+    ]
+)
 
 
 def read_warc(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """One row per record but warcinfo: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, refers_to_record."""
     each = files.select("file").repartition(max(1, files.count()), "file")
-    return map_arrow(each, _each_file(folder, _read, READ), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, record_id string, refers_to_record string")
+    return map_arrow(
+        each, _each_file(folder, _read, READ),
+        "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, record_id string, refers_to_record string"
+    )
 
 
 SQL = f"""

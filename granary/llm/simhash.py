@@ -17,12 +17,15 @@ The pipeline's stage (`keep_one`) links, besides, every two texts whose sets of
 or more, which differ by far more than three bits.  Candidates share one of ``BANDS`` keys of ``ROWS`` least hashes each (a pair
 at the limit shares none with a chance of 3 in a million, more similar ones with less), and each is verified by its complete sets.
 Equal sets are one node.  The members of a key are first verified against one of them, another for each key; after that only
-members of different groups are, so that a group of near copies makes no pairs in the square of its size.  Texts that share a key
-and are less similar than the limit are all compared.
+members of different groups are, so that a group of near copies makes no pairs in the square of its size.  Of these, pairs are left out
+that cannot be similar: where too many shingles of one stand in no other set, an exact bound that takes out copies with many
+edits of their own before they are paired, and where signatures of four bits a least hash differ in more places than those of
+similar sets do but once in some 100,000 times.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -172,18 +175,32 @@ def shingles(c: K.Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     return g[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
-def band_keys(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A row of BANDS keys for each set; `starts` has the sets' first hashes, none is empty."""
-    keys = np.empty((len(starts), BANDS), np.uint64)
+def least_hashes(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS least hashes of each set, a column each; `starts` has the sets' first hashes, none is empty."""
     salt, factor = K.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)), K.mixed(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) | np.uint64(1)
+    out = np.empty((len(starts), BANDS * ROWS), np.uint64)
+    for k in range(BANDS * ROWS):
+        out[:, k] = np.minimum.reduceat((g ^ salt[k]) * factor[k], starts)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each set, from its least hashes."""
+    keys = np.empty((len(least), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(starts), b + 1, np.uint64)
+        key = np.full(len(least), b + 1, np.uint64)
         for k in range(b * ROWS, (b + 1) * ROWS):
-            key = K.mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((g ^ salt[k]) * factor[k], starts))
+            key = K.mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
         keys[:, b] = key
     return keys
 
 
+def signatures(least: np.ndarray) -> np.ndarray:
+    """Four bits of each least hash, sixteen to a word."""
+    nibbles = (K.mixed(least) & np.uint64(15)).reshape(len(least), -1, 16)
+    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
 def _described(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +209,7 @@ def _described(size: int):
                 has = np.diff(first) > 0
                 keys, sets = np.zeros((0, BANDS), np.uint64), np.zeros(len(has), np.uint64)
                 if has.any():
-                    keys = band_keys(g, first[:-1][has])
+                    keys = band_keys(least_hashes(g, first[:-1][has]))
                     sets[has] = K.mixed(np.add.reduceat(K.mixed(g), first[:-1][has]) + np.diff(first)[has].astype(np.uint64))
                 raw = c.data.tobytes()
                 prints = np.array([fingerprint(raw[a:b], size) for a, b in zip(c.offsets[:-1], c.offsets[1:], strict=True)], np.uint64)
@@ -210,17 +227,36 @@ def _described(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = BANDS * ROWS // 16
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 g, first = shingles(c, size)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[c.rows], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(g.view(np.int64)))],
-                    names=["g_set", "g_shingles"]
-                )
+                has, signed = np.diff(first) > 0, np.zeros((len(first) - 1, words), np.uint64)
+                if has.any():
+                    signed[has] = signatures(least_hashes(g, first[:-1][has]))
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))
+                    for ends, x in ((first, g), (np.arange(len(first)) * words, signed.ravel()))
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], *lists], names=["g_set", "g_shingles", "g_signature"])
 
     return run
 
 
+def _may_be_similar(one: str, other: str, similar: float) -> F.Column:
+    """Whether signatures differ in so few places as sets of that similarity do but once in about 100,000 times (a binomial's tail)."""
+    n = BANDS * ROWS
+    p = (1 - similar) * 15 / 16
+    most = int(n * p + 4.4 * (n * p * (1 - p)) ** 0.5 + 1)
+
+    def differ(k: int) -> F.Column:
+        x = F.get(one, k).bitwiseXOR(F.get(other, k))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return functools.reduce(lambda a, b: a + b, (differ(k) for k in range(n // 16))) <= most
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity."""
     for end in "ab":
@@ -232,6 +268,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return pairs.filter(F.when(may, both >= F.lit(similar) * (total - both) - 1e-9).otherwise(False)).select("a", "b")
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """(u_set, u_size, g_shared): of each set's shingles, how many stand in another of the sets too."""
+    each = written(sets.select("g_set", F.explode("g_shingles").alias("g_shingle")), "set-shingles")
+    often = written(each.groupBy("g_shingle").agg(F.count("*").alias("g_n")).filter("g_n > 1").select("g_shingle"), "shared-shingles")
+    counted = each.join(often, "g_shingle", "left_semi").groupBy(F.col("g_set").alias("u_set")).agg(F.count("*").alias("g_shared"))
+    size = sets.select("g_set", F.size("g_shingles").alias("u_size"))
+    return counted.join(size, F.col("u_set") == F.col("g_set")).drop("g_set")
+
+
 def similar_sets(described: DataFrame, keyed: DataFrame, similar: float, size: int) -> DataFrame:
     """Links (a, b) of g_set whose components are those of all similar pairs; `keyed` has g_doc, g_text, text."""
     sets = described.filter("g_set is not null").groupBy("g_set").agg(F.min(F.struct("g_doc", "g_text")).alias("g_row"), F.first("g_bands").alias("g_bands"))
@@ -242,7 +287,7 @@ def similar_sets(described: DataFrame, keyed: DataFrame, similar: float, size: i
     members = written(keys.join(written(hubs, "band-hubs"), "g_key"), "band-members")
     asked = members.select("g_set", F.col("g_row.g_doc").alias("m_doc"), F.col("g_row.g_text").alias("m_text")).distinct()
     own = keyed.join(asked, F.col("g_doc").eqNullSafe(F.col("m_doc")) & (F.col("g_text") == F.col("m_text"))).select("g_set", "text")
-    found = written(map_arrow(own, _sets(size), "g_set bigint, g_shingles array<bigint>").dropDuplicates(["g_set"]), "shingle-sets")
+    found = written(map_arrow(own, _sets(size), "g_set bigint, g_shingles array<bigint>, g_signature array<bigint>").dropDuplicates(["g_set"]), "shingle-sets")
     ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
     tried = written(members.filter("g_set != g_hub").select(*ordered("g_set", "g_hub")).distinct(), "hub-pairs")
     links = written(_verified(tried, found, similar), "hub-links")
@@ -250,9 +295,18 @@ def similar_sets(described: DataFrame, keyed: DataFrame, similar: float, size: i
     grouped = members.join(groups, F.col("g_set") == F.col("node"), "left").select("g_key", "g_set", F.coalesce("component", "g_set").alias("g_group"))
     grouped = written(grouped, "band-groups")
     several = written(grouped.groupBy("g_key").agg(F.min("g_group").alias("x"), F.max("g_group").alias("y")).filter("x < y").select("g_key"), "mixed-bands")
-    left = written(grouped.join(several, "g_key", "left_semi"), "mixed-members")
-    other = left.select(F.col("g_key").alias("h_key"), F.col("g_set").alias("h_set"), F.col("g_group").alias("h_group"))
-    pairs = left.join(other, (F.col("g_key") == F.col("h_key")) & (F.col("g_group") < F.col("h_group"))).select(*ordered("g_set", "h_set")).distinct()
+    signed = found.select(F.col("g_set").alias("s_set"), F.col("g_signature").alias("g_signed"), F.size("g_shingles").alias("g_size"))
+    mixed = written(grouped.join(several, "g_key", "left_semi"), "mixed-members")
+    shared = _shared(found.join(mixed.select("g_set").distinct(), "g_set", "left_semi")).filter(F.col("g_shared") >= F.lit(similar) * F.col("u_size") - 1e-9)
+    left = mixed.join(signed, F.col("g_set") == F.col("s_set")).join(shared, F.col("g_set") == F.col("u_set")).drop("s_set", "u_set", "u_size")
+    left = written(left, "mixed-sets")
+    other = left.select(*(F.col(c).alias(c.replace("g_", "h_")) for c in ("g_key", "g_set", "g_group", "g_signed", "g_size", "g_shared")))
+    # two sets have no more in common than either shares with any, and no fewer in all than what each has alone and the larger shared part
+    most = F.least("g_shared", "h_shared")
+    least = F.col("g_size") - F.col("g_shared") + F.col("h_size") - F.col("h_shared") + F.greatest("g_shared", "h_shared")
+    bound = most >= F.lit(similar) * F.greatest(least, "g_size", "h_size") - 1e-9
+    may = (F.col("g_key") == F.col("h_key")) & (F.col("g_group") < F.col("h_group")) & bound & _may_be_similar("g_signed", "h_signed", similar)
+    pairs = left.join(other, may).select(*ordered("g_set", "h_set")).distinct()
     return links.unionAll(_verified(written(pairs.join(tried, ["a", "b"], "left_anti"), "band-pairs"), found, similar))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import map_arrow, with_text, written
+from .common import map_arrow, shuffled, with_text, written
 from .components import components
 
 DISTANCE, CROWD, SHINGLE = 3, 32, 3
@@ -122,7 +122,7 @@ def print_components(prints: DataFrame, distance: int = DISTANCE, crowd: int = C
     dense = written(dense, "crowded-prints")
     meet = _balls(dense, 64, "g_print")
     star = meet.groupBy("g_key").agg(F.min("g_print").alias("g_least"), F.count("*").alias("g_n")).filter("g_n > 1").drop("g_n")
-    near = meet.join(star, "g_key").filter("g_print != g_least").select(
+    near = meet.join(shuffled(written(star, "meeting-points")), "g_key").filter("g_print != g_least").select(
         F.col("g_least").alias("a"), F.col("g_print").alias("b")
     ).distinct() if distance >= 2 else None
     first = written(components(near), "first-groups") if near is not None else None
@@ -137,7 +137,7 @@ def print_components(prints: DataFrame, distance: int = DISTANCE, crowd: int = C
     )
     close = F.bit_count(F.col("g_print").bitwiseXOR(F.col("h_print"))) <= distance
     links = asked.join(
-        held, (asked.g_segment == held.g_segment) & (asked.g_key == held.g_key) & (F.col("g_group") < F.col("h_group")) & close
+        shuffled(held), (asked.g_segment == held.g_segment) & (asked.g_key == held.g_key) & (F.col("g_group") < F.col("h_group")) & close
     ).select(F.col("g_group").alias("a"), F.col("h_group").alias("b")).distinct()
     if first is not None:
         links = links.unionAll(first.select(F.col("component").alias("a"), F.col("node").alias("b")))

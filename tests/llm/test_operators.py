@@ -170,6 +170,34 @@ def test_fingerprint_by_its_definition(monkeypatch, block):
             assert simhash.fingerprint(text, size) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_balls_of_prints_are_not_broadcast(spark, monkeypatch):
+    """Files of a few MB are hundreds of MB once each print stands for its ball: no such side may go to the driver."""
+    seen = []
+
+    def watched(edges):
+        seen.append(plan(edges))
+        return components.components(edges)
+
+    monkeypatch.setattr(simhash, "components", watched)
+    frame = spark.createDataFrame([(k,) for k in range(70)] + [(k << 40,) for k in range(1, 70)], "g_print long")
+    assert simhash.print_components(frame, crowd=4).count() > 0
+    assert len(seen) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in seen)
+
+
+def test_components_of_many_edges_are_those_of_few(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 7] + [(50, 3), (60, 61), (61, 60), (70, 70)], "a long, b long")
+    few = sorted(map(tuple, components.components(edges).collect()))
+    seen, write = [], components.written
+    monkeypatch.setattr(components, "FEW", 0)
+    monkeypatch.setattr(components, "written", lambda df, name: seen.append(plan(df)) or write(df, name))
+    assert sorted(map(tuple, components.components(edges).collect())) == few
+    assert any("SortMergeJoin" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
+
+
 def test_simhash_of_odd_rows(spark, odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -803,11 +802,9 @@ def table_history(s: Star) -> DataFrame:
 
 
 def _derby(s: Star) -> jdbc.Source:
-    """An embedded database with the suppliers; it lives in the driver's JVM, so this is for local sessions."""
-    source = jdbc.Source(f"jdbc:derby:memory:g{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
-    rows = s.table("supplier").select("s_suppkey", "s_name", F.timestamp_seconds(F.lit(1_000_000_000) + F.col("s_suppkey") * 3600).alias("updated_at"))
-    rows.write.jdbc(source.url, "supplier", properties=source.properties())
-    return source
+    """A database with the suppliers that every process of the session can read."""
+    changes = F.timestamp_seconds(F.lit(1_000_000_000) + F.col("s_suppkey") * 3600)
+    return jdbc.embedded(s.table("supplier").select("s_suppkey", "s_name", changes.alias("updated_at")), "supplier")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")

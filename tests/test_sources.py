@@ -108,6 +108,24 @@ def test_changed_condition():
     assert " AND " in jdbc.changed("u", datetime(2024, 1, 1), datetime(2024, 1, 2))
 
 
+def test_executors_of_their_own_read_the_embedded_database(sf, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from granary.plans.catalogue import QUERIES
+from granary.session import session
+s = session("t", master="local-cluster[2,1,1024]", shuffle_partitions=2, **{{"spark.checkpoint.dir": "file://{tmp_path}/shared", "spark.executor.memory": "600m"}})
+print("ROWS", *(QUERIES[n](s, "{sf}").count() for n in ("jdbc_partitioned_read", "jdbc_incremental")), s.read.parquet("{sf}/supplier.parquet").count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "TZ": "UTC"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    rows = next((x.split()[1:] for x in done.stdout.splitlines() if x.startswith("ROWS")), None)
+    assert rows and len(set(rows)) == 1, done.stderr[-1500:]
+
+
 def test_malformed_events_have_null_fields(spark):
     made = S.made_events(spark, 200)
     bad = spark.createDataFrame([(0, 1, "{oops"), (0, 2, None)], "partition int, offset long, value string")

@@ -108,6 +108,13 @@ def test_changed_condition():
     assert " AND " in jdbc.changed("u", datetime(2024, 1, 1), datetime(2024, 1, 2))
 
 
+def test_embedded_database_holds_odd_rows(spark):
+    data = [(1, "a,b"), (2, 'say "x"'), (3, ""), (4, None), (5, " two\nlines "), (6, "é 日本"), (None, "n")]
+    source = jdbc.embedded(spark.createDataFrame(data, "k long, v string"), "odd")
+    assert source.url.startswith("jdbc:derby:jar:(")
+    assert sorted(map(tuple, jdbc.full(spark, source, "odd").collect()), key=str) == sorted(data, key=str)
+
+
 def test_executors_of_their_own_read_the_embedded_database(sf, tmp_path):
     import os
     import subprocess

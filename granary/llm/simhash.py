@@ -261,7 +261,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that Jaccard similarity."""
     for end in "ab":
         own = sets.select(F.col("g_set").alias(f"g_of_{end}"), F.col("g_shingles").alias(f"g_{end}"))
-        pairs = pairs.join(own, F.col(end) == F.col(f"g_of_{end}"))
+        pairs = pairs.join(shuffled(own), F.col(end) == F.col(f"g_of_{end}"))
     total, both = F.size("g_a") + F.size("g_b"), F.size(F.array_intersect("g_a", "g_b"))
     # sets too unequal in size are left out before they are compared
     may = F.least(F.size("g_a"), F.size("g_b")) >= F.lit(similar) * F.greatest(F.size("g_a"), F.size("g_b")) - 1e-9
@@ -306,7 +306,7 @@ def similar_sets(described: DataFrame, keyed: DataFrame, similar: float, size: i
     least = F.col("g_size") - F.col("g_shared") + F.col("h_size") - F.col("h_shared") + F.greatest("g_shared", "h_shared")
     bound = most >= F.lit(similar) * F.greatest(least, "g_size", "h_size") - 1e-9
     may = (F.col("g_key") == F.col("h_key")) & (F.col("g_group") < F.col("h_group")) & bound & _may_be_similar("g_signed", "h_signed", similar)
-    pairs = left.join(other, may).select(*ordered("g_set", "h_set")).distinct()
+    pairs = left.join(shuffled(other), may).select(*ordered("g_set", "h_set")).distinct()
     return links.unionAll(_verified(written(pairs.join(tried, ["a", "b"], "left_anti"), "band-pairs"), found, similar))
 
 

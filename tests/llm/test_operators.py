@@ -188,6 +188,13 @@ def test_balls_of_prints_are_not_broadcast(spark, monkeypatch):
     assert len(seen) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in seen)
 
 
+def test_shingle_sets_are_not_broadcast(spark):
+    """Sets of near copies take few bytes in a file and many in memory."""
+    sets = spark.range(1, 4).select(F.col("id").alias("g_set"), F.array(F.lit(7).cast("long"), F.when(F.col("id") < 3, 8).otherwise(9).cast("long")).alias("g_shingles"))
+    found = simhash._verified(spark.range(1, 3).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), sets, 0.8)
+    assert "BroadcastHashJoin" not in plan(found) and list(map(tuple, found.collect())) == [(1, 2)]
+
+
 def test_components_of_many_edges_are_those_of_few(spark, monkeypatch):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k % 7] + [(50, 3), (60, 61), (61, 60), (70, 70)], "a long, b long")
     few = sorted(map(tuple, components.components(edges).collect()))

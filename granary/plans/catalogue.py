@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import columns as C
@@ -801,10 +801,9 @@ def table_history(s: Star) -> DataFrame:
     return _versions(s).history().drop("timestamp")
 
 
-def _derby(s: Star) -> jdbc.Source:
-    """A database with the suppliers that every process of the session can read."""
-    changes = F.timestamp_seconds(F.lit(1_000_000_000) + F.col("s_suppkey") * 3600)
-    return jdbc.embedded(s.table("supplier").select("s_suppkey", "s_name", changes.alias("updated_at")), "supplier")
+def _derby(s: Star, *more: Column) -> jdbc.Source:
+    """A database with the suppliers, and `more` columns, that every process of the session can read."""
+    return jdbc.embedded(s.table("supplier").select("s_suppkey", "s_name", *more), "supplier")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")
@@ -817,7 +816,8 @@ def jdbc_incremental(s: Star) -> DataFrame:
     """A first load up to a watermark, then what changed since; read twice, the second load adds nothing."""
     from datetime import UTC, datetime, timedelta
 
-    source, target = _derby(s), VersionedTable(s.spark, scratch(s.spark, "bronze"))
+    changes = F.timestamp_seconds(F.lit(1_000_000_000) + F.col("s_suppkey") * 3600)
+    source, target = _derby(s, changes.alias("updated_at")), VersionedTable(s.spark, scratch(s.spark, "bronze"))
     at = F.lit(AS_OF).cast("timestamp")
     mark = datetime.fromtimestamp(1_000_000_000, UTC).replace(tzinfo=None) + timedelta(hours=5)
     first = jdbc.partitioned(s.spark, source, "supplier", '"s_suppkey"', 2, jdbc.changed('"updated_at"', None, mark))

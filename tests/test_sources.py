@@ -115,6 +115,23 @@ def test_embedded_database_holds_odd_rows(spark):
     assert sorted(map(tuple, jdbc.full(spark, source, "odd").collect()), key=str) == sorted(data, key=str)
 
 
+def test_partitioned_read_takes_any_key(spark, tmp_path):
+    from granary.plans.catalogue import QUERIES
+
+    keys = [1, 2, None, -3, 80_000_000, 10**12, 2**63 - 1, -(2**63)]
+    for k, data in enumerate(([(x, f"s{x}") for x in keys], [(2**63 - 1, "last")], [(None, "a"), (None, None)], [])):
+        spark.createDataFrame(data, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/{k}/supplier.parquet")
+        assert sorted(map(tuple, QUERIES["jdbc_partitioned_read"](spark, f"{tmp_path}/{k}").collect()), key=str) == sorted(data, key=str)
+
+
+def test_pages_of_the_embedded_database_are_reached_without_those_before(spark):
+    import zipfile
+
+    source = jdbc.embedded(spark.range(10), "pages")
+    with zipfile.ZipFile(source.url.split("(")[1].split(")")[0]) as z:
+        assert {x.compress_type for x in z.infolist()} == {zipfile.ZIP_STORED}
+
+
 def test_executors_of_their_own_read_the_embedded_database(sf, tmp_path):
     import os
     import subprocess
